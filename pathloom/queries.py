@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathloom.catalog import network, records, tracks  # noqa: F401  they register their queries
+from pathloom.catalog.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
