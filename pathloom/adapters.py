@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.catalog.registry import table
 from pathloom.functions.geometry import even_points, feature_pieces
 from pathloom.operators import matching, tracks
+from pathloom.operators.components import shared_folder
 
 GAP, REACH, SPACING = 40.0, 5.0, 20.0
 TYPES = ["Path", "Bridge", "Tunnel", "Walking Path", "Park"]
@@ -46,7 +47,9 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match(node_radius(spark, d), seg(spark, d), runs(spark, d), REACH)
+    """Matched nodes, checkpointed: the queries read them more than once."""
+    shared_folder(spark)
+    return matching.match(node_radius(spark, d).checkpoint(), seg(spark, d), runs(spark, d).checkpoint(), REACH).checkpoint()
 
 
 def ivl(spark: SparkSession, d: str) -> DataFrame:

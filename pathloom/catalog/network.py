@@ -59,8 +59,16 @@ def grid(spark, d):
     return rows.unionByName(cols).withColumns({"layer": F.when(F.col("id") % 2 == 0, "cartpath").otherwise("road"), "seg_type": F.when(F.col("id") == 3, "Bridge"), "name": F.lit("x"), "source_oid": F.col("id")})
 
 
+_BUILT: dict[tuple[str, str], tuple] = {}
+
+
 def built(spark, d):
-    return graph.build_graph(grid(spark, d), graph.GraphSettings(road_radius_m=20.0))
+    """The grid's graph, built once a session and folder and read from its checkpoint after that."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        edges, vertices = graph.build_graph(grid(spark, d), graph.GraphSettings(road_radius_m=20.0))
+        _BUILT[key] = (edges, vertices.checkpoint())
+    return _BUILT[key]
 
 
 # every line is cut where it crosses another, but the bridge (row 3) crosses nothing but what its ends touch
@@ -88,9 +96,9 @@ def b11_islands(spark, d):
     return got.select(F.round("length_m", 2).alias("length_m"), F.size("segments").alias("segments"), "main")
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS request, 'ok' AS reached, CAST(s_suppkey * 100 + 200 AS DOUBLE) AS length_m FROM supplier WHERE s_suppkey < 5")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS request, 'ok' AS reached, CAST(CASE WHEN s_suppkey = 3 THEN 600 ELSE s_suppkey * 100 + 200 END AS DOUBLE) AS length_m FROM supplier WHERE s_suppkey < 5")
 def r3_legs(spark, d):
-    """From a place 50 m along the lowest street to one 50 m along a street above."""
+    """From a place 50 m along the lowest street to one 250 m along a street above; the bridge is reached by its end only."""
     edges, _ = built(spark, d)
     k = F.col("s_suppkey")
     asked = table(spark, d, "supplier").where("s_suppkey < 5").select(k.alias("request"), F.lit(50.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(250.0).alias("bx"), (k * 100).cast("double").alias("by"))

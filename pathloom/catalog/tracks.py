@@ -136,7 +136,7 @@ def v4_activities(spark, d):
 def v6_stats(spark, d):
     seg = ad.seg(spark, d)
     per = ad.hits(spark, d).groupBy(F.col("segment_id").alias("id")).agg(F.count("*").alias("nodes"), F.count("hit_at").alias("hit"))
-    return seg.join(per, "id", "left").groupBy("layer").agg(F.count("*").alias("segments"), F.count_if("counted and not excluded").alias("counted"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"))
+    return seg.join(per, "id", "left").groupBy("layer").agg(F.count("*").alias("segments"), F.count_if(F.expr("counted and not excluded")).alias("counted"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"))
 
 
 @query(f"""{A.ALL_HITS}, {A.IV} SELECT segment_id, CAST(b AS BIGINT) AS k, round(a::DOUBLE / n, 6) AS a, round(b::DOUBLE / n, 6) AS b FROM iv JOIN seg ON id = segment_id WHERE NOT run AND NOT excluded""")
@@ -226,8 +226,8 @@ def g8_locate(spark, d):
 
 @query(f"""WITH {A.SEG}, v AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg),
  h AS (SELECT id + 100000 AS id, CAST(id * 37 % 400 AS DOUBLE) + 5.5 AS x1, CAST(id * 13 % 100 AS DOUBLE) - 7.25 AS y1, CAST(id * 37 % 400 AS DOUBLE) + 9.5 AS x2, CAST(id * 13 % 100 AS DOUBLE) + 8.75 AS y2 FROM seg),
- c AS (SELECT v.id AS a, h.id AS b, (v.x2 - v.x1) * (h.y2 - h.y1) - (v.y2 - v.y1) * (h.x2 - h.x1) AS d, v.x1, v.x2, h.x1 - v.x1 AS dx, h.y1 - v.y1 AS dy, v.x2 - v.x1 AS ax, v.y2 - v.y1 AS ay, h.x2 - h.x1 AS bx, h.y2 - h.y1 AS by FROM v, h)
- SELECT a, b, round(x1 + (x2 - x1) * ((dx * by - dy * bx) / d), 4) AS x FROM c WHERE d <> 0 AND (dx * by - dy * bx) / d BETWEEN 0 AND 1 AND (dx * ay - dy * ax) / d BETWEEN 0 AND 1""")
+ c AS (SELECT v.id AS a, h.id AS b, (v.x2 - v.x1) * (h.y2 - h.y1) - (v.y2 - v.y1) * (h.x2 - h.x1) AS d, v.x1, v.x2, h.x1 - v.x1 AS dx, h.y1 - v.y1 AS dy, v.x2 - v.x1 AS ax, v.y2 - v.y1 AS ay, h.x2 - h.x1 AS bx, h.y2 - h.y1 AS b_y FROM v, h)
+ SELECT a, b, round(x1 + (x2 - x1) * ((dx * b_y - dy * bx) / d), 4) AS x FROM c WHERE d <> 0 AND (dx * b_y - dy * bx) / d BETWEEN 0 AND 1 AND (dx * ay - dy * ax) / d BETWEEN 0 AND 1""")
 def j12_crossings(spark, d):
     s = ad.seg(spark, d)
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

@@ -40,34 +40,52 @@ def _zone(srid: int) -> tuple[float, bool]:
     return math.radians((srid % 100) * 6 - 183), srid >= 32700
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_utm(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
     """(x, y) in metres of degrees of longitude and latitude."""
     middle, south = _zone(srid)
-    phi, lam = F.radians(lat), F.radians(lon) - middle
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s))
-    xi0, eta0 = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    xi, eta = xi0, eta0
-    for j, a in enumerate(ALPHA, 1):
-        xi = xi + a * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta + a * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    return EAST + SCALE * RADIUS * eta, (SOUTH if south else 0.0) + SCALE * RADIUS * xi
+
+    def conformal(v):
+        t = F.sinh(F.atanh(v["s"]) - ECC * F.atanh(ECC * v["s"]))
+        return let(t, lambda t: F.struct(F.atan2(t, F.cos(v["lam"])).alias("xi"), F.atanh(F.sin(v["lam"]) / F.sqrt(1 + t * t)).alias("eta")))
+
+    def series(v):
+        xi, eta = v["xi"], v["eta"]
+        for j, a in enumerate(ALPHA, 1):
+            xi = xi + a * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            eta = eta + a * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return F.struct((EAST + SCALE * RADIUS * eta).alias("x"), ((SOUTH if south else 0.0) + SCALE * RADIUS * xi).alias("y"))
+
+    place = F.struct(F.sin(F.radians(lat)).alias("s"), (F.radians(lon) - middle).alias("lam"))
+    out = let(let(place, conformal), series)
+    return out["x"], out["y"]
 
 
 def from_utm(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
     """(lon, lat) in degrees; the latitude by three Newton steps from the conformal one."""
     middle, south = _zone(srid)
-    xi, eta = (y - (SOUTH if south else 0.0)) / (SCALE * RADIUS), (x - EAST) / (SCALE * RADIUS)
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(BETA, 1):
-        xi0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta0 = eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    want = F.sin(xi0) / F.sqrt(F.sinh(eta0) * F.sinh(eta0) + F.cos(xi0) * F.cos(xi0))
-    t = want
-    for _ in range(3):
+
+    def series(v):
+        xi, eta = v["xi"], v["eta"]
+        for j, b in enumerate(BETA, 1):
+            xi = xi - b * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            eta = eta - b * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def newton(want, t):
         hyp = F.sqrt(1 + t * t)
         sigma = F.sinh(ECC * F.atanh(ECC * t / hyp))
-        now = t * F.sqrt(1 + sigma * sigma) - sigma * hyp
-        slope = (1 - ECC**2) * F.sqrt(1 + now * now) * hyp / (1 + (1 - ECC**2) * t * t)
-        t = t + (want - now) / slope
-    return F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)) + middle), F.degrees(F.atan(t))
+        return let(F.struct(hyp.alias("h"), (t * F.sqrt(1 + sigma * sigma) - sigma * hyp).alias("now")), lambda v: t + (want - v["now"]) * (1 + (1 - ECC**2) * t * t) / ((1 - ECC**2) * F.sqrt(1 + v["now"] * v["now"]) * v["h"]))
+
+    def degrees(v):
+        want = F.sin(v["xi"]) / F.sqrt(F.sinh(v["eta"]) * F.sinh(v["eta"]) + F.cos(v["xi"]) * F.cos(v["xi"]))
+        tan = let(want, lambda w: let(newton(w, w), lambda t: let(newton(w, t), lambda u: newton(w, u))))
+        return F.struct(F.degrees(F.atan2(F.sinh(v["eta"]), F.cos(v["xi"])) + middle).alias("lon"), F.degrees(F.atan(tan)).alias("lat"))
+
+    plane = F.struct(((y - (SOUTH if south else 0.0)) / (SCALE * RADIUS)).alias("xi"), ((x - EAST) / (SCALE * RADIUS)).alias("eta"))
+    out = let(let(plane, series), degrees)
+    return out["lon"], out["lat"]

@@ -35,6 +35,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     spark = links.sparkSession
     shared_folder(spark)
     kind = links.schema[src].dataType
+    links = links.select(src, dst).checkpoint()  # it is read twice
     vertices = links.select(F.explode(F.array(src, dst)).alias("vertex")).where("vertex is not null").distinct()
     edges = (
         links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))

@@ -75,9 +75,9 @@ def snap_ends(edges: DataFrame, snap: float) -> tuple[DataFrame, DataFrame]:
     end there. Loops shorter than ``snap`` are gone. Edges are numbered by segment, part and place, vertices by their
     least edge end."""
     ends = edges.select("edge", F.inline(F.array(F.struct(F.lit("s").alias("which"), F.get("line", F.lit(0)).alias("p")), F.struct(F.lit("t").alias("which"), F.element_at("line", -1).alias("p")))))
-    ends = ends.select(F.struct("edge", "which").alias("end"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    ends = ends.select(F.struct("edge", "which").alias("end"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).checkpoint()
     joined = connected_components(near_pairs(ends, snap, "end"))
-    named = ends.join(joined.withColumnRenamed("vertex", "end"), "end", "left").withColumn("cluster", F.coalesce("component", "end"))
+    named = ends.join(joined.withColumnRenamed("vertex", "end"), "end", "left").withColumn("cluster", F.coalesce("component", "end")).checkpoint()
     centre = number_rows(named.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")), ["cluster"], "vertex")
     placed = named.select("end", "cluster").join(centre, "cluster").select("end.edge", "end.which", "vertex", F.struct("x", "y").alias("p")).checkpoint()
     s = placed.where("which = 's'").select("edge", F.col("vertex").alias("source"), F.col("p").alias("sp"))

@@ -10,6 +10,11 @@ from pathloom.operators.spatial import within
 MILE = 1609.344
 
 
+def _about_runs(runs: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """What the joins need of runs; other columns may clash with those of nodes."""
+    return runs.select("run", "start_at", "x1", "y1", "x2", "y2", *on)
+
+
 def part_ends(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``last_seq``, the last place of their part."""
     return nodes.withColumn("last_seq", F.max("seq").over(Window.partitionBy("segment_id", "part")))
@@ -32,7 +37,7 @@ def direct_hits(nodes: DataFrame, runs: DataFrame, reach: float, on: tuple[str,
     ``nodes`` has ``segment_id, part, seq, x, y, radius``, ``runs`` pieces with ``start_at, run``; ``on`` (a network)
     must be equal on both sides. The reduction keeps one row a node on each side of its shuffle.
     """
-    met = within(nodes, runs, reach, on, F.col("radius"))
+    met = within(nodes, _about_runs(runs, on), reach, on, F.col("radius"))
     first = F.min(F.struct("start_at", "run"))
     return met.groupBy("segment_id", "part", "seq").agg(first.alias("h")).select("segment_id", "part", "seq", F.col("h.start_at").alias("hit_at"), F.col("h.run").alias("hit_run"))
 
@@ -44,7 +49,7 @@ def tunnel_hits(nodes: DataFrame, tunnels: DataFrame, runs: DataFrame, reach: fl
     about = F.struct("x", "y", "radius", *on)
     ends = own.groupBy("segment_id").agg(F.min_by(about, place).alias("a"), F.max_by(about, place).alias("b"))
     ends = ends.select("segment_id", F.inline(F.array(F.struct(F.lit(1).alias("end"), F.col("a").alias("p")), F.struct(F.lit(2).alias("end"), F.col("b").alias("p"))))).select("segment_id", "end", "p.*")
-    both = within(ends, runs, reach, on, F.col("radius")).groupBy("segment_id", "run").agg(F.min("start_at").alias("start_at"), F.count_distinct("end").alias("n")).where("n = 2")
+    both = within(ends, _about_runs(runs, on), reach, on, F.col("radius")).groupBy("segment_id", "run").agg(F.min("start_at").alias("start_at"), F.count_distinct("end").alias("n")).where("n = 2")
     return both.groupBy("segment_id").agg(F.min(F.struct("start_at", "run")).alias("h")).select("segment_id", F.col("h.start_at").alias("hit_at"), F.col("h.run").alias("hit_run"))
 
 
@@ -117,7 +122,7 @@ def near_misses(nodes: DataFrame, segments: DataFrame, runs: DataFrame, limits:
     wanted = segments.where("counted and not excluded").select(F.col("id").alias("segment_id"), "layer")
     missed = nodes.where("hit_at is null").join(wanted, "segment_id")
     keys = ["segment_id", "part", "seq"]
-    near = within(missed, runs, float(limits[-1]), on).groupBy(*keys).agg(F.min("dist").alias("d"))
+    near = within(missed, _about_runs(runs, on), float(limits[-1]), on).groupBy(*keys).agg(F.min("dist").alias("d"))
     rows = missed.select(*keys, "layer").join(near, keys, "left").withColumn("slot", bucket(F.col("d"), limits))
     counted = rows.groupBy("layer", "slot").agg(F.count("*").alias("n"))
     spark = nodes.sparkSession
