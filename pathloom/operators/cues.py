@@ -64,10 +64,11 @@ def window_bearings(points: DataFrame, window_m: float = WINDOW_M, key: str = "r
 
     The two points are the ends of range frames over the running distance, so no route is compared with itself.
     """
-    order = Window.partitionBy(key).orderBy("cum_m")
+    whole = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.struct("lat", "lon")
-    back = F.coalesce(F.last(place).over(order.rangeBetween(Window.unboundedPreceding, -window_m)), F.first(place).over(Window.partitionBy(key).orderBy("seq")))
-    ahead = F.coalesce(F.first(place).over(order.rangeBetween(window_m, Window.unboundedFollowing)), F.last(place).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    reach = f"OVER (PARTITION BY {key} ORDER BY cum_m RANGE BETWEEN"  # the column functions take whole numbers only
+    back = F.coalesce(F.expr(f"last(struct(lat, lon)) {reach} UNBOUNDED PRECEDING AND {float(window_m)}D PRECEDING)"), F.first(place).over(whole))
+    ahead = F.coalesce(F.expr(f"first(struct(lat, lon)) {reach} {float(window_m)}D FOLLOWING AND UNBOUNDED FOLLOWING)"), F.last(place).over(whole))
     rows = points.withColumn("_b", back).withColumn("_a", ahead)
     return rows.withColumn("in_bearing", bearing("_b.lat", "_b.lon", "lat", "lon")).withColumn("out_bearing", bearing("lat", "lon", "_a.lat", "_a.lon")).drop("_a", "_b")
 

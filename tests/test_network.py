@@ -146,35 +146,45 @@ def test_second_carriageways(spark):
     assert plans.import_layer(far, None, "road", SETTINGS).twins.count() == 0
 
 
-def lengths(edges):
-    return sorted(round(r["length_m"], 1) for r in edges.collect())
-
-
-@pytest.mark.parametrize(("rows", "want", "components"), [
-    ([[(0, 0), (100, 0)], [(102.5, 0), (200, 0)]], [98.8, 101.2], 1),
-    ([[(0, 0), (100, 0)], [(103.5, 0), (200, 0)]], [96.5, 100.0], 2),
-    ([[(0, 0), (100, 0)], [(50, 0), (50, 60)]], [50.0, 50.0, 60.0], 1),
-    ([[(0, 0), (100, 0)], [(50, -50), (50, 50)]], [50.0] * 4, 1),
-    ([[(0, 0), (100, 0)], [(50, -2), (50, 50)]], [50.0, 50.0, 50.7], 1),
-])
-def test_graph(spark, rows, want, components):
-    edges, vertices = graph.build_graph(segments(spark, *[(i + 1, "road", [p], "Residential") for i, p in enumerate(rows)]))
-    assert lengths(edges) == pytest.approx(want, abs=0.06) and vertices.select("component").distinct().count() == components
+CASES = [  # parts (layer, line, type), the edges' lengths, components
+    ([("road", [(0, 0), (100, 0)], None), ("road", [(102.5, 0), (200, 0)], None)], [98.8, 101.2], 1),
+    ([("road", [(0, 0), (100, 0)], None), ("road", [(103.5, 0), (200, 0)], None)], [96.5, 100.0], 2),
+    ([("road", [(0, 0), (100, 0)], None), ("road", [(50, 0), (50, 60)], None)], [50.0, 50.0, 60.0], 1),
+    ([("road", [(0, 0), (100, 0)], None), ("road", [(50, -50), (50, 50)], None)], [50.0] * 4, 1),
+    ([("road", [(0, 0), (100, 0)], None), ("road", [(50, -2), (50, 50)], None)], [50.0, 50.0, 50.7], 1),
+    ([("cartpath", [(0, 0), (100, 0)], "Bridge"), ("road", [(50, -50), (50, 50)], None)], [100.0, 100.0], 2),
+    ([("cartpath", [(0, 0), (100, 0)], "Tunnel"), ("road", [(50, -50), (50, 50)], None)], [100.0, 100.0], 2),
+    ([("road", [(0, 0), (200, 0)], None), ("cartpath", [(0, 0), (0, 10), (200, 10), (200, 0)], "Path"), ("road", [(1000, 0), (1100, 0)], None)], [100.0, 200.0, 220.0], 2),
+]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """All cases far apart in one graph; segment 10 * case + i."""
+    rows = [(10 * k + i, layer, [[(x, y + 10_000 * k) for x, y in line]], kind) for k, (parts, _, _) in enumerate(CASES) for i, (layer, line, kind) in enumerate(parts)]
+    seg = segments(spark, *rows)
+    edges, vertices = graph.build_graph(seg)
+    return seg, edges, vertices.checkpoint()
 
 
-def test_bridges_and_tunnels_stay_apart(spark):
-    for kind in ("Bridge", "Tunnel"):
-        edges, vertices = graph.build_graph(segments(spark, (1, "cartpath", [[(0, 0), (100, 0)]], kind), (2, "road", [[(50, -50), (50, 50)]], "Residential")))
-        assert lengths(edges) == [100.0, 100.0] and vertices.select("component").distinct().count() == 2
+def test_graph(many):
+    _, edges, vertices = many
+    at = edges.join(vertices.select(F.col("vertex").alias("source"), "component"), "source").collect()
+    for k, (_, want, components) in enumerate(CASES):
+        own = [r for r in at if r["id"] // 10 == k]
+        assert sorted(round(r["length_m"], 1) for r in own) == pytest.approx(want, abs=0.06), k
+        assert len({r["component"] for r in own}) == components, k
+        assert sum(r["part_to"] - r["part_from"] for r in own) == pytest.approx(len({r["id"] for r in own}))
 
 
-def test_paths_beside_roads_are_preferred_and_legs(spark):
-    seg = segments(spark, (1, "road", [[(0, 0), (200, 0)]], "Residential"), (2, "cartpath", [[(0, 0), (0, 10), (200, 10), (200, 0)]], "Path"), (3, "road", [[(1000, 0), (1100, 0)]], "Residential"))
-    edges, vertices = graph.build_graph(seg)
-    ask = spark.createDataFrame([(1, 0.0, 0.0, 200.0, 0.0), (2, 10.0, -5.0, 10.0, -5.0), (3, 0.0, 0.0, 1050.0, 0.0), (4, 0.0, 500.0, 0.0, 0.0)], "request long, ax double, ay double, bx double, by double")
+def test_paths_beside_roads_are_preferred(many):
+    seg, edges, vertices = many
+    y = 70_000.0
+    ask = edges.sparkSession.createDataFrame([(1, 0.0, y, 200.0, y), (2, 10.0, y - 5, 10.0, y - 5), (3, 0.0, y, 1050.0, y), (4, 0.0, y + 500, 0.0, y)], "request long, ax double, ay double, bx double, by double")
     got = {r["request"]: (r["reached"], r["length_m"]) for r in routing.legs(ask, edges, 50.0).collect()}
     assert got[1] == ("ok", pytest.approx(220)) and got[2] == ("ok", pytest.approx(0)) and got[3][0] == "island" and got[4][0] == "far"
-    assert {r["main"] for r in graph.islands(edges, vertices, seg).collect()} == {True, False}
+    found = graph.islands(edges, vertices, seg).collect()
+    assert [r["length_m"] for r in found if r["main"]] == [pytest.approx(420)] and len(found) == sum(c for _, _, c in CASES)
 
 
 def test_finish_tour(spark):
