@@ -85,7 +85,7 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        runs = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         known = self.known
         missing = {r for some in runs for r in some if r not in known}
         if len(known) + len(missing) > self.remembered:
@@ -94,9 +94,28 @@ class WordIds:
         order = list(missing)
         for at in range(0, len(order), 4096):
             some = order[at : at + 4096]
-            known.update((r, np.array(e.ids, self.kind).tobytes()) for r, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+            known.update(zip(some, self._unseen(some)))
         return [b"".join(map(known.__getitem__, some)) for some in runs]
 
+    def _unseen(self, runs: list[str]) -> list[bytes]:
+        """Runs encoded as one text with spaces between; a token belongs to the run that its offset lies in."""
+        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        ids = np.array(found.ids, self.kind).tobytes()
+        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        starts = np.cumsum([0, *(len(r) + 1 for r in runs)])
+        cut = (np.searchsorted(at, starts) * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def _lowered(text: str) -> str:
+    """Lower case where that is surely what the tokenizer does itself: in texts of Latin-1 characters, which have no
+    composition and no letter whose lower case hangs on its neighbours. Fewer different runs are left to encode."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

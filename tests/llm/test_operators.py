@@ -71,6 +71,19 @@ def test_token_ids(spark, small, tmp_path, kind):
         start += len(ids) // 4
 
 
+def test_word_ids_of_odd_characters():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    work = tokenids.WordIds(P.path("word_bpe_49k.json"), remembered=7)
+    rng = random.Random(2)
+    letters = "aΣσςİIıǅßẞµÅÅéÉ\u0301\u0307\u200d\u00a0\u2028\x0b\x1c\x85 \t\n'!<|>#12²Ⅷ日本"
+    for _ in range(300):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(work.encode([text])[0], work.kind).tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_token_ids_nulls_and_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenids, "BLOCK_IDS", 50)
     tokenids.write_ids(docs_of(spark), f"{tmp_path}/ids", P.path("word_bpe_49k.json"), partitions=2)
@@ -328,3 +341,10 @@ def test_bpe_forgets(monkeypatch):
     for text in ("one two three four five six", "six seven one", None, "one"):
         assert work.decode(work.encode([text])) == [(text or "").encode()]
     assert zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, small, name):
+    from tests.test_oracles import compare, database
+
+    compare(queries.queries()[name](spark, small), database(small), queries.oracle_sql()[name])
