@@ -74,11 +74,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     wanted = parts.where(F.size(slots) * 2 <= window).select("window", "key", "at").checkpoint()
 
     found = docs.select("id", "h", template(F.col("text")).alias("tokens")).select("id", "h", F.posexplode(_windows(F.col("tokens"), window)).alias("pos", "window"))
-    hits = found.join(_small(wanted, BROADCAST_ROWS), "window").select("id", "h", "key", "at", "pos").distinct()
+    hits = found.join(_small(wanted, BROADCAST_ROWS), "window").select("id", "h", "key", "at", "pos").distinct().checkpoint()
     shape = items.select("key", F.size("tokens").alias("length"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda a: F.sequence(a, a + (window - 1))))))
     near = hits.groupBy("id", "h", "key").agg(covered.alias("covered")).join(_small(shape, BROADCAST_ROWS), "key").where(F.col("covered") >= coverage * F.col("length"))
-    hits = hits.checkpoint()
     near = hits.join(near.select(F.col("id").alias("i"), F.col("h").alias("hh"), F.col("key").alias("kk")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")) & (F.col("key") == F.col("kk")), "left_semi")
     at_shift = near.groupBy("id", "h", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats")).checkpoint()
 
