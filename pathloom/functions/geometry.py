@@ -7,6 +7,8 @@ and sums want; no operator loops over a line.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +139,40 @@ def piece_lines(cut: DataFrame, keys: list[str]) -> DataFrame:
     return cut.groupBy(*keys).agg(steps.alias("steps"), F.sum("len").alias("length_m")).select(*keys, without_repeats(line).alias("line"), "length_m")
 
 
+def far_from_chord(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points stay: both ends, and of each stretch between kept points the farthest from its chord, if beyond ``tolerance``."""
+    keep = np.zeros(len(xs), bool)
+    keep[[0, -1]] = True
+    open_ = [(0, len(xs) - 1)]
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        dx, dy = xs[b] - xs[a], ys[b] - ys[a]
+        px, py = xs[a + 1 : b] - xs[a], ys[a + 1 : b] - ys[a]
+        square = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / square, 0, 1) if square else np.zeros(b - a - 1)
+        off = np.hypot(px - t * dx, py - t * dy)
+        far = int(off.argmax())
+        if off[far] > tolerance:
+            keep[a + 1 + far] = True
+            open_ += [(a, a + 1 + far), (a + 1 + far, b)]
+    return keep
+
+
 def simplify(line: Column, tolerance: float) -> Column:
-    """For display: points closer than ``tolerance`` to the last point kept are left out; both ends stay."""
-    kept = F.aggregate(F.slice(line, 2, F.greatest(F.size(line) - 2, F.lit(0))), F.slice(line, 1, 1), lambda acc, p: F.when(distance(F.element_at(acc, -1)["x"], F.element_at(acc, -1)["y"], p["x"], p["y"]) >= tolerance, F.concat(acc, F.array(p))).otherwise(acc))
-    return F.when(F.size(line) <= 2, line).otherwise(F.concat(kept, F.slice(line, -1, 1)))
+    """The line by Douglas and Peucker's rule, for display; null stays null, lines of up to two points stay as they are.
+
+    Which points stay is found in Arrow batches from the two coordinate arrays; the points are filtered beside it.
+    """
+
+    @F.pandas_udf("array<boolean>")
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else far_from_chord(x, y, tolerance) if len(x) > 2 else [True] * len(x) for x, y in zip(xs, ys)])
+
+    flags = kept(F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"]))
+    marked = F.filter(F.arrays_zip(line.alias("p"), flags.alias("f")), lambda z: z["f"])
+    return F.transform(marked, lambda z: z["p"])
 
 
 def extent(points: DataFrame, keys: list[str]) -> DataFrame:

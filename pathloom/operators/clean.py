@@ -69,6 +69,43 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
+def with_geometry(features: DataFrame, geom: str = "geom") -> tuple[DataFrame, DataFrame]:
+    """``(features with a geometry, those whose geometry is null or has no parts)``."""
+    there = F.coalesce(F.size(geom) > 0, F.lit(False))
+    return features.where(there), features.where(~there)
+
+
+def tiny_parts(segments: DataFrame, min_m: float) -> DataFrame:
+    """``(id, part, part_m)``: parts of counted segments that are too short for nodes."""
+    return feature_pieces(segments.where("counted")).where(F.col("last") & (F.col("part_m") < min_m)).select("id", "part", "part_m")
+
+
+def nodeless(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Counted segments without a node."""
+    return segments.where("counted").join(nodes.select(F.col("segment_id").alias("id")), "id", "left_anti")
+
+
+def other_srid(rows: DataFrame, networks: DataFrame) -> DataFrame:
+    """Rows whose ``srid`` is not that of their network ``(network_id, srid)``, which is null for an unknown network."""
+    own = networks.select("network_id", F.col("srid").alias("network_srid"))
+    return rows.join(own, "network_id", "left").where(~F.col("srid").eqNullSafe(F.col("network_srid")))
+
+
+def delete(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """``(rows that stay, rows deleted)``; a null condition deletes nothing."""
+    gone = F.coalesce(condition, F.lit(False))
+    return df.where(~gone), df.where(gone)
+
+
+def touching(features: DataFrame, on: tuple[str, ...] = (), reach: float = 1.0) -> DataFrame:
+    """``(key, other)``, both ways: features within ``reach`` of each other, measured from ends to lines, of equal ``on``."""
+    parts = feature_pieces(features, "key").withColumnRenamed("id", "key")
+    parts = parts.join(features.select("key", *on), "key") if on else parts
+    ends = parts.select("key", *on, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("key", *on, "p.*").distinct()
+    one = within(ends, parts.select(F.col("key").alias("other"), *on, "x1", "y1", "x2", "y2"), reach, on).where("key != other").select("key", "other").distinct()
+    return one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+
+
 def second_carriageways(features: DataFrame, divided: list[str], reach: float = 40.0, share: float = 0.8, every: float = 5.0) -> DataFrame:
     """Keys of the twins of divided roads: ``(key)``.
 
@@ -83,9 +120,7 @@ def second_carriageways(features: DataFrame, divided: list[str], reach: float =
     parts = feature_pieces(roads, "key").withColumnRenamed("id", "key").join(roads.select("key", "name"), "key")
     other = parts.select(F.col("key").alias("other"), "name", "x1", "y1", "x2", "y2")
     points = even_points(parts, every, ("key", "part"), ("name",)).withColumn("sample", F.struct("part", "seq"))
-    ends = parts.select("key", "name", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("key", "name", "p.*").distinct()
-    touch = within(ends, other, 1.0, ("name",)).where("key != other").select("key", "other").distinct()
-    touch = touch.unionByName(touch.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+    touch = touching(roads, ("name",))
     chain = connected_components(touch.select(F.col("key").alias("src"), F.col("other").alias("dst")))
     rows = roads.join(chain.select(F.col("vertex").alias("key"), "component"), "key", "left").withColumn("chain", F.coalesce("component", "key"))
     chain_m = rows.groupBy("chain").agg(F.sum("length_m").alias("chain_m"))

@@ -59,8 +59,9 @@ def import_layer(features: DataFrame, stored: DataFrame | None, layer: str, sett
         raise RuntimeError(f"{layer}: no features; refusing to import")
     if not clean.repeated_keys(features, "key").isEmpty():
         raise RuntimeError(f"{layer}: repeated keys")
-    empty = features.where("geom is null or size(geom) = 0").select("oid")
-    good = features.where("geom is not null and size(geom) > 0").withColumn("length_m", feature_length(F.col("geom"))).withColumn("geom_hash", shape_hash(F.col("geom"), settings.grid))
+    there, missing = clean.with_geometry(features)
+    empty = missing.select("oid")
+    good = there.withColumn("length_m", feature_length(F.col("geom"))).withColumn("geom_hash", shape_hash(F.col("geom"), settings.grid))
     slivers = good.where(F.col("length_m") < settings.min_segment).select("oid", "name", "length_m")
     ranked = clean.duplicates(good.where(F.col("length_m") >= settings.min_segment), "geom_hash", "oid", ["oid", "key"]).checkpoint()
     copies = ranked.where("rn > 1").select("oid", "key", "kept_oid", "kept_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.catalog import network, records, tracks  # noqa: F401  they register their queries
+from pathloom.catalog import imports, network, records, service, tracks  # noqa: F401  they register their queries
 from pathloom.catalog.registry import ORACLES, QUERIES
 
 

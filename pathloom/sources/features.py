@@ -111,6 +111,44 @@ def load_settings(text: str, network: str, required: set[str]) -> tuple[dict, li
     return {k: own[k] for k in required}, [f"unknown setting {k}" for k in sorted(own.keys() - required)]
 
 
+def listing(activities: DataFrame, at: str, oldest: str, newest: str) -> DataFrame:
+    """Activities that start on the days from ``oldest`` to ``newest``, both included; a plain range that reaches the scan."""
+    return activities.where((F.col(at) >= F.lit(oldest).cast("timestamp")) & (F.col(at) <= F.lit(f"{newest} 23:59:59").cast("timestamp")))
+
+
+def load_exclusions(text: str) -> list[tuple[str, str | None, str | None, str]]:
+    """``(layer, key, name, reason)`` of a YAML text with ``cartpaths`` (by global id) and ``roads`` (by object id, name or both).
+
+    Anything else raises ValueError with the entry's place: unknown keys, no reason, no id, an id that is not a whole number.
+    """
+    import yaml
+
+    kinds = {"cartpaths": ("cartpath", {"global_id", "reason"}), "roads": ("road", {"object_id", "name", "reason"})}
+    blocks = yaml.safe_load(text) or {}
+    if not isinstance(blocks, dict) or blocks.keys() - kinds.keys():
+        raise ValueError("exclusions take cartpaths and roads only")
+    rows = []
+    for kind, (layer, allowed) in kinds.items():
+        entries = blocks.get(kind) or []
+        if not isinstance(entries, list):
+            raise ValueError(f"{kind} must be a list")
+        for i, entry in enumerate(entries):
+            where = f"{kind}[{i}]"
+            if not isinstance(entry, dict) or entry.keys() - allowed:
+                raise ValueError(f"{where}: only {', '.join(sorted(allowed))}")
+            texts = {k: entry.get(k) for k in ("global_id", "name", "reason")}
+            if any(v is not None and not (isinstance(v, str) and v.strip()) for v in texts.values()):
+                raise ValueError(f"{where}: empty or not a text")
+            number = entry.get("object_id")
+            if number is not None and type(number) is not int:
+                raise ValueError(f"{where}: object_id must be a whole number")
+            if texts["reason"] is None or (texts["global_id"] is None if layer == "cartpath" else number is None and texts["name"] is None):
+                raise ValueError(f"{where}: a reason and what to exclude are needed")
+            key = "{" + texts["global_id"].strip().strip("{}").upper() + "}" if layer == "cartpath" else None if number is None else str(number)
+            rows.append((layer, key, texts["name"], texts["reason"]))
+    return rows
+
+
 def scan_network(spark: SparkSession, folder: str, network_id: int, layer: str | None = None) -> DataFrame:
     """A table partitioned by network and layer: the filters prune partitions."""
     rows = spark.read.parquet(folder).where(F.col("network_id") == network_id)
