@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 import struct
 
 import pytest
@@ -303,3 +305,55 @@ def test_exclusions_of_a_copy(spark):
     dup = spark.createDataFrame([("cartpath", "k2", "k1")], "layer string, dropped_key string, canonical_key string")
     out, warn = clean.apply_exclusions(seg, key, spark.createDataFrame([], "layer string, name string, reason string"), dup)
     assert out.first()["exclusion_reason"] == "closed" and [r["warning"] for r in warn.collect()] == ["duplicate"]
+
+
+def douglas_peucker(points, tolerance):
+    """The rule as it is written in books, for comparison."""
+    if len(points) < 3:
+        return list(points)
+    (ax, ay), (bx, by) = points[0], points[-1]
+    dx, dy = bx - ax, by - ay
+    square = dx * dx + dy * dy
+    off = []
+    for x, y in points[1:-1]:
+        t = min(1, max(0, ((x - ax) * dx + (y - ay) * dy) / square)) if square else 0
+        off.append(math.hypot(x - ax - t * dx, y - ay - t * dy))
+    far = max(range(len(off)), key=lambda i: off[i])
+    if off[far] <= tolerance:
+        return [points[0], points[-1]]
+    return douglas_peucker(points[: far + 2], tolerance)[:-1] + douglas_peucker(points[far + 1 :], tolerance)
+
+
+def test_simplified_lines(spark):
+    rng = random.Random(5)
+    made = [[(rng.uniform(0, 40), rng.uniform(0, 20)) for _ in range(n)] for n in (0, 1, 2, 3, 5, 30, 200)] + [[(0.0, 0.0), (5.0, 5.0), (0.0, 0.0)], None]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(made)], "id int, line array<struct<x:double,y:double>>")
+    got = {r["id"]: r["s"] for r in rows.select("id", g.simplify(F.col("line"), 3.0).alias("s")).collect()}
+    for i, line in enumerate(made):
+        assert (None if got[i] is None else [tuple(p) for p in got[i]]) == (None if line is None else douglas_peucker(line, 3.0))
+    assert rows.where("id < 0").select(g.simplify(F.col("line"), 3.0).alias("s")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["paths: []", "roads: 3", "roads: [{name: Elm}]", "roads: [{reason: x}]", "roads: [{object_id: true, reason: x}]", "roads: [{object_id: '7', reason: x}]", "cartpaths: [{reason: x}]", "cartpaths: [{global_id: a, reason: ' '}]", "cartpaths: [{global_id: a, reason: x, note: y}]"])
+def test_bad_exclusions_are_refused(text):
+    with pytest.raises(ValueError):
+        features.load_exclusions(text)
+
+
+def test_exclusions_may_be_empty():
+    assert features.load_exclusions("") == [] and features.load_exclusions("roads:") == []
+
+
+def test_requests_are_bounded(spark):
+    rows = spark.createDataFrame([(1, i, 40.0, -84.0) for i in range(5)] + [(2, 0, 40.0, None), (2, 1, 40.0, 3.0), (3, 0, 40.0, 3.0), (3, 1, 40.0, 181.0), (4, 0, 0.0, 0.0), (4, 1, 0.0, 0.0)], "request int, seq int, lat double, lon double")
+    got = {r["request"]: r["problem"] for r in routing.check_requests(rows, most=4).collect()}
+    assert got == {1: "more than 4 points", 2: "latitude or longitude out of range", 3: "latitude or longitude out of range", 4: None}
+
+
+def test_null_rows_and_empty_tables_in_maintenance(spark):
+    rows = spark.createDataFrame([(1, None), (2, -1.0), (3, 1.0)], "k int, v double")
+    kept, gone = clean.delete(rows, F.col("v") < 0)
+    assert {r["k"] for r in kept.collect()} == {1, 3} and [r["k"] for r in gone.collect()] == [2]
+    counts = spark.createDataFrame([("a", 3), ("b", 2)], "layer string, n long")
+    assert {r["line"] for r in health.change_lines(counts.where("false"), counts, "layer", "n").collect()} == {"a: 0 → 3", "b: 0 → 2"}
+    assert health.change_lines(counts, counts, "layer", "n").isEmpty()
