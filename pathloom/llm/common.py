@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pathloom.operators.components import shared_folder
 
 #: Bytes of text that a Python task holds as Python objects at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,8 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
                 made = work(part.column(part.schema.get_field_index(text_col)).to_pylist())
                 arrays = [pa.array(made[n], T_ARROW[t.simpleString()]) for n, t in fields]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])
+            batch = part = arrays = None
+            pa.default_memory_pool().release_unused()  # the worker stays for later tasks, its buffers need not
 
     return base.mapInArrow(run, schema)
 

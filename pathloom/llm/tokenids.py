@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import slices
+
+#: Bytes of text encoded together; larger runs find more pieces already seen.
+ENCODE_BYTES = 2_000_000
 
 END_ID = 2
 SAMPLE = 64
@@ -152,7 +155,7 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
 
         size = 0
         for batch in batches:
-            for some in slices(batch, "text", SLICE_BYTES):
+            for some in slices(batch, "text", ENCODE_BYTES):
                 for doc, own, x in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), work.encode(some.column(1).to_pylist())):
                     part = own
                     held.append(x + end)
