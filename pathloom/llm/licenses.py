@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import append_columns
 
-# Licence sentences by identifier, as licences and notices have them.
+# Licence sentences by identifier, whole, as licences and notices have them.
 SENTENCES = {
     "apache2-notice": "Licensed under the Apache License, Version 2.0",
     "apache2-compliance": "you may not use this file except in compliance with the License",
@@ -13,12 +19,12 @@ SENTENCES = {
     "apache2-asis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "mit-notice": "Released under the MIT License",
     "mit-licensed": "Licensed under the MIT License",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
     "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "mit-asis": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+    "mit-asis": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "ccbync4-notice": "Licensed under CC BY-NC 4.0",
     "ccby4-notice": "Licensed under CC BY 4.0",
     "ccbysa4-notice": "Licensed under CC BY-SA 4.0",
@@ -29,6 +35,28 @@ SENTENCES = {
     "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "unlicense-notice": "This is free and unencumbered software released into the public domain",
 }
+# Other wordings of the identifiers, found wherever they stand; where a program or holder is named, the part without the name.
+VARIANTS = [
+    ("apache2-notice", "under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
+    ("apache2-notice", "under the Apache License, Version 2.0 (the \"License\"); you may not use these files except in compliance with the License"),
+    ("apache2-compliance", "you may not use these files except in compliance with the License"),
+    ("mit-condition", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    ("mit-asis", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT"),
+    ("gpl-free", "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl-free", "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3, or (at your option) any later version"),
+    ("gpl-warranty", "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions, and the following disclaimer"),
+    ("bsd-endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "may not be used to endorse or promote products derived from this software without specific prior written permission"),
+]
+# Beginnings of sentences that identify a licence only as whole sentences of their own.
+BEGINNINGS = [
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit-asis", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"),
+    ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+]
 # Rules in order of preference; a rule holds if its identifiers occur in this order in a text.
 RULES = [
     ("MIT-text", "MIT", ["mit-grant", "mit-condition", "mit-asis"]),
@@ -46,52 +74,105 @@ RULES = [
     ("MPL-2-notice", "MPL-2.0", ["mpl2-notice"]),
     ("Unlicense-notice", "Unlicense", ["unlicense-notice"]),
 ]
-#: Where sentences end: a stop before white space, a colon at a line's end, an empty line.
-STOP = r"[.!?](?=\s|$)|:(?=\s*\n)|\n\s*\n"
+# A rule does not hold where its last identifier is followed by this one before its first comes again.
+UNLESS = {"BSD-2-text": "bsd-endorse"}
+#: Identifiers of one-line notices, which must be sentences or lines of their own: a text that mentions one has no licence.
+ALONE = ("-notice", "-licensed")
+#: Every known sentence has one of these words; other texts are not searched.
+ANCHOR = r"(?i)licen[sc]e|software|warranty|redistribution|\bCC[^\p{L}\p{N}]+BY\b"
+_WORD = re.compile(r"[^\W_]+")
+#: Marks between two words that end a sentence: a stop before white space, a colon at a line's end, a line without words.
+_STOP = re.compile(r"[.!?]\s|:\s*\n|\n[^\n]*\n")
+#: Comment marks that are words, at the beginning of a line.
+_MARK = re.compile(r"^[ \t]*(?:dnl|rem)(?=[ \t]|$)", re.M)
 
 
-def normalised(sentence: Column) -> Column:
+def _words(sentence: str) -> str:
     """Lower case, runs of anything but letters and digits as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    return " ".join(_WORD.findall(sentence.lower()))
 
 
-def _dictionary(spark, sentences: dict[str, str]) -> DataFrame:
-    known = spark.createDataFrame(list(sentences.items()), "sentence_id string, sentence string")
-    return known.select("sentence_id", normalised(F.col("sentence")).alias("_norm"))
+def _dictionary(sentences: dict[str, str]) -> list[tuple[str, str, bool]]:
+    """(identifier, words, must it stand alone); the variants of the identifiers in ``sentences`` come with them."""
+    known = {(k, _words(s), k.endswith(ALONE)): None for k, s in sentences.items()}
+    known |= {(k, _words(s), False): None for k, s in VARIANTS if k in sentences}
+    known |= {(k, _words(s), True): None for k, s in BEGINNINGS if k in sentences}
+    return [x for x in known if x[1]]
+
+
+def find_sentences(text: str, known: list[tuple[str, str, bool]]) -> list[tuple[int, str]]:
+    """(number of the first word, identifier) of each known sentence in the text, in order.
+
+    Words are compared, so case, punctuation, line breaks and comment marks do not matter. A sentence that must stand
+    alone begins a line or sentence, ends one, and has no other sentence's end inside.
+    """
+    text = _MARK.sub("", text.lower())
+    spans = [m.span() for m in _WORD.finditer(text)]
+    joined = " " + " ".join(text[a:b] for a, b in spans) + " "
+    starts, at = [], 0
+    for a, b in spans:
+        starts.append(at)
+        at += b - a + 1
+
+    def gap(k: int) -> str:  # what stands before word k
+        return text[spans[k - 1][1] if k else 0 : spans[k][0] if k < len(spans) else len(text)]
+
+    def ends(k: int) -> bool:
+        return k == 0 or k == len(spans) or "\n" in gap(k) or bool(_STOP.search(gap(k)))
+
+    found = set()
+    for name, words, alone in known:
+        at = joined.find(f" {words} ")
+        while at >= 0:
+            k = bisect.bisect_left(starts, at)
+            n = words.count(" ") + 1
+            if not alone or (ends(k) and ends(k + n) and not any(_STOP.search(gap(i)) for i in range(k + 1, k + n))):
+                found.add((k, name))
+            at = joined.find(f" {words} ", at + 1)
+    return sorted(found)
 
 
 def sentence_ids(df: DataFrame, id_col: str, text_col: str, sentences: dict[str, str] = SENTENCES) -> DataFrame:
     """``(id, ids)``: the known sentences of each whole text in order, for the texts that have any.
 
-    Texts are cut into sentences; a sentence that runs over lines is tried whole and line by line, so both a wrapped
-    sentence and a notice below a heading are found. Case, punctuation and white space do not matter.
+    Wrapped sentences, sentences below a heading or a copyright line and those in comments are found as they are in
+    plain text (see :func:`find_sentences`).
     """
-    known = _dictionary(df.sparkSession, sentences)
-    lengths = [len(s) for s in sentences.values()]
-    cut = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), STOP)).alias("pos", "_whole"))
-    lines = F.when(F.trim("_whole").contains("\n"), F.concat(F.array("_whole"), F.split("_whole", "\n"))).otherwise(F.array("_whole"))
-    cut = cut.select("id", "pos", F.posexplode(lines).alias("line", "_raw"))
-    fits = F.length("_raw").between(min(lengths) - 8, 2 * max(lengths))
-    norm = cut.where(fits).select("id", "pos", "line", normalised(F.col("_raw")).alias("_norm"))
-    hits = norm.join(F.broadcast(known), "_norm").select("id", F.struct("pos", "line", "sentence_id").alias("hit"))
+    known = _dictionary(sentences)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(ANCHOR)) if sentences is SENTENCES else df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def work(values):
+        return {"_hits": [",".join(f"{k}:{name}" for k, name in find_sentences(t or "", known)) for t in values]}
+
+    hits = append_columns(texts, "text", [("_hits", T.StringType())], lambda: work).where("_hits <> ''")
+    hits = hits.select("id", F.explode(F.split("_hits", ",")).alias("h"))
+    hits = hits.select("id", F.struct(F.split_part("h", F.lit(":"), F.lit(1)).cast("int").alias("pos"), F.split_part("h", F.lit(":"), F.lit(2)).alias("sentence_id")).alias("hit"))
     return hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("hit")), lambda h: h["sentence_id"]).alias("ids"))
 
 
-def _in_order(ids: Column, rule: list[str]) -> Column:
-    """Does ``ids`` hold the rule's identifiers in this order: a fold that counts how far the rule has come."""
-    wanted = F.array(*[F.lit(x) for x in rule])
-    reached = F.aggregate(ids, F.lit(0), lambda k, x: F.when((k < len(rule)) & (x == F.get(wanted, k)), k + 1).otherwise(k))
-    return reached == len(rule)
+def _in_order(ids: Column, rule: list[str], unless: str | None = None) -> Column:
+    """Does ``ids`` hold the rule's identifiers in this order: a fold that counts how far the rule has come. One that is
+    complete goes back to none at ``unless``, until its first identifier comes again."""
+    n, wanted = len(rule), F.array(*[F.lit(x) for x in rule])
+
+    def step(k, x):
+        on = F.when((k < n) & (x == F.get(wanted, k)), k + 1)
+        if unless:
+            on = on.when((k == n) & (x == unless), 0).when((k == n) & (x == rule[0]), n + 1)
+        return on.otherwise(k)
+
+    return F.aggregate(ids, F.lit(0), step) >= n
 
 
 def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """``(id, license, rule, n_sentences)``: a row for each licence of each text that has one, by its first rule that holds.
 
     Null and empty texts have none; rows that share an id are read as one text's parts; a null id is an id of its own;
-    no rows give no rows; other columns do not matter. The sentences and rules are fixed lists, and broadcast.
+    no rows give no rows; other columns do not matter. The sentences and rules are fixed lists. A BSD text
+    with the third clause is not also one without it.
     """
     found = sentence_ids(df, id_col, text_col, sentences)
-    hits = F.array(*[F.when(_in_order(F.col("ids"), seq), F.struct(F.lit(k).alias("k"), F.lit(lic).alias("license"), F.lit(name).alias("rule"), F.lit(len(seq)).cast("long").alias("n_sentences"))) for k, (name, lic, seq) in enumerate(rules)])
+    hits = F.array(*[F.when(_in_order(F.col("ids"), seq, UNLESS.get(name)), F.struct(F.lit(k).alias("k"), F.lit(lic).alias("license"), F.lit(name).alias("rule"), F.lit(len(seq)).cast("long").alias("n_sentences"))) for k, (name, lic, seq) in enumerate(rules)])
     each = found.select("id", F.explode(F.array_compact(hits)).alias("h")).select("id", "h.*")
     first = each.groupBy("id", "license").agg(F.min_by(F.struct("rule", "n_sentences"), "k").alias("r"))
     return first.select(F.col("id").alias(id_col), "license", "r.rule", "r.n_sentences")

@@ -180,6 +180,88 @@ def test_licenses(spark, small):
     assert want and want == got
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This file is part of Foobar.
+
+Foobar is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+Foobar is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """
+3. Neither the name of Some Body Ltd. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licenses_of_verbatim_texts(spark):
+    texts = {"MIT-text": MIT, "Apache-2-header": APACHE, "GPL-3-header": GPL, "BSD-2-text": BSD, "BSD-3-text": BSD + BSD_3}
+    marks = {0: lambda t: t, 1: lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.split("\n")), 2: lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */", 3: lambda t: "".join(f"dnl {x}\n" for x in t.split("\n")), 4: lambda t: t.replace("\n", "\r\n")}
+    rows = [(10 * i + k, f"Some words.\n{mark(t)}\nint main;") for i, t in enumerate(texts.values()) for k, mark in marks.items()]
+    mention = "We think that texts licensed under the MIT License are many.\nNone is released under the MIT License."
+    cut = MIT.replace(", including without limitation", " in schools only, including without limitation")
+    rows += [(900, mention), (901, cut), (902, f"{BSD}\n{BSD}{BSD_3}"), (903, f"{BSD}{BSD_3}\n{BSD}")]
+    found = sorted((r["doc_id"], r["rule"]) for r in licenses.licenses(docs_of(spark, rows)).collect())
+    want = [(10 * i + k, name) for i, name in enumerate(texts) for k in marks]
+    assert found == sorted(want + [(i, name) for i in (902, 903) for name in ("BSD-2-text", "BSD-3-text")])
+    known = licenses._dictionary(licenses.SENTENCES)
+    anchor = licenses.ANCHOR.replace(r"[^\p{L}\p{N}]", r"[\W_]")
+    assert not [words for _, words, _ in known if not re.search(anchor, words)]
+
+
 def verdict_by_hand(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
