@@ -63,6 +63,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     any other; rows that repeat an id are judged by themselves and their pairs reported once; empty tables give no
     rows; other columns do not matter.
     """
+    result = judged(df, benchmark, id_col, text_col, item_col, item_text_col, window, coverage)
+    best = result.groupBy("id", "item").agg(F.max("coverage").alias("coverage"), F.bool_or("alike").alias("alike"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "coverage", F.when(F.col("alike"), "verbatim").otherwise("template").alias("kind"))
+
+
+def judged(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """``(id, h, key, item, coverage, alike)`` as :func:`contaminated`, but for each text of an id: ``h`` is its ``xxhash64``."""
     spark = df.sparkSession
     shared_folder(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
@@ -95,6 +102,4 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side]))) == F.size("slots")
     pairs = pairs.where(one("a") & one("b")).withColumn("alike", F.forall("slots", lambda s: s["a"] == s["b"]))
     reach = F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first(F.size("tokens"))
-    result = pairs.groupBy("id", "h", "key", "item").agg(reach.alias("coverage"), F.bool_and("alike").alias("alike")).where(F.col("coverage") >= coverage)
-    best = result.groupBy("id", "item").agg(F.max("coverage").alias("coverage"), F.bool_or("alike").alias("alike"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "coverage", F.when(F.col("alike"), "verbatim").otherwise("template").alias("kind"))
+    return pairs.groupBy("id", "h", "key", "item").agg(reach.alias("coverage"), F.bool_and("alike").alias("alike")).where(F.col("coverage") >= coverage)

@@ -133,16 +133,25 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have fingerprint 0 and link like any other. Rows with a null id take part and have the
     component of their fingerprint (null if no row there has an id); repeated rows each stay; no rows give no rows.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    rows = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words).select("id", "fp").checkpoint()
+    rows = _prints(df, id_col, text_col, words)
+    return _with_class(rows, _by_print(rows, radius))
+
+
+def _prints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(id, h, fp)`` of every row; ``h`` is the hash of its text."""
+    shared_folder(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return fingerprints(rows, "text", words).select("id", "h", "fp").checkpoint()
+
+
+def _by_print(rows: DataFrame, radius: int) -> DataFrame:
+    """``(fp, component_id, component)`` for every fingerprint; ``component`` is never null, unlike ``component_id``."""
     classes = rows.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
     parts = connected_components(near_links(classes.select("fp"), radius)).select(F.col("vertex").alias("fp"), "component").checkpoint()
     linked = parts.join(classes, "fp")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    named = linked.join(names, "component").select("fp", "name")
-    by_print = classes.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return _with_class(rows, by_print)
+    named = linked.join(names, "component").select("fp", "name", "component")
+    return classes.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
 
 
 def _with_class(rows: DataFrame, by_print: DataFrame, hot_share: float = 0.001) -> DataFrame:
@@ -158,17 +167,27 @@ def _with_class(rows: DataFrame, by_print: DataFrame, hot_share: float = 0.001)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``df`` less the rows of a component but that with its smallest id; of rows that repeat an id one stays.
+    """``df`` less all but one row of each component: that with the smallest id, of these that with the smallest hash of its text.
 
-    A row with a null id stays only if no other row of its component has an id; all such rows of a component are one.
-    Only ids travel: the rows are filtered by the ids to drop, which are broadcast if they are counted to be few.
+    A row with a null id stays only if no row of its component has an id. Rows are judged by id and text, so neither
+    rows that share an id nor those without one stand for each other. Only ids and hashes travel: the rows are
+    filtered by what is to drop, which is broadcast if it is counted to be little.
     """
-    found = near_components(df, id_col, text_col, words, radius).checkpoint()
-    dropped = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone")).distinct().checkpoint()
+    rows = _prints(df, id_col, text_col, words)
+    by_print = _by_print(rows, radius).checkpoint()
+    # The best row of each fingerprint comes first: copies of one text are one value in the joins below.
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
+    best = rows.groupBy("fp").agg(F.min(order).alias("o")).join(by_print, "fp").groupBy("component").agg(F.min("o").alias("o"))
+    first = best.select(F.col("o.id").alias("id"), F.col("o.h").alias("h")).checkpoint()
+    judged = rows.groupBy("id", "h").agg(F.count("*").alias("n"))
+    found = judged.join(first.withColumn("stays", F.lit(True)).withColumnRenamed("id", "i").withColumnRenamed("h", "hh"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left")
+    found = found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n", F.coalesce("stays", F.lit(False)).alias("stays")).checkpoint()
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    dropped = found.where("not stays").select("_id", "_h")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    kept = df.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.groupBy("id").count().where("count > 1").select(F.col("id").alias("_again")).checkpoint()
+    kept = df.join(dropped, mine, "left_anti")
+    repeated = found.where("stays and n > 1").select("_id", "_h")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti").unionByName(again)
+    again = kept.join(repeated, mine, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, mine, "left_anti").unionByName(again)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import tempfile
+
 import corpus_pipeline
 from pathloom.llm import bpe, secrets
 
@@ -38,3 +41,18 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, now, folder).collect()
     assert {r["doc_id"] for r in last} == set(rows) and all(r["round_trip"] for r in last)
     assert bpe.encode(now, corpus_pipeline.queries._tokenizer("byte_bpe_50k.tiktoken"), corpus_pipeline.queries._pattern()).count() == len(rows)
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e, item = (text() for _ in range(6))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, a), (2, d), (3, e), (3, e)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (3, e)], key=str)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, b), (4, f"{item} {c}"), (4, d), (5, None)]
+    clean = corpus_pipeline.decontamination(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema), folder).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in clean), key=str) == sorted([(None, b), (4, d), (5, None)], key=str)
