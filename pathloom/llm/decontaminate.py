@@ -41,9 +41,14 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(TEMPLATE_TOKEN), F.lit(0))
 
 
-def _windows(tokens: Column, window: int) -> Column:
+def _as_written(raw: Column | str) -> Column:
+    """Raw tokens in lower case, marked so that none is equal to one of a template."""
+    return F.transform(raw, lambda t: F.concat(F.lit("="), F.lower(t)))
+
+
+def _windows(tokens: Column, window: Column | int) -> Column:
     """The hash of each run of ``window`` tokens; none if there are fewer."""
-    starts = F.when(F.size(tokens) >= window, F.sequence(F.lit(1), F.size(tokens) - (window - 1))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.size(tokens) >= window, F.sequence(F.lit(1), F.size(tokens) - window + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, window)))
 
 
@@ -55,12 +60,14 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``(id, item, coverage, kind)`` for every document and benchmark item it repeats.
 
-    ``coverage`` is the part of the item's tokens inside template windows that the document has too, at shifts whose
-    placeholders map one to one; a pair is reported at ``coverage`` or more. ``kind`` is ``verbatim`` if all of its
-    placeholders were filled alike, else ``template``. Windows of placeholders for the larger half are not joined on.
+    ``coverage`` is the part of the item's tokens inside template windows that the document has too; windows with a
+    placeholder whose filling in the item stands for several in the document at this shift do not count. A pair is
+    reported at ``coverage`` or more. ``kind`` is ``verbatim`` if all of its placeholders were filled alike, else
+    ``template``. Windows without any word count where a window with words fits at the same shift; items without
+    words are searched as written. An item shorter than ``window`` is one window; with fewer than two words it is
+    searched as written, and an item of one token counts only for documents that are that token.
 
-    Null and empty texts are never reported, nor are items of fewer than ``window`` tokens; a null id is an id like
-    any other; rows that repeat an id are judged by themselves and their pairs reported once; empty tables give no
+    Null and empty texts are never reported, nor are items without tokens; a null id is an id like any other; rows that repeat an id are judged by themselves and their pairs reported once; empty tables give no
     rows; other columns do not matter.
     """
     result = judged(df, benchmark, id_col, text_col, item_col, item_text_col, window, coverage)
@@ -75,16 +82,35 @@ def judged(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     items = items.select("item", raw_tokens(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens")).withColumn("key", F.xxhash64("item", "raw"))
-    items = items.where(F.size("tokens") >= window).checkpoint()
-    parts = items.select("key", "tokens", F.posexplode(_windows(F.col("tokens"), window)).alias("at", "window"))
-    slots = F.filter(F.slice("tokens", F.col("at") + 1, window), lambda t: t.isin(NUMBER, NAME, UNIT))
-    wanted = parts.where(F.size(slots) * 2 <= window).select("window", "key", "at").checkpoint()
-
-    found = docs.select("id", "h", template(F.col("text")).alias("tokens")).select("id", "h", F.posexplode(_windows(F.col("tokens"), window)).alias("pos", "window"))
+    slot = lambda t: t.isin(NUMBER, NAME, UNIT)
+    words = F.size(F.filter("tokens", lambda t: ~slot(t)))
+    as_written = (words == 0) | ((F.size("tokens") < window) & (words < 2))
+    items = items.where(F.size("tokens") > 0).withColumn("w", F.least(F.size("tokens"), F.lit(window)))
+    starts = F.sequence(F.lit(0), F.size("tokens") - F.col("w"))
+    bare = F.filter(starts, lambda a: F.forall(F.slice("tokens", a + 1, F.col("w")), slot))
+    # Where a copy stands behind a word, its first word looks like a name: what hangs on the first window is also searched as written.
+    frail = F.size(F.array_remove(F.array_except(starts, bare), 0)) == 0
+    modes = F.when(as_written, F.array(F.lit(True))).when(frail, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    items = items.withColumn("bare", bare).withColumn("exact", F.explode(modes)).withColumn("key", F.xxhash64("key", "exact"))
+    items = items.withColumn("bare", F.when(F.col("exact"), F.array().cast("array<int>")).otherwise(F.col("bare"))).checkpoint()
+    parts = items.select("key", "bare", F.posexplode(F.when(F.col("exact"), _windows(_as_written("raw"), F.col("w"))).otherwise(_windows(F.col("tokens"), F.col("w")))).alias("at", "window"))
+    wanted = parts.where(~F.array_contains("bare", F.col("at"))).select("window", "key", "at").checkpoint()
+
+    # Most benchmarks have one kind of window; short items and those without words add kinds, at most twice ``window``.
+    found = None
+    for kind in items.select("w", "exact").distinct().collect():
+        tokens = _as_written(raw_tokens(F.col("text"))) if kind["exact"] else template(F.col("text"))
+        each = docs.select("id", "h", tokens.alias("tokens"))
+        each = each.where("size(tokens) = 1") if kind["w"] == 1 else each
+        each = each.select("id", "h", F.posexplode(_windows(F.col("tokens"), kind["w"])).alias("pos", "window"))
+        found = each if found is None else found.unionByName(each)
+    if found is None:
+        found = docs.where("false").select("id", "h", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("window"))
     hits = found.join(_small(wanted, BROADCAST_ROWS), "window").select("id", "h", "key", "at", "pos").distinct().checkpoint()
-    shape = items.select("key", F.size("tokens").alias("length"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda a: F.sequence(a, a + (window - 1))))))
-    near = hits.groupBy("id", "h", "key").agg(covered.alias("covered")).join(_small(shape, BROADCAST_ROWS), "key").where(F.col("covered") >= coverage * F.col("length"))
+    shape = items.select("key", "w", "bare", F.size("tokens").alias("length"))
+    spread = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + F.col("w") - 1))))
+    near = hits.groupBy("id", "h", "key").agg(F.collect_set("at").alias("ats")).join(_small(shape, BROADCAST_ROWS), "key")
+    near = near.where(F.size(spread(F.concat("ats", "bare"))) >= coverage * F.col("length"))
     near = hits.join(near.select(F.col("id").alias("i"), F.col("h").alias("hh"), F.col("key").alias("kk")), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")) & (F.col("key") == F.col("kk")), "left_semi")
     at_shift = near.groupBy("id", "h", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats")).checkpoint()
 
@@ -92,14 +118,19 @@ def judged(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left_semi").dropDuplicates(["id", "h"])
     texts = texts.select(F.col("id").alias("i"), F.col("h").alias("hh"), raw_tokens(F.col("text")).alias("doc_raw"), template(F.col("text")).alias("doc_tokens"))
     pairs = at_shift.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).drop("i", "hh").join(items, "key")
-    same = F.filter("ats", lambda a: F.slice("tokens", a + 1, window) == F.slice("doc_tokens", a + 1 + F.col("shift"), window))  # not by hash alone
-    pairs = pairs.withColumn("ats", same).where("size(ats) > 0")
-    places = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (window - 1)))))
-    pairs = pairs.withColumn("places", places)
-    filled = F.filter("places", lambda p: F.get("tokens", p).isin(NUMBER, NAME, UNIT))
-    slot = lambda p: F.struct(F.lower(F.get("raw", p)).alias("a"), F.lower(F.get("doc_raw", p + F.col("shift"))).alias("b"))
-    pairs = pairs.withColumn("slots", F.array_distinct(F.transform(filled, slot)))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side]))) == F.size("slots")
-    pairs = pairs.where(one("a") & one("b")).withColumn("alike", F.forall("slots", lambda s: s["a"] == s["b"]))
+    # Not by hash alone; a shift may be such that a window without words would begin before the document.
+    there = lambda side, a: F.slice(side, F.greatest(a + 1 + F.col("shift"), F.lit(1)), "w")
+    written = lambda a: F.transform(F.slice("raw", a + 1, "w"), F.lower) == F.transform(there("doc_raw", a), F.lower)
+    fits = lambda a: (a + F.col("shift") >= 0) & F.when(F.col("exact"), written(a)).otherwise(F.slice("tokens", a + 1, "w") == there("doc_tokens", a))
+    pairs = pairs.withColumn("ats", F.filter(F.array_distinct(F.concat("ats", "bare")), fits))
+    filled = lambda: F.filter(spread("ats"), lambda p: slot(F.get("tokens", p)))
+    pair = lambda p: F.struct(F.lower(F.get("raw", p)).alias("a"), F.lower(F.get("doc_raw", p + F.col("shift"))).alias("b"))
+    pairs = pairs.withColumn("slots", F.array_distinct(F.transform(filled(), pair)))
+    names = F.transform("slots", lambda s: s["a"])
+    pairs = pairs.withColumn("torn", F.filter(F.array_distinct(names), lambda x: F.size(F.filter("slots", lambda s: s["a"] == x)) > 1))
+    whole = lambda a: ~F.exists(F.sequence(a, a + F.col("w") - 1), lambda p: slot(F.get("tokens", p)) & F.array_contains("torn", F.lower(F.get("raw", p))))
+    pairs = pairs.withColumn("ats", F.when(F.size("torn") == 0, F.col("ats")).otherwise(F.filter("ats", whole))).where("size(ats) > 0")
+    pairs = pairs.withColumn("places", spread("ats"))
+    pairs = pairs.withColumn("alike", F.forall(filled(), lambda p: pair(p)["a"] == pair(p)["b"]))
     reach = F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first(F.size("tokens"))
     return pairs.groupBy("id", "h", "key", "item").agg(reach.alias("coverage"), F.bool_and("alike").alias("alike")).where(F.col("coverage") >= coverage)

@@ -149,6 +149,19 @@ def test_decontamination_verbatim_and_template(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_placeholders_and_short_items(spark):
+    items = {1: "Compute 12 + 34 * 56 - 7", 2: "At 9:30 Tom Lee paid 12.50 dollars to Ann Ray", 3: "Add 3 and 4", 4: "2 + 2", 5: "Paris", 6: "1 2 3 4 5 6 7", 7: "Sum of 10 20 30 40 50 60 70 80 90 please", 8: ITEM}
+    same = ITEM.replace("12 apples", "30 apples").replace("5 km", "30 km").replace("12 pears", "30 pears")  # 12 and 5 both became 30
+    slip = f"{ITEM} and then they went on to sell all of the fruit to Alice"
+    rows = [(1, "so compute 90 + 81 * 72 - 63 now"), (2, "Well. At 7:15 Eva Kim paid 99 euros to Bob Fox and left"), (3, "please add 50 and 60 here"), (4, "we know 2 + 2 is four"), (5, "paris"), (6, "Paris is large"), (7, "see 1 2 3 4 5 6 7 there")]
+    rows += [(8, "see 7 6 5 4 3 2 1 there"), (9, "the sum of 1 2 3 4 5 6 7 8 9 please"), (10, f"Well. {same}."), (11, slip.replace("to Alice", "to Carol")), (12, f"x {items[2]} y"), (13, "3 + 3"), (14, f"x {items[1]} y")]
+    bench = spark.createDataFrame([*items.items(), (11, slip)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    want = {(1, 1): "template", (2, 2): "template", (3, 3): "template", (4, 4): "verbatim", (5, 5): "verbatim", (7, 6): "verbatim", (9, 6): "verbatim", (9, 7): "template", (10, 8): "template", (11, 8): "verbatim", (12, 2): "verbatim", (14, 1): "verbatim"}
+    assert {k: v for k, v in found.items() if k != (11, 11)} == want
+    assert (11, 11) in found  # Alice became Carol in one of two places, the rest is as it was
+
+
 def test_decontamination_of_table(spark, small):
     folder = "/root/testdata/sf0.01"
     own, items = texts(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet").collect()
