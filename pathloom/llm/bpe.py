@@ -20,8 +20,10 @@ from .common import append_columns
 
 #: Pieces up to this many bytes go through the row-wise trees; longer ones through a tree of their own.
 WIDE = 32
-#: Pieces remembered by a worker; it forgets them all beyond that.
-REMEMBERED = 1_000_000
+#: Pieces of a worker's young generation; a full one becomes the old one, whose pieces not met since are forgotten.
+REMEMBERED = 100_000
+#: Bytes of a piece that is remembered at most; longer ones are encoded again.
+REMEMBERED_BYTES = 64
 _NONE = 1 << 40
 
 
@@ -50,6 +52,7 @@ class BytePairEncoder:
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     # one piece, a tree of its own
     def merge_long(self, piece: bytes) -> list[int]:
@@ -151,31 +154,44 @@ class BytePairEncoder:
         ends = (np.cumsum(live.sum(axis=1)) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _merged(self, pieces: set[str]) -> dict[str, bytes]:
+        made: dict[str, bytes] = {}
         groups: dict[int, list[str]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
             if (rank := self.ranks.get(raw)) is not None:
-                self.known[piece] = rank.to_bytes(4, "little")
+                made[piece] = rank.to_bytes(4, "little")
             elif len(raw) > WIDE:
-                self.known[piece] = np.array(self.merge_long(raw), dtype="<u4").tobytes()
+                made[piece] = np.array(self.merge_long(raw), dtype="<u4").tobytes()
             else:
                 groups.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(piece)
         for width, some in groups.items():
-            for at in range(0, len(some), 8192):
-                part = some[at : at + 8192]
-                self.known.update(zip(part, self.merge_many([p.encode("utf-8", "surrogatepass") for p in part], width)))
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                made.update(zip(part, self.merge_many([p.encode("utf-8", "surrogatepass") for p in part], width)))
+        return made
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is an empty text."""
         pieces = [self.find(t) if t else [] for t in texts]
-        known = self.known
-        missing = {p for some in pieces for p in some if p not in known}
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = {p for some in pieces for p in some}
-        self._learn(missing)
-        return [b"".join(map(known.__getitem__, some)) for some in pieces]
+        now: dict[str, bytes | None] = dict.fromkeys(p for some in pieces for p in some)
+        missing = set()
+        for piece in now:
+            if (x := self.known.get(piece)) is None:
+                x = self.old.get(piece)
+                if x is not None:
+                    self.known[piece] = x
+            if x is None:
+                missing.add(piece)
+            else:
+                now[piece] = x
+        for piece, x in self._merged(missing).items():
+            now[piece] = x
+            if len(x) + len(piece) <= REMEMBERED_BYTES:
+                self.known[piece] = x
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        return [b"".join(map(now.__getitem__, some)) for some in pieces]
 
     def decode(self, ids: list[bytes | None]) -> list[bytes]:
         """The bytes of each run of ids; an id that is no token raises KeyError."""
@@ -191,8 +207,8 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids`` (binary, little-endian unsigned 32-bit integers) and ``n_tokens`` of every whole text.
 
-    Null and empty texts give no ids; a piece of any length costs n log n; repeated rows each get their ids; columns
-    of these two names are replaced.
+    Null and empty texts give no ids; a piece of any length costs n log n; repeated rows each get their ids; an empty
+    table stays empty; columns of these two names are replaced.
     """
 
     def start():
@@ -210,3 +226,19 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> Da
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes that its ids stand for (null ids: no bytes); a column of that name is replaced."""
     return append_columns(df, ids_col, [("decoded", T.BinaryType())], lambda: lambda ids: {"decoded": encoder(path, pattern).decode(ids)})
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and ``n_tokens`` as :func:`encode` gives them and ``decoded`` as :func:`decode` gives it from
+    those ids, in one pass, so that a task needs one Python worker and not two."""
+
+    def start():
+        work = encoder(path, pattern)
+
+        def run(texts):
+            ids = work.encode(texts)
+            return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": work.decode(ids)}
+
+        return run
+
+    return append_columns(df, text_col, [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("decoded", T.BinaryType())], start)
