@@ -61,7 +61,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
     return base.mapInArrow(run, schema)
 
 
-T_ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32()}
+T_ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

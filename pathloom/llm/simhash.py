@@ -23,14 +23,17 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of one bucket that a task compares with as many others; larger buckets are split into such chunks.
 CHUNK = 1024
-#: Ids of dropped rows up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def tokens_of(text: str | None) -> list[bytes]:
+    """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def _counts(text: str | None, words: int) -> tuple[np.ndarray, int]:
     """How often each bit, from the highest, is set in the hashes of the text's shingles, and how many there are."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    tokens = tokens_of(text)
     if not tokens:
         return np.zeros(64, np.int64), 0
     joined = b" ".join(tokens)
@@ -91,7 +94,7 @@ def spanning(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             at = frontier.pop()
-            near = np.bitwise_count(rest ^ at) <= radius
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= radius  # of a signed number it would count the absolute value's
             if near.any():
                 found = rest[near]
                 links += [(int(at), int(x)) for x in found]
@@ -164,30 +167,3 @@ def _with_class(rows: DataFrame, by_print: DataFrame, hot_share: float = 0.001)
     easy = marked.where("is_hot").select("id", "fp", F.col("hot_id").alias("component_id"))
     rest = marked.where("not is_hot").select("id", "fp").join(by_print, "fp").select("id", "fp", "component_id")
     return easy.unionByName(rest)
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``df`` less all but one row of each component: that with the smallest id, of these that with the smallest hash of its text.
-
-    A row with a null id stays only if no row of its component has an id. Rows are judged by id and text, so neither
-    rows that share an id nor those without one stand for each other. Only ids and hashes travel: the rows are
-    filtered by what is to drop, which is broadcast if it is counted to be little.
-    """
-    rows = _prints(df, id_col, text_col, words)
-    by_print = _by_print(rows, radius).checkpoint()
-    # The best row of each fingerprint comes first: copies of one text are one value in the joins below.
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
-    best = rows.groupBy("fp").agg(F.min(order).alias("o")).join(by_print, "fp").groupBy("component").agg(F.min("o").alias("o"))
-    first = best.select(F.col("o.id").alias("id"), F.col("o.h").alias("h")).checkpoint()
-    judged = rows.groupBy("id", "h").agg(F.count("*").alias("n"))
-    found = judged.join(first.withColumn("stays", F.lit(True)).withColumnRenamed("id", "i").withColumnRenamed("h", "hh"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left")
-    found = found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n", F.coalesce("stays", F.lit(False)).alias("stays")).checkpoint()
-    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
-    dropped = found.where("not stays").select("_id", "_h")
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    kept = df.join(dropped, mine, "left_anti")
-    repeated = found.where("stays and n > 1").select("_id", "_h")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, mine, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(repeated, mine, "left_anti").unionByName(again)
