@@ -1,13 +1,15 @@
 """Secret scans: three fixed patterns, and strings in a sensitive context that zstandard cannot compress.
 
 A candidate's novelty is the bytes it adds to a zstandard frame whose dictionary is primed with common code
-identifiers and with the text around it, over its length: words, repeated values and identifiers add little, random
-keys add about as much as they are long.
+identifiers and with the text around it, over the bytes that a random string of its length and alphabet adds: words,
+repeated values and identifiers add little, random keys of any length and alphabet about as much as the random string.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from functools import lru_cache
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -24,7 +26,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 CONTEXT = re.compile(r"auth|bearer|credential|passphrase|passw|pwd|private|secret|token|api.?key|access.?key|signature", re.I | re.A)
+#: A candidate is a whole run of such characters, with a letter and a digit: words and numbers have only one of the two.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: It has somewhere a letter and a digit in ten characters or more without a separator, which names and paths made of words have not.
+DENSE = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{10,}")
+#: Alphabets, from the smallest; a candidate's is the first that holds it.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-")
 # Identifiers and words that code around keys is full of.
 IDENTIFIERS = (
     "access_key access_token account_id api_key apikey application authorization authenticate basic bearer bucket certificate client_id "
@@ -45,23 +52,44 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
+@lru_cache(maxsize=512)
+def _random(alphabet: int, length: int) -> str:
+    """A fixed random string; all of a length and alphabet pack alike."""
+    return "".join(random.Random(length).choices(ALPHABETS[alphabet], k=length))
+
+
 def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> float:
-    """Compressed bytes that ``candidate`` adds, beside the frame's own, to what the dictionary holds, over its length."""
+    """Compressed bytes that ``candidate`` adds to what the dictionary holds, over those that a random string adds: at most about 1."""
     primed = zstandard.ZstdCompressionDict((identifiers + "\n" + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / max(1, len(candidate))
+    added = lambda x: len(packer.compress(x.encode())) - len(packer.compress(b""))
+    own = set(candidate)
+    alphabet = next((k for k, letters in enumerate(ALPHABETS) if own <= set(letters)), len(ALPHABETS) - 1)
+    return added(candidate) / max(1, added(_random(alphabet, len(candidate)))) if candidate else 0.0
+
 
+def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int = 96, after: int = 32, around: int = 512, least: float = 0.85, identifiers: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
+    """Candidates whose novelty is ``least`` or more and that stand in a sensitive context.
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int = 64, around: int = 512, least: float = 0.8, identifiers: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
-    """Candidates outside the ``taken`` spans whose line names something sensitive in the ``reach`` characters before
-    them and whose novelty is ``least`` or more."""
+    The context is something sensitive named in the ``reach`` characters before the candidate, on any line, or in the
+    ``after`` ones behind it on the same line; lines of one key, with only white space between them, share the context
+    of the first. A candidate inside one of the ``taken`` spans, which are sorted by start, is left to that span; one
+    that only overlaps some is reported whole. Its own repetitions do not count as its surroundings.
+    """
     found = []
+    covered, k, end, sensitive = 0, 0, -1, False
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        line = text[max(0, a - reach) : a].rpartition("\n")[2]
-        if any(x < b and a < y for x, y, _ in taken) or not CONTEXT.search(line):
+        while k < len(taken) and taken[k][0] <= a:
+            covered = max(covered, taken[k][1])
+            k += 1
+        goes_on = end >= 0 and a - end <= 8 and text[end:a].isspace()
+        sensitive = sensitive and goes_on or bool(CONTEXT.search(text, max(0, a - reach), a) or CONTEXT.search(text[b : b + after].partition("\n")[0]))
+        end = b
+        if b <= covered or not sensitive or not DENSE.search(m[0]):
             continue
-        if novelty(m[0], text[max(0, a - around) : a] + "\n" + text[b : b + around], identifiers) >= least:
+        near = (text[max(0, a - around) : a] + "\n" + text[b : b + around]).replace(m[0], " ")
+        if novelty(m[0], near, identifiers) >= least:
             found.append((a, b, KINDS[3]))
     return found
 
@@ -69,8 +97,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int = 64, a
 def scan(df: DataFrame, text_col: str = "text", novel: bool = True, identifiers: str = IDENTIFIERS) -> DataFrame:
     """``df`` with ``spans``, an array of (kind, start, end) in code points, end exclusive, by start, then kind.
 
-    Whole texts are searched. Null and empty texts have no spans; repeated rows each get theirs; a column ``spans`` is
-    replaced. Overlapping spans of different base kinds all stay; the compression method adds spans outside them.
+    Whole texts are searched. Null and empty texts have no spans; repeated rows each get theirs; no rows give no rows;
+    a column ``spans`` is replaced. Overlapping spans of different kinds all stay, those of equal start in the order of
+    ``KINDS``; the compression method adds spans that no base span covers.
     """
 
     def work(texts):
@@ -99,8 +128,14 @@ def join_spans(spans, kinds: tuple[str, ...] = KINDS):
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``df`` with every span that :func:`scan` finds replaced by ``mark``; overlapping spans become one mark. Null stays null."""
-    kept = [c for c in df.columns if c.lower() != "_clean"]
+    """``df`` with every span that :func:`scan` finds replaced by ``mark``; overlapping spans become one mark.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, no rows give no rows, and all columns stay,
+    whatever their names.
+    """
+    name = "clean"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
 
     def work(texts):
         out = []
@@ -116,7 +151,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> Dat
                     parts += [text[done:a], mark]
                 done = max(done, b)
             out.append("".join([*parts, text[done:]]) if spans else text)
-        return {"_clean": out}
+        return {name: out}
 
-    made = append_columns(df, text_col, [("_clean", T.StringType())], lambda: work)
-    return made.select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in kept])
+    made = append_columns(df, text_col, [(name, T.StringType())], lambda: work)
+    return made.select(*[made[name if c == text_col else c].alias(c) for c in df.columns])
