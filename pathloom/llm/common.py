@@ -38,11 +38,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
-def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], start: Callable[[], Callable]) -> DataFrame:
-    """``df`` with further columns computed from ``text_col`` in Arrow batches.
+def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], start: Callable[[], Callable], *more: str) -> DataFrame:
+    """``df`` with further columns computed from ``text_col``, and the columns ``more``, in Arrow batches.
 
-    ``start()`` is called once a task and returns ``values -> {name: list}``, which gets a bounded list of the column's
-    values. Columns of the same names that ``df`` has already are replaced; all its other columns pass through.
+    ``start()`` is called once a task and returns ``values, ... -> {name: list}``, which gets a bounded list of each
+    column's values. Columns of the same names that ``df`` has already are replaced; all its other columns pass through.
     """
     names = [n for n, _ in fields]
     base = without(df, *names)
@@ -52,7 +52,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
         work = start()
         for batch in batches:
             for part in slices(batch, text_col):
-                made = work(part.column(part.schema.get_field_index(text_col)).to_pylist())
+                made = work(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in (text_col, *more)])
                 arrays = [pa.array(made[n], T_ARROW[t.simpleString()]) for n, t in fields]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])
             batch = part = arrays = None

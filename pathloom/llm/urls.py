@@ -35,25 +35,33 @@ class UrlTrie:
             *whole, last = path.split("/")  # whole segments, and the beginning of the next
             for segment in whole:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
-            node.setdefault("ends", {}).setdefault(last, (f"{host}{path}", verdict))
+            node.setdefault("ends", {}).setdefault(len(last), {}).setdefault(last, (f"{host}{path}", verdict))
+        todo = [self.root]
+        while todo:  # the longest beginnings first
+            node = todo.pop()
+            if "ends" in node:
+                node["ends"] = sorted(node["ends"].items(), reverse=True)
+            todo += [*node.get("hosts", {}).values(), *node.get("segments", {}).values()]
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
-        best, node = self._below(self.root, path), self.root
+        rest = path.split("/")
+        best, node = self._below(self.root, rest), self.root
         for label in reversed(host.split(".")):
             node = node.get("hosts", {}).get(label)
             if node is None:
                 break
-            best = self._below(node, path) or best
+            best = self._below(node, rest) or best
         return best
 
     @staticmethod
-    def _below(node: dict | None, path: str) -> tuple[str, str] | None:
-        best, rest = None, path.split("/")
-        for k in range(len(rest)):
-            for start, found in sorted(node.get("ends", {}).items()):  # of those that fit, the longest comes last
-                if rest[k].startswith(start) or "/" in start:
+    def _below(node: dict, rest: list[str]) -> tuple[str, str] | None:
+        best = None
+        for k, segment in enumerate(rest):
+            for length, ends in node.get("ends", ()):  # a look-up for each length, however many rules there are
+                if length <= len(segment) and (found := ends.get(segment[:length])):
                     best = found
-            node = node.get("segments", {}).get(rest[k]) if k < len(rest) - 1 else None
+                    break
+            node = node.get("segments", {}).get(segment) if k < len(rest) - 1 else None
             if node is None:
                 break
         return best
@@ -71,22 +79,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` (the rule's, else ``default``).
 
-    Null URLs and those without ``://`` have an empty host and path, which only a rule without a host can fit.
-    Repeated rows each get a verdict; columns of the four names are replaced; the rules' size is checked before
-    they are broadcast.
+    Null URLs and those without ``://`` have an empty host and path, which only a rule without a host can fit. Host
+    and path may hold any characters, line feeds too. Repeated rows each get a verdict; no rows give no rows; columns
+    of the four names are replaced; rules are a list in the driver's memory, and more than ``MAX_RULE_CHARS`` of them
+    raise ValueError before they are broadcast.
     """
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
     host, path = host_and_path(F.col(url_col))
-    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "_where")]
-    parts = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("_where", F.concat_ws("\n", "host", "path"))
+    kept = [df[c] for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    parts = df.select(*kept, host.alias("host"), path.alias("path"))
 
     def start():
         find = trie.value.find
 
-        def work(values):
-            found = [find(*v.split("\n", 1)) for v in values]
+        def work(paths, hosts):
+            found = [find(h, p) for h, p in zip(hosts, paths)]
             return {"rule": [f and f[0] for f in found], "verdict": [f[1] if f else default for f in found]}
 
         return work
 
-    return append_columns(parts, "_where", [("rule", T.StringType()), ("verdict", T.StringType())], start).drop("_where")
+    return append_columns(parts, "path", [("rule", T.StringType()), ("verdict", T.StringType())], start, "host")
