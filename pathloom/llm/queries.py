@@ -103,8 +103,9 @@ def oracle_sql() -> dict[str, str]:
         "op7_top_k": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                 WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-            s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-                FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-            FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+            q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
+            s AS (SELECT q.vec_id AS query_id, q.e AS own, r.vec_id, CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                FROM q JOIN v r ON q.vec_id <> r.vec_id)
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s QUALIFY row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) <= 5""",
     }

@@ -28,7 +28,7 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) ->
 
 
 def best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int, dims: int = DIMENSIONS) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of each query's k best rows but its own; ties go to the smaller row id."""
+    """(number of the query, row id, score) of each query's k best rows but those of its id; ties go to the smaller row id."""
     (qid, q), (rid, r) = queries, rows
     d = q.shape[0]
     cuts = list(range(0, d, dims))
@@ -56,7 +56,7 @@ def best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
                 keep = sums.astype(np.float64) + q_tail[b, i] * r_tail[b, live] * (1 + 1e-9) + 1e-6 >= least
                 live, sums = live[keep], sums[keep]
         top = np.lexsort((rid[live], -sums.astype(np.float64)))[:k] if exact else np.array(sorted(range(len(live)), key=lambda j: (-int(sums[j]), rid[live[j]]))[:k], dtype=int)
-        out += [(int(qid[i]), int(rid[live[j]]), int(sums[j])) for j in top]
+        out += [(i, int(rid[live[j]]), int(sums[j])) for j in top]
     return out
 
 
@@ -66,10 +66,13 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
 
     Queries are dealt into groups and rows into parts of bounded size, and each group meets each part in a cell of its
     own: what travels is a row for each group and a query for each part, never a pair. A cell returns k rows a query,
-    which are then merged. Rows without a usable vector take no part. Rows that repeat an id all take
-    part and may each be listed. Vectors must have one length; another raises ValueError. No rows give no rows.
+    which are then merged. Rows without a usable vector or an id take no part. Rows of ``df`` that repeat an id all
+    take part and may each be listed. Queries that share an id are ranked by themselves, each from 1; those that share
+    the vector too are one. Vectors must have one length; another raises ValueError. No rows give no rows; other
+    columns do not matter.
     """
-    rows, asked = quantised(df, id_col, vector_col, scale), quantised(queries, id_col, vector_col, scale)
+    rows = quantised(df, id_col, vector_col, scale)
+    asked = quantised(queries, id_col, vector_col, scale).distinct().withColumn("own", F.xxhash64("v"))
     parts, groups = (max(1, math.ceil(x.count() / size)) for x, size in ((rows, ROWS_A_CELL), (asked, QUERIES_A_CELL)))
     draw = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")  # noqa: E731  even, however ids repeat
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -83,9 +86,11 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
             if len(widths) != 1:
                 raise ValueError("vectors differ in length")
             found = best(*[(x["id"].to_numpy(), np.stack(x["v"].to_numpy()).T.astype(np.int64)) for x in (asked, rows)], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+            own = asked["own"].to_numpy()
+            found = [(int(own[i]), int(asked["id"].iloc[i]), vec, score) for i, vec, score in found]
+        return pd.DataFrame(found, columns=["own", "query_id", "vec_id", "score"], dtype="int64")
 
-    met = q.groupBy("g", "s").cogroup(r.groupBy("g", "s")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    met = q.groupBy("g", "s").cogroup(r.groupBy("g", "s")).applyInPandas(meet, "own long, query_id long, vec_id long, score long")
     leading = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))  # k for each cell of the query's row of cells
-    top = met.groupBy("query_id").agg(leading.alias("all")).select("query_id", F.posexplode(F.slice("all", 1, k)).alias("rank", "t"))
+    top = met.groupBy("query_id", "own").agg(leading.alias("all")).select("query_id", F.posexplode(F.slice("all", 1, k)).alias("rank", "t"))
     return top.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
