@@ -7,7 +7,7 @@ and a question asked again with other numbers and names are both caught.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.components import shared_folder
@@ -61,7 +61,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """``(id, item, coverage, kind)`` for every document and benchmark item it repeats.
 
     ``coverage`` is the part of the item's tokens inside template windows that the document has too; windows with a
-    placeholder whose filling in the item stands for several in the document at this shift do not count. A pair is
+    placeholder whose filling in the item stands for several in the same copy of it do not count. What stands at
+    shifts that follow each other within half the item's length is one copy, with words put in or left out. A pair is
     reported at ``coverage`` or more. ``kind`` is ``verbatim`` if all of its placeholders were filled alike, else
     ``template``. Windows without any word count where a window with words fits at the same shift; items without
     words are searched as written. An item shorter than ``window`` is one window; with fewer than two words it is
@@ -117,17 +118,29 @@ def judged(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     chosen = _small(at_shift.select(F.col("id").alias("i"), F.col("h").alias("hh")).distinct(), BROADCAST_ROWS)
     texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left_semi").dropDuplicates(["id", "h"])
     texts = texts.select(F.col("id").alias("i"), F.col("h").alias("hh"), raw_tokens(F.col("text")).alias("doc_raw"), template(F.col("text")).alias("doc_tokens"))
-    pairs = at_shift.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).drop("i", "hh").join(items, "key")
+    # A document meets all its shifts at once and gives each the item's length of tokens, so its text is there once.
+    lengths = at_shift.join(_small(shape.select("key", "length"), BROADCAST_ROWS), "key")
+    shifts = lengths.groupBy("id", "h").agg(F.collect_list(F.struct("key", "shift", "ats", "length")).alias("shifts"))
+    cut = lambda side, s: F.slice(side, F.greatest(s["shift"], F.lit(0)) + 1, s["length"])
+    each = F.transform("shifts", lambda s: F.struct(s["key"].alias("key"), s["shift"].alias("shift"), s["ats"].alias("ats"), cut("doc_raw", s).alias("doc_raw"), cut("doc_tokens", s).alias("doc_tokens")))
+    pairs = shifts.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).select("id", "h", F.inline(each)).join(_small(items, BROADCAST_ROWS), "key")
+    pairs = pairs.withColumn("off", F.least("shift", F.lit(0)))  # where the item begins before the document
     # Not by hash alone; a shift may be such that a window without words would begin before the document.
-    there = lambda side, a: F.slice(side, F.greatest(a + 1 + F.col("shift"), F.lit(1)), "w")
+    there = lambda side, a: F.slice(side, F.greatest(a + 1 + F.col("off"), F.lit(1)), "w")
     written = lambda a: F.transform(F.slice("raw", a + 1, "w"), F.lower) == F.transform(there("doc_raw", a), F.lower)
-    fits = lambda a: (a + F.col("shift") >= 0) & F.when(F.col("exact"), written(a)).otherwise(F.slice("tokens", a + 1, "w") == there("doc_tokens", a))
-    pairs = pairs.withColumn("ats", F.filter(F.array_distinct(F.concat("ats", "bare")), fits))
+    fits = lambda a: (a + F.col("off") >= 0) & F.when(F.col("exact"), written(a)).otherwise(F.slice("tokens", a + 1, "w") == there("doc_tokens", a))
+    pairs = pairs.withColumn("ats", F.filter(F.array_distinct(F.concat("ats", "bare")), fits)).where("size(ats) > 0")
     filled = lambda: F.filter(spread("ats"), lambda p: slot(F.get("tokens", p)))
-    pair = lambda p: F.struct(F.lower(F.get("raw", p)).alias("a"), F.lower(F.get("doc_raw", p + F.col("shift"))).alias("b"))
+    pair = lambda p: F.struct(F.lower(F.get("raw", p)).alias("a"), F.lower(F.get("doc_raw", p + F.col("off"))).alias("b"))
     pairs = pairs.withColumn("slots", F.array_distinct(F.transform(filled(), pair)))
-    names = F.transform("slots", lambda s: s["a"])
-    pairs = pairs.withColumn("torn", F.filter(F.array_distinct(names), lambda x: F.size(F.filter("slots", lambda s: s["a"] == x)) > 1))
+    # Shifts near each other are one copy with words put in or left out; what fills its slots must agree over all of it.
+    along = Window.partitionBy("id", "h", "key").orderBy("shift")
+    apart = F.when(F.col("shift") - F.lag("shift").over(along) <= F.size("tokens") / 2, 0).otherwise(1)
+    pairs = pairs.withColumn("apart", apart).withColumn("copy", F.sum("apart").over(along)).drop("apart").checkpoint()
+    torn = pairs.select("id", "h", "key", "copy", F.inline("slots")).groupBy("id", "h", "key", "copy", "a").agg((F.min("b") != F.max("b")).alias("torn")).where("torn")
+    torn = torn.groupBy("id", "h", "key", "copy").agg(F.collect_list("a").alias("torn")).toDF("i", "hh", "kk", "cc", "torn")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")) & (F.col("key") == F.col("kk")) & (F.col("copy") == F.col("cc"))
+    pairs = pairs.join(torn, same, "left").drop("i", "hh", "kk", "cc").withColumn("torn", F.coalesce("torn", F.array().cast("array<string>")))
     whole = lambda a: ~F.exists(F.sequence(a, a + F.col("w") - 1), lambda p: slot(F.get("tokens", p)) & F.array_contains("torn", F.lower(F.get("raw", p))))
     pairs = pairs.withColumn("ats", F.when(F.size("torn") == 0, F.col("ats")).otherwise(F.filter("ats", whole))).where("size(ats) > 0")
     pairs = pairs.withColumn("places", spread("ats"))

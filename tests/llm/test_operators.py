@@ -180,6 +180,18 @@ def test_decontamination_of_placeholders_and_short_items(spark):
     assert (11, 11) in found  # Alice became Carol in one of two places, the rest is as it was
 
 
+def test_slots_hold_over_a_copy_with_words_put_in(spark):
+    item = "A farmer had 12 brown cows in the north field and then one day bought 12 white goats from the old market"
+    put_in = item.replace("then one", "then quite suddenly one")
+    rows = [(1, put_in.replace("12", "30")), (2, put_in.replace("12 b", "30 b").replace("12 w", "40 w")), (3, f"{item.replace('12', '5')}. {item.replace('12', '6')}."), (4, f"x {put_in}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: (r["kind"], r["coverage"]) for r in decontaminate.contaminated(docs_of(spark, rows), bench).collect()}
+    assert {k: v[0] for k, v in found.items()} == {1: "template", 3: "template", 4: "verbatim"}
+    many = ". ".join(item.replace("12", str(k)) for k in range(5000)) + " word" * 100_000  # over 1 MB
+    found = decontaminate.contaminated(docs_of(spark, [(7, many), (None, many)]), bench).collect()
+    assert sorted((str(r["doc_id"]), r["kind"]) for r in found) == [("7", "template"), ("None", "template")]
+
+
 def test_decontamination_of_table(spark, small):
     folder = "/root/testdata/sf0.01"
     own, items = texts(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet").collect()
