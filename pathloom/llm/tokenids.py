@@ -1,13 +1,14 @@
 """Token ids as one concatenated array in files, with Elias-Fano document boundaries.
 
-A file row is a block: ids packed as unsigned 16- or 32-bit integers, the documents' ids, and the ends of its documents
-as an Elias-Fano sequence: the low bits of each end packed side by side, the high bits in unary, and the position of
-every 64th one bit, from which select finds any end without a table of 64-bit offsets. Blocks are rows of Parquet, so
+A file row is a block: ids packed as unsigned 16- or 32-bit integers, and the documents' ids and the ends of the
+documents as two Elias-Fano sequences: the low bits of each number packed side by side, the high bits in unary, and
+the position of every 64th one bit, from which select finds any number without a table of 64-bit ones. Blocks are rows of Parquet, so
 they are written and read by any store that Spark reaches and a lost task is written again.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,12 @@ END_ID = 2
 SAMPLE = 64
 #: Ids of a block; a block ends with the document that reaches it.
 BLOCK_IDS = 1 << 20
-BLOCK = "part int, block int, before long, n_ids long, n_docs long, width int, ids binary, doc_ids binary, nulls binary, low_bits int, low binary, high binary, ones binary"
+BLOCK = (
+    "part int, block int, before long, n_ids long, n_docs long, width int, ids binary, low_bits int, low binary, high binary, ones binary, "
+    "n_null long, first_id long, id_low_bits int, id_low binary, id_high binary, id_ones binary"
+)
+#: Ids of a block's documents differ by less, so that an Elias-Fano sequence of the differences holds them.
+SPAN = 1 << 60
 
 
 class EliasFano:
@@ -64,31 +70,31 @@ class EliasFano:
             word &= word - 1
         return ((byte * 8 + (word & -word).bit_length() - 1 - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        """All numbers at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return ((at - np.arange(self.n)) << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+    def parts(self) -> tuple[int, bytes, bytes, bytes]:
+        return self.low_bits, self.low, self.high.tobytes(), self.ones.tobytes()
 
 
 class WordIds:
     """Ids by a ``tokenizers`` file, one white-space run of a text at a time; runs met before are remembered.
 
     The tokenizer must cut at white space and drop it, as ``word_bpe_49k.json`` does. Only space, tab, line feed and
-    carriage return part runs here; other white space stays inside a run, for the tokenizer to handle.
+    carriage return part runs here; other white space stays inside a run, for the tokenizer to handle. A text that
+    holds the string of a special token goes to the tokenizer whole, which gives it that token's id.
     """
 
     def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)")
         self.size, self.remembered = self.tokenizer.get_vocab_size(), remembered
         self.kind = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        runs = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and self.special.search(t.lower())}
+        runs = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t and k not in whole else [] for k, t in enumerate(texts)]
         known = self.known
         missing = {r for some in runs for r in some if r not in known}
         if len(known) + len(missing) > self.remembered:
@@ -98,7 +104,10 @@ class WordIds:
         for at in range(0, len(order), 4096):
             some = order[at : at + 4096]
             known.update(zip(some, self._unseen(some)))
-        return [b"".join(map(known.__getitem__, some)) for some in runs]
+        return [whole[k] if k in whole else b"".join(map(known.__getitem__, some)) for k, some in enumerate(runs)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _unseen(self, runs: list[str]) -> list[bytes]:
         """Runs encoded as one text with spaces between; a token belongs to the run that its offset lies in."""
@@ -147,23 +156,25 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
         def block():
             nonlocal number, before
             ends = np.cumsum([len(x) // width for x in held])
-            ef = EliasFano.of(ends)
-            nulls = np.packbits([x is None for x in ids], bitorder="little").tobytes()
-            row = {"part": part, "block": number, "before": before, "n_ids": int(ends[-1]), "n_docs": len(held), "width": width, "ids": b"".join(held), "doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "nulls": nulls, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high.tobytes(), "ones": ef.ones.tobytes()}
+            own = np.array([x for x in ids if x is not None], np.int64)
+            least = int(own[0]) if len(own) else 0
+            row = {"part": part, "block": number, "before": before, "n_ids": int(ends[-1]), "n_docs": len(held), "width": width, "ids": b"".join(held), "n_null": len(ids) - len(own), "first_id": least}
+            row |= zip(("low_bits", "low", "high", "ones"), EliasFano.of(ends).parts())
+            row |= zip(("id_low_bits", "id_low", "id_high", "id_ones"), EliasFano.of(own - least).parts())
             number, before = number + 1, before + row["n_ids"]
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
-        size = 0
+        size, first = 0, None
         for batch in batches:
             for some in slices(batch, "text", ENCODE_BYTES):
                 for doc, own, x in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), work.encode(some.column(1).to_pylist())):
-                    part = own
+                    if held and (size >= BLOCK_IDS or first is not None and doc - first >= SPAN):
+                        yield block()
+                        held, ids, size, first = [], [], 0, None
+                    part, first = own, doc if first is None else first
                     held.append(x + end)
                     ids.append(doc)
                     size += len(held[-1]) // width
-                    if size >= BLOCK_IDS:
-                        yield block()
-                        held, ids, size = [], [], 0
         if held:
             yield block()
 
@@ -175,7 +186,7 @@ _ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.bin
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` from the files: ``start`` counts the ids of all documents before it, ``ids``
-    are little-endian unsigned 32-bit integers.
+    are little-endian unsigned 32-bit integers. Each document's id and ends come from the sequences by select.
 
     A block knows how many ids of its part come before it, so only the sizes of the parts, one for each task that
     wrote, are added up here.
@@ -190,12 +201,20 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                ends = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["ones"]).all()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4").astype("<u4").tobytes()
-                none = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=row["n_docs"], bitorder="little").astype(bool)
-                docs = pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=none)
-                cut = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([docs, pa.array(starts + row["first"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-    return placed.select("first", "n_docs", "width", "ids", "doc_ids", "nulls", "low_bits", "low", "high", "ones").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+                ends = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["ones"])
+                names = EliasFano(row["n_docs"] - row["n_null"], row["id_low_bits"], row["id_low"], row["id_high"], row["id_ones"])
+                kind = "<u2" if row["width"] == 2 else "<u4"
+                for some in range(0, row["n_docs"], 1024):  # a few documents at a time
+                    docs, starts, sizes, cut = [], [], [], []
+                    a = ends.select(some - 1) if some else 0
+                    for i in range(some, min(some + 1024, row["n_docs"])):
+                        b = ends.select(i)
+                        docs.append(row["first_id"] + names.select(i - row["n_null"]) if i >= row["n_null"] else None)
+                        starts.append(row["first"] + a)
+                        sizes.append(b - a)
+                        cut.append(np.frombuffer(row["ids"], kind, b - a, a * row["width"]).astype("<u4").tobytes())
+                        a = b
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+    wanted = ["first", *[x.split()[0] for x in BLOCK.split(", ") if x.split()[0] not in ("part", "block", "before", "n_ids")]]
+    return placed.select(*wanted).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
