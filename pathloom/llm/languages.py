@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from .common import append_columns, slices
 
 UND = "und"
-MAX_LANGUAGES = 64
+#: Labels in the driver and in the model at most; a column with more is not one of languages.
+MAX_LANGUAGES = 10_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _letters: np.ndarray | None = None
 
@@ -31,15 +32,33 @@ def _is_letter() -> np.ndarray:
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each letter (the letter and its two neighbours, other characters as a space), and each text's end in the keys."""
+    """One key for each letter (the letter and its two neighbours, other characters as a space; an ideograph or a
+    syllable of East Asian scripts alone), and each text's end in the keys.
+
+    Runs of characters that hold a digit are codes and no words: they are left out of texts that have other letters.
+    """
     lowered = [(t or "").lower() for t in texts]
     codes = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _is_letter()[codes]
     kept = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
+    sizes = np.array([len(t) + 1 for t in lowered], np.int64)
+    ends = np.cumsum(sizes)
     at = np.flatnonzero(letter)
-    keys = (kept[at - 1] << np.uint64(42)) | (kept[at] << np.uint64(21)) | kept[at + 1]
-    ends = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
-    return keys, np.searchsorted(at, ends, "right")
+    until = np.searchsorted(at, ends, "right")
+    digit = np.flatnonzero((codes >= 48) & (codes <= 57))
+    if len(digit):
+        run = np.cumsum(codes <= 32, dtype=np.int64)
+        coded = np.zeros(int(run[-1]) + 1, bool)
+        coded[run[digit]] = True
+        word = ~coded[run[at]]
+        seen = np.concatenate([[0], np.cumsum(word)])
+        left = np.diff(seen[until], prepend=0)
+        owner = np.repeat(np.arange(len(sizes)), np.diff(until, prepend=0))
+        at = at[word | (left[owner] == 0)]
+        until = np.searchsorted(at, ends, "right")
+    alone = (kept[at] >= 0x2E80) & ((kept[at] <= 0xD7FF) | (kept[at] >= 0xF900) & (kept[at] < 0xFB00) | (kept[at] >= 0x20000))
+    sides = np.where(alone, np.uint64(0), (kept[at - 1] << np.uint64(42)) | kept[at + 1])
+    return sides | (kept[at] << np.uint64(21)), until
 
 
 def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +70,8 @@ def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages: in bit order. masks: 2**bits slots. false_rate: chance that an absent trigram shows a language's bit."""
+    """languages: in bit order. masks: a row of 2**bits slots for every 64 languages. false_rate: chance that an absent
+    trigram shows a language's bit."""
 
     languages: list[str]
     bits: int
@@ -61,14 +81,14 @@ class LanguageModel:
     def judge(self, texts: list[str | None]) -> dict[str, list]:
         keys, ends = trigrams(texts)
         first, second = _slots(keys, self.bits)
-        mask = self.masks[first] & self.masks[second]
+        mask = [row[first] & row[second] for row in self.masks]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(texts) else ends
         n = ends - starts
         if not self.languages:
-            return {"lang_pred": [UND] * len(texts), "score": [0.0] * len(texts)}
+            return {"lang_pred": [UND] * len(texts), "score": [0.0] * len(texts), "n_trigrams": n.tolist()}
         shares = np.zeros((len(self.languages), len(texts)))
         for k in range(len(self.languages)):
-            seen = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
+            seen = np.concatenate([[0], np.cumsum((mask[k // 64] >> self.masks.dtype.type(k % 64)) & self.masks.dtype.type(1), dtype=np.int64)])
             raw = seen[ends] - seen[starts]
             p = self.false_rate[k]
             shares[k] = np.clip((raw - n * p) / (np.maximum(n, 1) * (1 - p)), 0, 1)
@@ -76,6 +96,7 @@ class LanguageModel:
         return {
             "lang_pred": [self.languages[b] if c else UND for b, c in zip(best.tolist(), n.tolist())],
             "score": np.where(n > 0, shares[best, np.arange(len(texts))], 0.0).tolist(),
+            "n_trigrams": n.tolist(),
         }
 
 
@@ -85,8 +106,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     About ``rows_per_language`` rows of each language are used, picked by a hash of ``id_col`` (a bound in expectation,
     the count varies as a binomial does); the whole text of each. A trigram enters a language's filter if it makes up
     ``min_share`` of that language's trigrams, so at most ``1 / min_share`` enter, and at least ``ratio`` of its largest
-    share in any language. No labelled rows give a model without languages, which answers ``und``. At most 64
-    languages; more raise ValueError. Only ids and languages are read for the row counts.
+    share in any language. No labelled rows give a model without languages, which answers ``und``. A mask has as many
+    words of 64 bits as the languages need; more than ``MAX_LANGUAGES`` labels raise ValueError. Only ids and languages
+    are read for the row counts. Null ids are drawn as one id.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(lang_col).limit(MAX_LANGUAGES + 1).collect()}
@@ -94,7 +116,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
-        return LanguageModel([], bits, np.zeros(1 << bits, np.uint8), np.zeros(0))
+        return LanguageModel([], bits, np.zeros((1, 1 << bits), np.uint8), np.zeros(0))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     part = F.lit(0.0)
     for name, n in counts.items():
@@ -126,24 +148,24 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     share: dict[int, np.ndarray] = {}
     for name, gram, n in frequent.itertuples(index=False):
         share.setdefault(gram, np.zeros(len(languages)))[languages.index(name)] = n / totals[name]
-    kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= most)
-    masks = np.zeros(1 << bits, kind)
+    kind = next((t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= most), np.uint64)
+    masks = np.zeros(((len(languages) + 63) // 64, 1 << bits), kind)
     keys = np.fromiter(share, np.uint64, len(share))
     into = np.array(list(share.values())).reshape(len(share), len(languages))
     into = (into > 0) & (into >= ratio * into.max(axis=1, keepdims=True))
     for k in range(len(languages)):
         for slots in _slots(keys[into[:, k]], bits):
-            np.bitwise_or.at(masks, slots, kind(1 << k))
-    fill = np.array([((masks >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
+            np.bitwise_or.at(masks[k // 64], slots, kind(1 << k % 64))
+    fill = np.array([((masks[k // 64] >> kind(k % 64)) & kind(1)).mean() for k in range(len(languages))])
     return LanguageModel(languages, bits, masks, fill**2)
 
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, from the whole text of every row.
+    """``df`` with ``lang_pred``, ``score`` and ``n_trigrams``, from the whole text of every row.
 
     ``score`` is the part of the text's trigrams that the predicted language's filter holds, corrected for false
     positives, 0 to 1. A null or letterless text gives ``und`` and 0; equal counts give the language first by name;
-    repeated rows each get their answer; an empty table stays empty; columns of these two names are replaced.
+    repeated rows each get their answer; an empty table stays empty; columns of these three names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(model)  # 2**bits slots, whatever the input
-    return append_columns(df, text_col, [("lang_pred", T.StringType()), ("score", T.DoubleType())], lambda: held.value.judge)
+    return append_columns(df, text_col, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_trigrams", T.LongType())], lambda: held.value.judge)

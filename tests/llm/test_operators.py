@@ -51,7 +51,35 @@ def test_language_filter_has_no_false_negatives(spark):
     model = languages.fit(spark.createDataFrame([(1, "alpha beta", "a"), (2, "gamma delta", "b")], "doc_id long, text string, lang string"))
     keys, _ = languages.trigrams(["alpha beta"])
     first, second = languages._slots(keys, model.bits)
-    assert ((model.masks[first] & model.masks[second]) & 1).all()
+    assert ((model.masks[0][first] & model.masks[0][second]) & 1).all()
+
+
+def keys_by_hand(text):
+    lowered = (text or "").lower()
+    words = [w for w in re.split(r"[\x00-\x20]", lowered)]
+    plain = [w for w in words if not re.search("[0-9]", w)]
+    if not any(c.isalpha() for w in plain for c in w):
+        plain = words
+    return [tuple(x if x.isalpha() else " " for x in f" {w} "[k - 1 : k + 2]) for w in plain for k, c in enumerate(f" {w} ") if c.isalpha()]
+
+
+def test_trigrams_of_words_and_codes():
+    texts = ["ab c1d e-f", "a1 b2", None, "", "12 34", "x", "é1 ß", "don't a\tb\nc2"]
+    keys, ends = languages.trigrams(texts)
+    cut = [0, *ends.tolist()]
+    want = [[(ord(a) << 42) | (ord(b) << 21) | ord(c) for a, b, c in keys_by_hand(t)] for t in texts]
+    assert [keys[a:b].tolist() for a, b in zip(cut, cut[1:])] == want
+    assert languages.trigrams(["日本"])[0].tolist() == [ord("日") << 21, ord("本") << 21]
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "abcdefgh"), f"l{k:03}") for k in range(150)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.fit(labelled)
+    assert len(model.languages) == 150 and len(model.masks) == 3
+    found = languages.identify(labelled, model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in found) >= 140
+    assert languages.identify(labelled.limit(0), model).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["table", "odd"])
