@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathloom import adapters as ad
-from pathloom.catalog.network import GRID_SQL, LATLON, built, grid, latlon
+from pathloom.catalog.network import GRID_SQL, LATLON, UP, built, grid, latlon
 from pathloom.catalog.registry import query, table
 from pathloom.functions import geometry as g
 from pathloom.operators import clean, cues, graph, routing, spatial, tracks
@@ -84,13 +85,13 @@ def j9_touching(spark, d):
     return clean.touching(rows, ("name",)).where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
 
 
-@query("SELECT s_suppkey + 1000 AS key FROM supplier WHERE s_suppkey < 12")
+@query(f"SELECT s_suppkey + {UP} AS key FROM supplier")
 def d3_twins(spark, d):
     """Pairs of carriageways 15 m apart, the second one the other way: of each pair the later is a twin."""
     k = F.col("s_suppkey")
-    t = table(spark, d, "supplier").where("s_suppkey < 12")
+    t = table(spark, d, "supplier")
     one = t.select(k.alias("key"), straight(k * 1000, k * 0, k * 1000 + 200, k * 0).alias("geom"))
-    two = t.select((k + 1000).alias("key"), straight(k * 1000 + 200, k * 0 + 15, k * 1000, k * 0 + 15).alias("geom"))
+    two = t.select((k + UP).alias("key"), straight(k * 1000 + 200, k * 0 + 15, k * 1000, k * 0 + 15).alias("geom"))
     roads = one.unionByName(two).select("key", F.col("key").alias("oid"), F.lit("Div").alias("name"), F.lit(True).alias("counted"), F.lit(200.0).alias("length_m"), "geom")
     return clean.second_carriageways(roads, ["Div"])
 
@@ -126,12 +127,12 @@ def b1_parts(spark, d):
     return graph.graph_parts(grid(spark, d)).where("k = 0").select("id", "part_m")
 
 
-@query(f"WITH {GRID_SQL} SELECT id, round(i / 7.0::DOUBLE, 6) AS f FROM cut WHERE id IN (0, 7, 100, 107) AND i BETWEEN 1 AND 6")
+@query(f"WITH {GRID_SQL} SELECT id, round(i / 7.0::DOUBLE, 6) AS f FROM inner_cut WHERE r IN (0, 7)")
 def b2_end_cuts(spark, d):
     return graph.t_cuts(graph.graph_parts(grid(spark, d)), 3.0).select(F.col("pid.id").alias("id"), "f")
 
 
-@query(f"WITH {GRID_SQL} SELECT id, round(i / 7.0::DOUBLE, 6) AS f FROM cut WHERE id <> 3 AND i BETWEEN 1 AND 6 AND (id < 100 OR i <> 3)")
+@query(f"WITH {GRID_SQL} SELECT id, round(i / 7.0::DOUBLE, 6) AS f FROM inner_cut WHERE NOT up OR i <> 3")
 def b3_crossing_cuts(spark, d):
     """A bridge neither cuts nor is cut."""
     return graph.crossing_cuts(graph.graph_parts(grid(spark, d)), 3.0).select(F.col("pid.id").alias("id"), "f")
@@ -146,51 +147,51 @@ def b6_short_loops(spark, d):
     return graph.snap_ends(e, 3.0)[0].select("edge", F.round("length_m", 6).alias("length_m"))
 
 
-@query("SELECT s_suppkey AS edge FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey <= 20")
+@query("SELECT s_suppkey AS edge FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 5000 <= 20")
 def b7_alongside(spark, d):
     """Roads with a path k metres beside them, along all of an odd road and half of an even one."""
     k = F.col("s_suppkey")
-    t = table(spark, d, "supplier").where("s_suppkey < 40")
-    roads = t.select(k.alias("id"), F.lit("road").alias("layer"), straight(k * 0, k * 1000, k * 0 + 200, k * 1000).alias("geom"))
-    paths = t.select((k + 1000).alias("id"), F.lit("cartpath").alias("layer"), straight(k * 0, k * 1001, F.when(k % 2 == 1, 200).otherwise(100), k * 1001).alias("geom"))
+    t = table(spark, d, "supplier")
+    y = k * 10_000
+    roads = t.select(k.alias("id"), F.lit("road").alias("layer"), straight(k * 0, y, k * 0 + 200, y).alias("geom"))
+    paths = t.select((k + UP).alias("id"), F.lit("cartpath").alias("layer"), straight(k * 0, y + k % 5000, F.when(k % 2 == 1, 200).otherwise(100), y + k % 5000).alias("geom"))
     segments = roads.unionByName(paths).withColumns({"seg_type": F.lit("Path"), "name": F.lit("x")})
     edges = roads.select(F.col("id").alias("edge"), "id", F.col("geom")[0].alias("line"))
     return graph.alongside(edges, segments, graph.graph_parts(segments), graph.GraphSettings())
 
 
-@query(f"WITH {GRID_SQL} SELECT DISTINCT CAST(100 * CASE WHEN id >= 100 THEN id - 100 ELSE i END AS DOUBLE) AS x, CAST(100 * CASE WHEN id >= 100 THEN i ELSE id END AS DOUBLE) AS y FROM keep")
+@query(f"WITH {GRID_SQL} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM spot")
 def b8_vertices(spark, d):
     return built(spark, d)[1].select(F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("SELECT s_suppkey AS point, 50.0::DOUBLE AS x, CAST(s_suppkey * 100 AS DOUBLE) AS y, 5.0::DOUBLE AS dist FROM supplier WHERE s_suppkey < 8")
+@query("SELECT s_suppkey AS point, CAST(s_suppkey // 8 * 2000 + 50 AS DOUBLE) AS x, CAST(s_suppkey % 8 * 100 AS DOUBLE) AS y, 5.0::DOUBLE AS dist FROM supplier")
 def r1_snap(spark, d):
     """Places 5 m from a street are put on it, places 50 m away are not."""
-    k = F.col("s_suppkey")
-    t = table(spark, d, "supplier").where("s_suppkey < 8")
-    near = t.select(k.alias("point"), F.lit(50.0).alias("x"), (k * 100.0 + 5).alias("y"))
-    far = t.select((k + 100).alias("point"), F.lit(50.0).alias("x"), (k * 100.0 + 50).alias("y"))
+    k, x = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 8) * 2000.0 + 50
+    t = table(spark, d, "supplier")
+    near = t.select(k.alias("point"), x.alias("x"), (k % 8 * 100.0 + 5).alias("y"))
+    far = t.select((k + UP).alias("point"), x.alias("x"), (k % 8 * 100.0 + 50).alias("y"))
     got = routing.snap(near.unionByName(far), built(spark, d)[0], 10.0)
     return got.select("point", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("dist", 3).alias("dist"))
 
 
-@query("SELECT CAST(k AS BIGINT) AS id, 7 AS edges, 700.0::DOUBLE AS length_m FROM (VALUES (0), (2)) v(k)")
+@query(f"WITH {GRID_SQL} SELECT id, CAST(count(*) AS INTEGER) AS edges, CAST(100 * sum(z - a) AS DOUBLE) AS length_m FROM edge WHERE NOT up AND r IN (0, 2) GROUP BY id")
 def r8_units(spark, d):
-    streets = grid(spark, d).where("id in (0, 2)")
+    streets = grid(spark, d).where(f"id < {UP} and id % 8 in (0, 2)")
     left = streets.select(F.col("id").alias("segment_id"), F.lit(0).alias("part"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     return routing.required_units(built(spark, d)[0], left, left.select("segment_id")).select("id", F.size("edges").alias("edges"), F.round("length_m", 2).alias("length_m"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS request, 5 AS legs, 400.0::DOUBLE AS walked")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS request, CAST(count(*) + 1 AS INTEGER) AS legs, 100.0 * count(*) AS walked FROM nation GROUP BY 1")
 def r9_tour(spark, d):
-    """Four units on a line, 50 m each: out along all of them and back."""
-    t = table(spark, d, "nation").where("n_nationkey < 4")
-    n = F.col("n_nationkey").cast("long")
-    one = F.lit(1).cast("long").alias("request")
-    units = t.select(one, n.cast("string").alias("unit"), n.alias("source"), (n + 1).alias("target"), F.lit(50.0).alias("length_m"))
-    u = spark.range(5).withColumnRenamed("id", "u").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    costs = u.select(one, "u", "v", (F.abs(F.col("u") - F.col("v")) * 50.0).alias("dist"))
-    legs = routing.tours(units, costs, spark.range(1).select(one, F.lit(0).cast("long").alias("home")))
+    """A request for each region, its nations units on a line, 50 m each: out along all of them and back."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long")
+    t = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("request"), F.col("n_name").alias("unit"), place.alias("target"))
+    units = t.select("request", "unit", (F.col("target") - 1).alias("source"), "target", F.lit(50.0).alias("length_m"))
+    ends = units.groupBy("request").agg(F.max("target").alias("n")).withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), "n"))).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), "n")))
+    costs = ends.select("request", "u", "v", (F.abs(F.col("u") - F.col("v")) * 50.0).alias("dist"))
+    legs = routing.tours(units, costs, units.select("request", F.lit(0).cast("long").alias("home")).distinct())
     return legs.groupBy("request").agg(F.count("*").cast("int").alias("legs"), F.sum(F.col("deadhead") + F.col("length_m")).alias("walked"))
 
 
@@ -206,11 +207,11 @@ def g4_dump(spark, d):
     return v.groupBy("id").agg(F.min_by("x", F.struct("part", "seq")).alias("x_start"), F.max_by("x", F.struct("part", "seq")).alias("x_end"), F.count_distinct("part").cast("int").alias("parts"), F.count("*").cast("int").alias("points"))
 
 
-@query(f"""WITH {ad.SEG}, q AS (SELECT id, x0, x0 + length_m AS x1, y FROM seg WHERE id < 60)
+@query(f"""WITH {ad.SEG}, q AS (SELECT id, x0, x0 + length_m AS x1, y FROM seg)
  SELECT a.id AS a, b.id AS b, round(sqrt(power(greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)), 2) + power(a.y - b.y, 2)), 6) AS dist FROM q a JOIN q b ON a.id < b.id WHERE abs(a.y - b.y) <= 4 AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 4 AND sqrt(power(greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)), 2) + power(a.y - b.y, 2)) <= 4""")
 def g9_line_distance(spark, d):
     """Level lines within 4 m of each other: of two lines that do not cross, an end is nearest."""
-    parts = g.feature_pieces(ad.seg(spark, d).where("id < 60"))
+    parts = g.feature_pieces(ad.seg(spark, d))
     ends = parts.select(F.col("id").alias("of"), F.explode(F.array(g.point("x1", "y1"), g.point("x2", "y2"))).alias("p")).select("of", "p.*")
     met = spatial.within(ends, parts, 4.0).where("of != id")
     return met.groupBy(F.least("of", "id").alias("a"), F.greatest("of", "id").alias("b")).agg(F.round(F.min("dist"), 6).alias("dist"))

@@ -10,6 +10,7 @@ from pathloom.catalog.registry import query, table
 from pathloom.functions import geometry as g
 from pathloom.functions import text
 from pathloom.operators import clean, health, matching, tracks
+from pathloom.operators.numbering import number_rows
 from pathloom.sources import exports, features
 
 STG = """stored AS (SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 10 <> 3),
@@ -55,13 +56,13 @@ def d1_repeated_keys(spark, d):
     return clean.repeated_keys(table(spark, d, "documents"), "source").withColumnRenamed("source", "key")
 
 
-@query(f"WITH {ad.SEG} SELECT id, id % 3 AS copies_of FROM seg WHERE id < 60")
+@query(f"WITH {ad.SEG} SELECT id, id % 3 AS copies_of FROM seg")
 def g3_shape_hash(spark, d):
     """Copies that run the other way or list their parts in another order have one hash."""
     p = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
     a, b = F.array(p(0, 0), p(5, 5), p(9, 0)), F.array(p(20, 0), p(30, 1))
     k = F.col("id") % 3
-    rows = ad.seg(spark, d).where("id < 60").select("id", k.alias("k"), F.when(F.col("id") % 2 == 0, F.array(a, F.array(p(20, 0), p(30 , 1)))).otherwise(F.array(F.reverse(b), F.reverse(a))).alias("geom"))
+    rows = ad.seg(spark, d).select("id", k.alias("k"), F.when(F.col("id") % 2 == 0, F.array(a, F.array(p(20, 0), p(30 , 1)))).otherwise(F.array(F.reverse(b), F.reverse(a))).alias("geom"))
     shift = F.transform("geom", lambda line: F.transform(line, lambda q: F.struct((q["x"] + 100 * F.col("k") + 0.001).alias("x"), q["y"].alias("y"))))
     hashed = rows.select("id", "k", g.shape_hash(shift).alias("hash"))
     first = F.first("k").over(Window.partitionBy("hash").orderBy("id"))
@@ -213,12 +214,12 @@ def s4_fixes(spark, d):
     return features.parse_fixes(bodies)
 
 
-@query("""WITH j AS (SELECT event_id AS id, ts AS started_at, ts + to_seconds(CAST(floor(value * 20) AS INTEGER)) AS finished_at FROM events WHERE event_type = 'signup'), i AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)
+@query("""WITH j AS (SELECT event_id AS id, ts AS started_at, ts + to_seconds(CAST(floor(value * 20) AS INTEGER)) AS finished_at FROM events WHERE event_type = 'signup'), i AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase')
  SELECT event_id, arg_max(id, row(started_at, id)) AS job_id FROM i LEFT JOIN j ON started_at <= ts AND ts <= finished_at GROUP BY event_id""")
 def j23_covering_job(spark, d):
     e = table(spark, d, "events")
     jobs = e.where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), F.timestamp_add("SECOND", F.floor(F.col("value") * 20).cast("int"), "ts").alias("finished_at"))
-    return health.covering_job(e.where("event_type = 'purchase' and event_id % 5 = 0").select("event_id", "ts"), jobs, "event_id", "ts").select("event_id", "job_id")
+    return health.covering_job(e.where("event_type = 'purchase'").select("event_id", "ts"), jobs, "event_id", "ts").select("event_id", "job_id")
 
 
 @query("""SELECT source, CASE WHEN bad AND (NOT is_open OR NOT told) THEN 'alert' ELSE 'recovered' END AS notice FROM (SELECT n_name AS source, n_nationkey % 2 = 0 AS bad, n_nationkey % 3 > 0 AS is_open, n_nationkey % 3 = 2 AS told FROM nation) WHERE (bad AND (NOT is_open OR NOT told)) OR (NOT bad AND is_open AND told)""")
@@ -402,10 +403,11 @@ def o2_first_last(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("part")).agg(F.min_by("l_partkey", at).alias("first_part"), F.max_by("l_partkey", at).alias("last_part"))
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_partkey) AS INTEGER) AS place FROM part QUALIFY place <= 50")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_partkey) AS place FROM part")
 def o3_nulls_last(spark, d):
-    top = table(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(1)).alias("s")).orderBy(F.asc_nulls_last("s"), "p_partkey").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("s"), "p_partkey"))).select("p_partkey", "place")
+    size = F.nullif(F.col("p_size"), F.lit(1))
+    parts = table(spark, d, "part").select("p_partkey", size.isNull().alias("none"), size.alias("s"))
+    return number_rows(parts, ["none", "s", "p_partkey"], "place").select("p_partkey", "place")
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION ALL SELECT n_regionkey FROM nation")

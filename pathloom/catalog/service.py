@@ -12,6 +12,7 @@ from pathloom.catalog.records import LOG, STG
 from pathloom.catalog.registry import query, table
 from pathloom.operators import clean, health
 from pathloom.operators.components import shared_folder
+from pathloom.operators.numbering import number_rows
 from pathloom.sources import exports, features
 from pathloom.streaming import updates
 
@@ -71,10 +72,12 @@ def h9_running(spark, d):
     return health.running(jobs, spark.createDataFrame([("city",)], "source string")).select("id")
 
 
-@query("SELECT event_id, ts, CAST(row_number() OVER (ORDER BY ts, event_id) AS INTEGER) AS place FROM events WHERE event_type = 'view' ORDER BY ts, event_id LIMIT 100")
+@query("SELECT event_id, ts, event_type AS status, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type IN ('view', 'error') OR event_id % 11 = 0")
 def h10_listing(spark, d):
-    top = table(spark, d, "events").where("event_type = 'view'").orderBy("ts", "event_id").limit(100)
-    return top.select("event_id", "ts", F.row_number().over(Window.orderBy("ts", "event_id")).alias("place"))
+    """Activities of two states, and those picked by number of any state, in one listing in order of start."""
+    e = table(spark, d, "events").withColumn("status", F.col("event_type"))
+    listed = health.listing(e, ["view", "error"]).unionByName(health.listing(e.where("event_id % 11 = 0"))).distinct()
+    return number_rows(listed.select("event_id", "ts", "status"), ["ts", "event_id"], "place")
 
 
 @query("SELECT n_name AS source, CASE n_nationkey % 3 WHEN 0 THEN n_name || ' failing: HTTP 503' WHEN 1 THEN n_name || ' has never succeeded' END AS problem FROM nation")

@@ -215,12 +215,12 @@ def g7_substring(spark, d):
     return line.select("id", F.round(F.get("line", F.lit(0))["x"], 4).alias("x_from"), F.round(F.element_at("line", -1)["x"], 4).alias("x_to"), F.round("length_m", 4).alias("length_m"))
 
 
-@query(f"""WITH {A.SEG}, {A.FIX}, p AS (SELECT event_id, x, y FROM fix WHERE event_id % 50 = 0), line AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg WHERE id < 20)
- SELECT event_id, id, round(t, 6) AS fraction, round(dist, 6) AS dist FROM {A.near_sql('p', 'line')} WHERE dist <= 30""")
+@query(f"""WITH {A.SEG}, {A.FIX}, p AS (SELECT event_id, x, y FROM fix), line AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg)
+ SELECT event_id, id, round(t, 6) AS fraction, round(dist, 6) AS dist FROM {A.near_sql('p', 'line')} WHERE dist <= 3""")
 def g8_locate(spark, d):
-    parts = g.feature_pieces(ad.seg(spark, d).where("id < 20"))
-    pts = ad.fix(spark, d).where("event_id % 50 = 0").select("event_id", "x", "y")
-    got = spatial.within(pts, parts, 30.0).dropDuplicates(["event_id", "id"])
+    parts = g.feature_pieces(ad.seg(spark, d))
+    pts = ad.fix(spark, d).select("event_id", "x", "y")
+    got = spatial.within(pts, parts, 3.0).dropDuplicates(["event_id", "id"])
     return got.select("event_id", "id", F.round("t", 6).alias("fraction"), F.round("dist", 6).alias("dist"))
 
 

@@ -121,14 +121,17 @@ def build_graph(segments: DataFrame, settings: GraphSettings = GraphSettings())
 
 
 def graph_report(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """One row of counts: edges, vertices, components, and the edges that a path runs beside."""
+    """One row: edges, vertices, components, the edges that a path runs beside and their metres, the main component (the
+    longest, of equal ones the least), its metres, and how many islands there are beside it."""
     e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("cost") > F.col("length_m")).alias("alongside_edges"), F.coalesce(F.sum(F.when(F.col("cost") > F.col("length_m"), F.col("length_m"))), F.lit(0.0)).alias("alongside_m"))
-    return e.crossJoin(vertices.agg(F.count("*").alias("vertices"), F.count_distinct("component").alias("components")))  # a row each
+    each = edges.join(vertices.select(F.col("vertex").alias("source"), "component"), "source").groupBy("component").agg(F.sum("length_m").alias("m"))
+    main = each.agg(F.max_by("component", F.struct(F.round("m", 6), -F.col("component"))).alias("main"), F.coalesce(F.max("m"), F.lit(0.0)).alias("main_m"), F.greatest(F.count("*") - 1, F.lit(0)).alias("islands"))
+    return e.crossJoin(vertices.agg(F.count("*").alias("vertices"), F.count_distinct("component").alias("components"))).crossJoin(main)  # a row each
 
 
 def islands(edges: DataFrame, vertices: DataFrame, segments: DataFrame) -> DataFrame:
     """``(component, length_m, segments, main)``: each component's length and its segments' labels, sorted; the longest is the main network."""
     at = edges.join(vertices.select(F.col("vertex").alias("source"), "component"), "source").join(segments.select("id", F.concat_ws(":", "layer", F.col("source_oid").cast("string")).alias("label")), "id")
     each = at.groupBy("component").agg(F.sum("length_m").alias("length_m"), F.array_sort(F.collect_set("label")).alias("segments"))
-    longest = each.agg(F.max_by("component", F.struct("length_m", -F.col("component"))).alias("_main"))
+    longest = each.agg(F.max_by("component", F.struct(F.round("length_m", 6), -F.col("component"))).alias("_main"))
     return each.crossJoin(F.broadcast(longest)).withColumn("main", F.col("component") == F.col("_main")).drop("_main")  # one row
