@@ -77,12 +77,14 @@ def d7_tiny_parts(spark, d):
     return tiny.select("id", F.lit("tiny part").alias("finding")).unionByName(bare.select("id", F.lit("no nodes").alias("finding")))
 
 
-@query("SELECT a.n_nationkey AS a, a.n_nationkey + 1 AS b FROM nation a WHERE a.n_nationkey % 3 <> 2 AND a.n_nationkey < 24")
+@query("SELECT a.n_nationkey AS a, a.n_nationkey + 1 AS b FROM nation a WHERE a.n_nationkey % 3 <> 2 AND a.n_nationkey < 24 UNION ALL SELECT n_nationkey, n_nationkey + 100 FROM nation")
 def j9_touching(spark, d):
-    """Lines in a row, three to a name, each beginning where the last one ends."""
+    """Lines in a row, three to a name, each beginning where the last one ends, and one across the middle of each."""
     k = F.col("n_nationkey")
-    rows = table(spark, d, "nation").select(k.alias("key"), F.floor(k / 3).alias("name"), straight(k * 50, k * 0, k * 50 + 50, k * 0).alias("geom"))
-    return clean.touching(rows, ("name",)).where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
+    t = table(spark, d, "nation")
+    rows = t.select(k.alias("key"), F.floor(k / 3).alias("name"), straight(k * 50, k * 0, k * 50 + 50, k * 0).alias("geom"))
+    over = t.select((k + 100).alias("key"), F.floor(k / 3).alias("name"), straight(k * 50 + 25, k * 0 - 10, k * 50 + 25, k * 0 + 10).alias("geom"))
+    return clean.touching(rows.unionByName(over), ("name",)).where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
 
 
 @query(f"SELECT s_suppkey + {UP} AS key FROM supplier")
@@ -210,11 +212,9 @@ def g4_dump(spark, d):
 @query(f"""WITH {ad.SEG}, q AS (SELECT id, x0, x0 + length_m AS x1, y FROM seg)
  SELECT a.id AS a, b.id AS b, round(sqrt(power(greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)), 2) + power(a.y - b.y, 2)), 6) AS dist FROM q a JOIN q b ON a.id < b.id WHERE abs(a.y - b.y) <= 4 AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 4 AND sqrt(power(greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)), 2) + power(a.y - b.y, 2)) <= 4""")
 def g9_line_distance(spark, d):
-    """Level lines within 4 m of each other: of two lines that do not cross, an end is nearest."""
-    parts = g.feature_pieces(ad.seg(spark, d))
-    ends = parts.select(F.col("id").alias("of"), F.explode(F.array(g.point("x1", "y1"), g.point("x2", "y2"))).alias("p")).select("of", "p.*")
-    met = spatial.within(ends, parts, 4.0).where("of != id")
-    return met.groupBy(F.least("of", "id").alias("a"), F.greatest("of", "id").alias("b")).agg(F.round(F.min("dist"), 6).alias("dist"))
+    """Level lines within 4 m of each other."""
+    met = spatial.line_pairs(g.feature_pieces(ad.seg(spark, d)), 4.0)
+    return met.select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 @query(f"WITH {ad.FIX}, q AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM fix WINDOW w AS (PARTITION BY track ORDER BY seq)) SELECT track, count(*) AS points, last(x ORDER BY seq) AS x_first FROM q WHERE px IS NULL OR px <> x OR py <> y GROUP BY track")

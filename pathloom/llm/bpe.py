@@ -21,7 +21,7 @@ from .common import append_columns
 #: Pieces up to this many bytes go through the row-wise trees; longer ones through a tree of their own.
 WIDE = 32
 #: Pieces of a worker's young generation; a full one becomes the old one, whose pieces not met since are forgotten.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 #: Bytes of a piece that is remembered at most; longer ones are encoded again.
 REMEMBERED_BYTES = 64
 _NONE = 1 << 40

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.geometry import feature_pieces
-from pathloom.operators.components import connected_components
-from pathloom.operators.spatial import within
+from pathloom.functions.geometry import even_points, feature_pieces
+from pathloom.operators.components import connected_components, shared_folder
+from pathloom.operators.spatial import line_pairs, within
 
 
 def clean_name(*names: Column) -> Column:
@@ -98,51 +97,48 @@ def delete(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def touching(features: DataFrame, on: tuple[str, ...] = (), reach: float = 1.0) -> DataFrame:
-    """``(key, other)``, both ways: features within ``reach`` of each other, measured from ends to lines, of equal ``on``."""
+    """``(key, other)``, both ways: features within ``reach`` of each other, those that cross too, of equal ``on``."""
     parts = feature_pieces(features, "key").withColumnRenamed("id", "key")
     parts = parts.join(features.select("key", *on), "key") if on else parts
-    ends = parts.select("key", *on, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("key", *on, "p.*").distinct()
-    one = within(ends, parts.select(F.col("key").alias("other"), *on, "x1", "y1", "x2", "y2"), reach, on).where("key != other").select("key", "other").distinct()
-    return one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+    one = line_pairs(parts, reach, "key", on).select(F.col("a").alias("key"), F.col("b").alias("other"))
+    return one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other")))
 
 
-def second_carriageways(features: DataFrame, divided: list[str], reach: float = 40.0, share: float = 0.8, every: float = 5.0) -> DataFrame:
+def second_carriageways(features: DataFrame, divided: list[str], reach: float = 40.0, share: float = 0.8, every: float = 5.0, max_rounds: int = 1000) -> DataFrame:
     """Keys of the twins of divided roads: ``(key)``.
 
     Counted features of one divided name form chains where they touch (within 1 m). In order of name, longest chain
-    first, least chain key, then object id, a feature is a twin if ``share`` of its sample points lie within ``reach`` of features
-    kept before it that it does not touch. Which samples lie near which features is joined in Spark; the order
-    dependence is within one name, and a task decides a name from sets of sample numbers.
+    first, least chain key, then object id, a feature is a twin if ``share`` of its sample points lie within ``reach``
+    of features kept before it that it does not touch. A round settles every feature whose earlier neighbours are all
+    settled, so there are as many rounds as the longest run of neighbours in that order, and no name is one group.
     """
-    from pathloom.functions.geometry import even_points
-
-    roads = features.where(F.col("counted") & F.col("name").isin(divided)).select("key", "oid", "name", "length_m", "geom")
+    shared_folder(features.sparkSession)
+    roads = features.where(F.col("counted") & F.col("name").isin(divided)).select("key", "oid", "name", "length_m", "geom").checkpoint()
     parts = feature_pieces(roads, "key").withColumnRenamed("id", "key").join(roads.select("key", "name"), "key")
     other = parts.select(F.col("key").alias("other"), "name", "x1", "y1", "x2", "y2")
     points = even_points(parts, every, ("key", "part"), ("name",)).withColumn("sample", F.struct("part", "seq"))
-    touch = touching(roads, ("name",))
-    chain = connected_components(touch.select(F.col("key").alias("src"), F.col("other").alias("dst")))
-    rows = roads.join(chain.select(F.col("vertex").alias("key"), "component"), "key", "left").withColumn("chain", F.coalesce("component", "key"))
+    touch = touching(roads, ("name",)).checkpoint()
+    chain = connected_components(touch, "key", "other").withColumnRenamed("vertex", "key")
+    rows = roads.join(chain, "key", "left").select("key", "oid", "length_m", F.coalesce("component", "key").alias("chain"))
     chain_m = rows.groupBy("chain").agg(F.sum("length_m").alias("chain_m"))
-    near = within(points, other, reach, ("name",)).where("key != other").join(touch, ["key", "other"], "left_anti").groupBy("key", "other").agg(F.collect_set(F.col("sample.part") * 1_000_000 + F.col("sample.seq")).alias("samples"))
-    beside = near.groupBy("key").agg(F.collect_list(F.struct("other", "samples")).alias("beside"))
-    total = points.groupBy("key").agg(F.count("*").alias("total"))
-    full = rows.join(chain_m, "chain").join(total, "key").join(beside, "key", "left").select("key", "oid", "name", "chain", "chain_m", "total", "beside")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, twins = set(), []
-        for row in pdf.sort_values(["chain_m", "chain", "oid"], ascending=[False, True, True]).itertuples():
-            near = set()
-            for b in row.beside if row.beside is not None else ():
-                if b["other"] in kept:
-                    near.update(b["samples"])
-            if len(near) >= share * row.total and near:
-                twins.append(row.key)
-            else:
-                kept.add(row.key)
-        return pd.DataFrame({"key": twins}, dtype=pdf["key"].dtype)
-
-    return full.groupBy("name").applyInPandas(decide, f"key {dict(full.dtypes)['key']}")
+    place = rows.join(chain_m, "chain").select("key", F.struct((-F.col("chain_m")).alias("m"), "chain", "oid", "key").alias("place"))
+    near = within(points, other, reach, ("name",)).where("key != other").select("key", "other", "sample").distinct().join(touch, ["key", "other"], "left_anti")
+    near = near.join(place, "key").join(place.select(F.col("key").alias("other"), F.col("place").alias("other_place")), "other").where("other_place < place").select("key", "other", "sample").checkpoint()
+    before = near.select("key", "other").distinct().checkpoint()
+    total = points.groupBy("key").agg(F.count("*").alias("total")).checkpoint()
+    settled = roads.select("key").join(before.select("key").distinct(), "key", "left_anti").withColumn("twin", F.lit(False)).checkpoint()
+    left = before.select("key").distinct().checkpoint()
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return settled.where("twin").select("key")
+        waits = before.join(left.select(F.col("key").alias("other")), "other", "left_semi").select("key").distinct()
+        ready = left.join(waits, "key", "left_anti")
+        kept = settled.where("not twin").select(F.col("key").alias("other"))
+        covered = near.join(ready, "key", "left_semi").join(kept, "other", "left_semi").groupBy("key").agg(F.count_distinct("sample").alias("n"))
+        found = ready.join(covered, "key", "left").join(total, "key").select("key", F.coalesce((F.col("n") > 0) & (F.col("n") >= share * F.col("total")), F.lit(False)).alias("twin"))
+        settled = settled.unionByName(found).checkpoint()
+        left = left.join(settled, "key", "left_anti").checkpoint()
+    raise RuntimeError(f"twins did not settle in {max_rounds} rounds")
 
 
 def apply_exclusions(segments: DataFrame, by_key: DataFrame, by_name: DataFrame, duplicate_of: DataFrame) -> tuple[DataFrame, DataFrame]:

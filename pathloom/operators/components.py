@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where none is set (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own where that is not set.
+
+    In local mode a new one is made if there is neither; on a cluster, whose machines share no folder by themselves,
+    RuntimeError.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.components import shared_folder
 from pathloom.operators.spatial import within
 
 MILE = 1609.344
@@ -117,13 +118,19 @@ def miles(metres: Column) -> Column:
 def near_misses(nodes: DataFrame, segments: DataFrame, runs: DataFrame, limits: tuple[float, ...] = (10, 15, 20, 25, 60), on: tuple[str, ...] = ()) -> DataFrame:
     """``(layer, bucket, n)``: missed nodes of counted segments by the distance of the nearest run, ``[lower, upper)``.
 
-    Every layer has every bucket, 0 if empty; the last, ``farther``, also holds those beyond the last limit.
+    Every layer has every bucket, 0 if empty; the last, ``farther``, also holds those beyond the last limit. A ring for
+    each limit meets only the nodes that no smaller one found a run for, so most nodes never meet the wide cells.
     """
+    shared_folder(nodes.sparkSession)
     wanted = segments.where("counted and not excluded").select(F.col("id").alias("segment_id"), "layer")
-    missed = nodes.where("hit_at is null").join(wanted, "segment_id")
     keys = ["segment_id", "part", "seq"]
-    near = within(missed, _about_runs(runs, on), float(limits[-1]), on).groupBy(*keys).agg(F.min("dist").alias("d"))
-    rows = missed.select(*keys, "layer").join(near, keys, "left").withColumn("slot", bucket(F.col("d"), limits))
+    missed = nodes.where("hit_at is null").join(wanted, "segment_id").select(*keys, *on, "layer", "x", "y").checkpoint()
+    about, left, rows = runs.select("x1", "y1", "x2", "y2", *on).distinct().checkpoint(), missed, None
+    for limit in limits:
+        near = within(left, about, float(limit), on).groupBy(*keys, "layer").agg(F.min("dist").alias("d")).checkpoint()
+        rows = near if rows is None else rows.unionByName(near)
+        left = left.join(near, keys, "left_anti").checkpoint()
+    rows = rows.unionByName(left.select(*keys, "layer", F.lit(None).cast("double").alias("d"))).withColumn("slot", bucket(F.col("d"), limits))
     counted = rows.groupBy("layer", "slot").agg(F.count("*").alias("n"))
     spark = nodes.sparkSession
     names = [(i, f"<{x:g} m") for i, x in enumerate(limits)] + [(len(limits), "farther")]

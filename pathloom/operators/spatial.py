@@ -69,6 +69,16 @@ def crossings(pieces: DataFrame, key: str = "id", size: float = 50.0, on: tuple[
     return found.dropDuplicates([*on, "a_key", "b_key", "a_k", "b_k"])
 
 
+def line_pairs(pieces: DataFrame, reach: float, key: str = "id", on: tuple[str, ...] = ()) -> DataFrame:
+    """``(a, b, dist)``, a < b: lines within ``reach`` of each other, of equal ``on``. Where two lines do not cross, a
+    vertex of one is nearest; where they do, they are 0 apart."""
+    vertices = pieces.select(F.col(key).alias("_of"), *on, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("_p")).select("_of", *on, "_p.*").distinct()
+    met = within(vertices, pieces.select(F.col(key).alias("_with"), *on, "x1", "y1", "x2", "y2"), reach, on).where("_of != _with")
+    apart = met.select(F.least("_of", "_with").alias("a"), F.greatest("_of", "_with").alias("b"), "dist")
+    cross = crossings(pieces, key, max(50.0, reach), on).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), F.lit(0.0).alias("dist"))
+    return apart.unionByName(cross).groupBy("a", "b").agg(F.min("dist").alias("dist"))
+
+
 def near_pairs(points: DataFrame, eps: float, key: str = "id") -> DataFrame:
     """Links ``(src, dst)`` whose components are those of all points within ``eps`` of each other.
 

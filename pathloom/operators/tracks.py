@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pathloom.functions.geometry import distance, even_points, pieces
 
 PIECE_M = 200.0
+#: Boxes that are broadcast; beyond, fixes and boxes meet in cells of this size.
+FEW_BOXES, CELL_M = 1000, 10_000.0
 
 
 def real_fixes(fixes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -54,14 +56,23 @@ def classify(tracks: DataFrame, fixes: DataFrame, boxes: DataFrame, key: str = "
     which the lowest id counts, else ``outside``. Lines between fixes do not count.
 
     ``boxes`` has ``network_id`` and four corners in order as ``corners array<struct<x,y>>``: a fix is inside if it is
-    on one side of all four edges. It is one row for each network, and broadcast.
+    on one side of all four edges. It is one row for each network, and broadcast; more than ``FEW_BOXES`` meet the fixes
+    by the cells that they reach.
     """
     inside_left, inside_right = F.lit(True), F.lit(True)
     for i in range(4):
         a, b = F.get("corners", F.lit(i)), F.get("corners", F.lit((i + 1) % 4))
         side = (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"])
         inside_left, inside_right = inside_left & (side >= 0), inside_right & (side <= 0)
-    hit = fixes.join(F.broadcast(boxes), inside_left | inside_right, "left").groupBy(key).agg(F.count_distinct("seq").alias("fixes"), F.min("network_id").alias("network_id"))
+    if boxes.count() <= FEW_BOXES:
+        met = fixes.join(F.broadcast(boxes), inside_left | inside_right, "left")
+    else:
+        cell = lambda x: F.floor(x / CELL_M)
+        reach = lambda v: F.sequence(cell(F.array_min(F.transform("corners", lambda c: c[v]))), cell(F.array_max(F.transform("corners", lambda c: c[v]))))
+        cells = boxes.withColumn("_cx", F.explode(reach("x"))).withColumn("_cy", F.explode(reach("y")))
+        placed = fixes.withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
+        met = placed.join(cells, (placed["_cx"] == cells["_cx"]) & (placed["_cy"] == cells["_cy"]) & (inside_left | inside_right), "left")
+    hit = met.groupBy(key).agg(F.count_distinct("seq").alias("fixes"), F.min("network_id").alias("network_id"))
     joined = tracks.select(key).join(hit, key, "left")
     few = F.coalesce("fixes", F.lit(0)) < 2
     status = F.when(few, "no_gps").when(F.col("network_id").isNull(), "outside").otherwise("city")
