@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pathloom import adapters as ad
 from pathloom.catalog.records import LOG, STG
 from pathloom.catalog.registry import query, table
-from pathloom.operators import clean, health
+from pathloom.functions import geometry as g
+from pathloom.operators import clean, graph, health
 from pathloom.operators.components import shared_folder
 from pathloom.operators.numbering import number_rows
 from pathloom.sources import exports, features
@@ -46,7 +47,7 @@ def h1_orphans(spark, d):
     return health.finish_orphans(left, now()).select("id", "status", "error")
 
 
-@query("""SELECT n_name AS source, CASE n_nationkey % 4 WHEN 0 THEN 'check schedule' WHEN 1 THEN 'run again' WHEN 2 THEN 'layer server down' END AS advice FROM nation""")
+@query(f"""SELECT n_name AS source, CASE n_nationkey % 4 WHEN 0 THEN '{health.ADVICE['schedule']}' WHEN 1 THEN '{health.ADVICE['again']}' WHEN 2 THEN '{health.ADVICE['layers']}' END AS advice FROM nation""")
 def h3_advice(spark, d):
     k = F.col("n_nationkey") % 4
     t = table(spark, d, "nation").select("n_name", F.when(k == 0, "stale").when(k == 3, "ok").otherwise("failing").alias("state"), F.when(k == 1, "interrupted").when(k == 2, "HTTP 503").alias("error"))
@@ -87,6 +88,20 @@ def z11_problem(spark, d):
     return health.problem(t).select("source", "problem")
 
 
+@query(f"""SELECT source, notice, CASE notice WHEN 'alert' THEN source || ' failing' ELSE source || ' recovered' END AS subject,
+ CASE notice WHEN 'alert' THEN source || ' failing: HTTP 503' ELSE source || ' is working again: 42 new' END AS description,
+ CASE notice WHEN 'alert' THEN source || ' is failing.' || chr(10) || chr(10) || 'Since: Jan 2, 7:00 AM' || chr(10) || 'Last success: Jan 1, 7:00 AM (42 new)' || chr(10) || chr(10) || 'Last error (job ' || k || '):' || chr(10) || 'HTTP 503' || chr(10) || chr(10) || 'What to do: {health.ADVICE['layers']}' || chr(10) || chr(10) || 'One more notice comes when it recovers, and none in between.'
+  ELSE source || ' succeeded at Jan 1, 7:00 AM, after a problem that began Jan 2, 7:00 AM.' || chr(10) || chr(10) || '42 new' END AS body
+ FROM (SELECT n_name AS source, n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'alert' ELSE 'recovered' END AS notice FROM nation)""")
+def z11_notices(spark, d):
+    """Alerts of failing sources and notices of recovered ones."""
+    at = lambda day: F.lit(f"2024-01-0{day} 12:00:00").cast("timestamp")
+    bad = F.col("n_nationkey") % 2 == 0
+    t = table(spark, d, "nation").select(F.col("n_name").alias("source"), F.when(bad, "alert").otherwise("recovered").alias("notice"), at(2).alias("since"), F.when(bad, "failing").otherwise("ok").alias("state"), F.col("n_nationkey").alias("latest_id"), F.when(bad, "HTTP 503").alias("error"), at(1).alias("last_ok_at"), F.lit("42 new\nmore").alias("last_ok_summary"))
+    made = health.notice_text(t.select("source", "notice", "since"), t.drop("notice", "since"))
+    return made.select("source", "notice", "subject", "description", "body")
+
+
 @query("""SELECT source, CASE WHEN bad THEN true ELSE told END AS told, NOT bad AS closed FROM (SELECT n_name AS source, n_nationkey % 2 = 0 AS bad, n_nationkey % 3 > 0 AS is_open, n_nationkey % 3 = 2 AS told FROM nation) WHERE bad OR is_open""")
 def x5_episodes(spark, d):
     """A night's step and its notices sent: alerts are on record, recoveries and what nobody was told of are closed."""
@@ -148,14 +163,15 @@ def o10_delete(spark, d):
     return kept.select(F.col("s_suppkey").alias("key"), F.lit(False).alias("deleted")).unionByName(gone.select(F.col("s_suppkey").alias("key"), F.lit(True).alias("deleted")))
 
 
-@query("SELECT n_nationkey AS key, '2' AS version FROM nation")
+@query("SELECT n_nationkey AS key, n_nationkey % 3 AS value FROM nation")
 def o11_publish(spark, d):
     """Two states published one after the other; readers see the later one, whole."""
     folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"))
-    for version, rows in (("1", n.where("key < 5")), ("2", n)):
-        exports.publish(rows, folder, version)
-    return spark.read.parquet(f"{folder}/version=2").select("key", F.lit("2").alias("version"))
+    exports.publish(n.where("key < 5").withColumn("value", F.lit(0)), folder, 1)
+    exports.publish(n.withColumn("value", F.col("key") % 3), folder, 2)
+    spark.createDataFrame([(0, 9)], "key int, value int").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/version=3")  # not whole
+    return exports.read_published(spark, folder).select("key", "value")
 
 
 @query("SELECT c_custkey AS key, greatest(1, CAST(ceil(abs(c_acctbal) / 100) AS BIGINT)) AS steps, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, ((c_custkey * 7 - 400) % 360 + 360) % 360 AS turn FROM customer")
@@ -163,3 +179,59 @@ def z7_scalars(spark, d):
     """Greatest, ceil and abs; coalesce and nullif; a modulo that is never negative."""
     c = table(spark, d, "customer")
     return c.select(F.col("c_custkey").alias("key"), F.greatest(F.lit(1).cast("long"), F.ceil(F.abs("c_acctbal") / 100)).alias("steps"), F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("none")).alias("segment"), F.pmod(F.col("c_custkey") * 7 - 400, F.lit(360).cast("long")).alias("turn"))
+
+
+@query(f"""WITH {ad.SEG}, s AS (SELECT *, CASE WHEN id % 10 = 3 THEN 'added' WHEN id % 10 = 0 THEN 'removed' WHEN id % 7 = 0 AND id % 2 = 1 THEN 'changed' END AS change,
+  length_m + CASE WHEN id % 7 = 0 AND id % 10 <> 0 THEN 1 ELSE 0 END AS now_m FROM seg WHERE layer = 'road' OR id % 10 NOT IN (0, 3)),
+ n AS (SELECT change, count(*) AS n FROM s WHERE layer = 'road' AND change IS NOT NULL GROUP BY change),
+ r AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY id) AS rn FROM s WHERE layer = 'road' AND change IS NOT NULL),
+ c AS (SELECT sum(CASE WHEN change = 'added' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN change = 'changed' THEN 1 ELSE 0 END) AS c, sum(CASE WHEN change = 'removed' THEN 1 ELSE 0 END) AS r FROM r)
+ SELECT 'cart paths: unchanged; roads: ' || CAST(a AS INTEGER) || ' added, ' || CAST(c AS INTEGER) || ' changed, ' || CAST(r AS INTEGER) || ' removed' AS line FROM c
+ UNION ALL SELECT 'roads:' UNION ALL SELECT '  ' || change || ':' FROM n
+ UNION ALL SELECT '    ' || id || ' ' || name || ' (' || seg_type || ', ' || CAST(CASE WHEN change = 'removed' THEN length_m ELSE now_m END AS INTEGER) || ' m)' FROM r WHERE rn <= 25
+ UNION ALL SELECT '    … and ' || (n - 25) || ' more' FROM n WHERE n > 25""")
+def h5_refresh(spark, d):
+    """Roads are imported again: some are new, some are gone, some are longer; cart paths are as they were."""
+    from pathloom.plans import network, refresh
+
+    seg = ad.seg(spark, d)
+    old = seg.where("id % 10 != 3").select("id", "layer", "seg_type", "name", "counted", "excluded", "uncounted_reason", "length_m", "geom", "source_oid", F.col("id").cast("string").alias("source_key"), F.lit(None).cast("string").alias("city_change"), F.lit(None).cast("timestamp").alias("changed_at"))
+    old = old.withColumn("geom_hash", g.shape_hash(F.col("geom"))).withColumn("exclusion_reason", F.lit(None).cast("string"))
+    nodes = network.make_nodes(old).withColumns({"hit_at": F.lit(None).cast("timestamp"), "hit_run": F.lit(None).cast("long")})
+    longer = F.transform("geom", lambda line: F.transform(line, lambda p, i: F.struct((p["x"] + F.when((i == 1) & (F.col("id") % 7 == 0), 1.0).otherwise(0.0)).alias("x"), p["y"].alias("y"))))
+    now = seg.where("id % 10 != 0 and layer = 'road'").select(F.col("id").cast("string").alias("key"), F.col("id").alias("oid"), "name", "seg_type", "counted", "uncounted_reason", longer.alias("geom"))
+    sig = spark.createDataFrame([("cartpath", 1, 1), ("road", now.count(), 1)], "layer string, feature_count long, max_oid long").withColumn("max_edited_at", F.lit("2024-01-01").cast("timestamp"))
+    was = sig.withColumn("feature_count", F.when(F.col("layer") == "road", 0).otherwise(F.col("feature_count")))
+    state = refresh.State(old, nodes, *graph.build_graph(old))
+    return refresh.refresh(sig, was, lambda layer: now, state).report.where("place < 1000000").select("line")
+
+
+@query(f"""WITH l AS (SELECT event_id AS id, CAST(ts AS DATE) + CAST(event_id % 50 AS INTEGER) AS day, event_type, value, event_id % 7 = 0 AS stub FROM events),
+ q AS (SELECT greatest(DATE '2024-01-05', date_trunc('month', day)::DATE) AS from_date, CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'other type' WHEN stub THEN 'stub' WHEN event_type = 'click' AND id % 5 = 0 THEN 'no gps'
+  WHEN id % 3 = 0 THEN 'known' WHEN id % 11 = 0 THEN 'no_gps' WHEN value <= 250 THEN 'city' ELSE 'outside' END AS reason FROM l WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-02-25')
+ SELECT from_date, reason, count(*) AS n, count(*) AS again FROM q WHERE reason IN ('city', 'outside', 'no_gps') GROUP BY ALL
+ UNION ALL SELECT from_date, reason, count(*), NULL FROM q WHERE reason NOT IN ('city', 'outside', 'no_gps') GROUP BY ALL""")
+def m13_sync(spark, d):
+    """A sync by month, what it committed, and that a second one fetches nothing."""
+    from pathloom.operators import tracks
+    from pathloom.plans import sync
+
+    e, folder = table(spark, d, "events"), f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"
+    kind, k = F.col("event_type"), F.col("event_id")
+    listing = e.select(k.alias("id"), F.date_add(F.to_date("ts"), (k % 50).cast("int")).alias("day"), F.col("ts").alias("start_at"), kind.alias("type"), (k % 7 == 0).alias("stub"), (~((kind == "click") & (k % 5 == 0))).alias("has_latlng"))
+    place = e.select(k.alias("track"), F.col("value").alias("x"), F.lit(1.0).alias("y"))
+    fixes = place.withColumn("seq", F.explode(F.sequence(F.lit(0), F.when(F.col("track") % 11 == 0, 0).otherwise(1)))).select("track", "seq", "x", "y")
+    boxes = tracks.box_corners(spark.createDataFrame([(1, 0.0, 0.0, 250.0, 9.0)], "network_id long, x_min double, y_min double, x_max double, y_max double")).select("network_id", "corners")
+    schema = "id long, start_at timestamp, status string, network_id long"
+    sync.commit(e.where("event_id % 3 = 0").select(k.alias("id"), F.col("ts").alias("start_at"), F.lit("city").alias("status"), F.lit(1).cast("long").alias("network_id")), folder, "before")
+    fetch = lambda ids: fixes.join(ids, "track", "left_semi")
+    args = (listing, fetch, boxes, "2024-01-05", "2024-02-25", ["view", "click", "purchase"], folder)
+    dry = sync.sync(*args, dry_run=True)
+    first = sync.sync(*args)
+    second = sync.sync(*args).where("reason in ('city', 'outside', 'no_gps')")
+    if not second.isEmpty() or not dry.exceptAll(first).isEmpty():
+        raise RuntimeError("a second sync fetched again, or a dry run counts otherwise")
+    have = sync.stored(spark, folder, schema).where("id % 3 != 0").join(listing.select("id", "day"), "id")
+    month = F.greatest(F.trunc("day", "MM"), F.lit("2024-01-05").cast("date"))
+    committed = have.groupBy(month.alias("from_date"), F.col("status").alias("reason")).agg(F.count("*").alias("again"))
+    return first.join(committed, ["from_date", "reason"], "left").select("from_date", "reason", "n", "again")

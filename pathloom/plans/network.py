@@ -48,15 +48,17 @@ class Imported:
     no_geometry: DataFrame
 
 
-def import_layer(features: DataFrame, stored: DataFrame | None, layer: str, settings: Settings = Settings(), at=None) -> Imported:
+def import_layer(features: DataFrame, stored: DataFrame | None, layer: str, settings: Settings = Settings(), at=None, expected: int | None = None) -> Imported:
     """Features ``(key, oid, name, seg_type, counted, uncounted_reason, geom)`` as the layer's segments.
 
-    Refuses an empty download and repeated keys. Features without geometry and slivers go, of equal shapes the lowest
+    Refuses an empty download, one of another number of features than ``expected``, and repeated keys. Features without geometry and slivers go, of equal shapes the lowest
     object id stays, the second carriageway of a divided road is no longer counted. Ids of stored keys stay; a change
     is marked unless this is the layer's first import.
     """
     if features.isEmpty():
         raise RuntimeError(f"{layer}: no features; refusing to import")
+    if expected is not None and (n := features.count()) != expected:
+        raise RuntimeError(f"{layer}: {n} features, but the service reports {expected}; refusing a partial import")
     if not clean.repeated_keys(features, "key").isEmpty():
         raise RuntimeError(f"{layer}: repeated keys")
     there, missing = clean.with_geometry(features)

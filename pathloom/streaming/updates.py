@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pathloom.operators.matching import merge_hits
+from pathloom.sources import exports
 
 
 def split_stream(fixes: DataFrame, gap: float) -> DataFrame:
@@ -44,31 +45,31 @@ def once(activities: DataFrame, key: str = "id") -> DataFrame:
 
 
 class HitTable:
-    """Nodes with their earliest hits, as folders of which the highest version counts.
+    """Nodes with their earliest hits, as published versions of a folder.
 
-    ``merge`` is for ``foreachBatch``: hits that are earlier replace stored ones. A batch that comes again changes
-    nothing, since the minimum of the same hits is the same, and a version is published only when it is whole.
+    ``merge`` is for ``foreachBatch``: hits that are earlier replace stored ones. Batch n is version n + 1, so a batch
+    that comes again finds its version there and changes nothing, and versions that two later ones replaced are
+    deleted.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str]):
         self.spark, self.folder, self.keys = spark, folder, keys
 
     def create(self, nodes: DataFrame) -> None:
-        nodes.write.mode("overwrite").parquet(f"{self.folder}/v=0")
+        exports.publish(nodes, self.folder, 0)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v={self.version()}")
+        return exports.read_published(self.spark, self.folder)
 
     def version(self) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [s.getPath() for s in fs.listStatus(path)]
-        return max(int(p.getName()[2:]) for p in done if p.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return exports.published(self.spark, self.folder)
 
     def merge(self, hits: DataFrame, batch: int) -> None:
+        if (now := self.version()) > batch:
+            return
         best = hits.groupBy(*self.keys).agg(F.min(F.struct("hit_at", "hit_run")).alias("h")).select(*self.keys, "h.*")
-        now = self.version()
-        merge_hits(self.read(), best, self.keys).write.mode("overwrite").parquet(f"{self.folder}/v={now + 1}")
+        merge_hits(self.read(), best, self.keys).write.mode("overwrite").parquet(f"{self.folder}/version={batch + 1}")
+        exports.drop_before(self.spark, self.folder, now)
 
 
 def follow(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str):

@@ -253,6 +253,27 @@ def test_course_file_reads_back(spark):
     raw = exports.fit_course("Näme", [(40.0, -84.0, 0.0), (40.001, -84.0, 111.2)], [(40.0, -84.0, 0.0, "left")], 1_700_000_000, 0.3)
     assert raw[8:12] == b".FIT" and exports.fit_crc(raw) == 0 and struct.unpack("<I", raw[4:8])[0] == len(raw) - 16
     assert exports.fit_crc(b"123456789") == 0xBB3D
+    assert read_course(raw) == [(0, 1), (31, 1), (19, 1), (21, 1), (20, 2), (32, 1), (21, 1)]
+    assert b"N?me" in raw and b"left" in raw
+    own = exports.fit_course("x" * 80, [(40.0, -84.0, 0.0)], [(40.0, -84.0, 0.0, "sharp_left")], 1_700_000_000, 0.3, generic=False)
+    assert b"x" * 63 + b"\0" in own and len(own) == len(exports.fit_course("x", [(40.0, -84.0, 0.0)], [(40.0, -84.0, 0.0, "sharp_left")], 1_700_000_000, 0.3))
+
+
+def read_course(raw):
+    """(message, rows) in order, by the format's own definitions."""
+    at, end, kinds, found = raw[0], len(raw) - 2, {}, []
+    while at < end:
+        head = raw[at]
+        if head & 0x40:
+            number, n = struct.unpack("<HB", raw[at + 3 : at + 6])
+            kinds[head & 15] = (number, sum(raw[at + 7 + 3 * i] for i in range(n)))
+            found.append([number, 0])
+            at += 6 + 3 * n
+        else:
+            found[-1][1] += 1
+            at += 1 + kinds[head][1]
+    assert at == end
+    return [tuple(x) for x in found]
 
 
 def test_sources_refuse_bad_bodies(spark):
