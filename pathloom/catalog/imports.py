@@ -185,7 +185,7 @@ def r8_units(spark, d):
     return routing.required_units(built(spark, d)[0], left, left.select("segment_id")).select("id", F.size("edges").alias("edges"), F.round("length_m", 2).alias("length_m"))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS request, CAST(count(*) + 1 AS INTEGER) AS legs, 100.0 * count(*) AS walked FROM nation GROUP BY 1")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS request, CAST(count(*) + 1 AS INTEGER) AS legs, CAST(100 * count(*) AS DOUBLE) AS walked FROM nation GROUP BY 1")
 def r9_tour(spark, d):
     """A request for each region, its nations units on a line, 50 m each: out along all of them and back."""
     place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long")

@@ -100,14 +100,16 @@ def b11_islands(spark, d):
     return got.select(F.round("length_m", 2).alias("length_m"), F.size("segments").alias("segments"), F.concat(F.lit("cartpath:"), lowest.cast("string")).alias("first_label"), "main")
 
 
-@query("SELECT s_suppkey AS request, 'ok' AS reached, CAST(CASE WHEN s_suppkey % 8 = 3 THEN 600 ELSE s_suppkey % 8 * 100 + 200 END AS DOUBLE) AS length_m FROM supplier")
+@query("""SELECT request, 'ok' AS reached, length_m, length_m AS line_m, CAST(request // 8 * 2000 + 50 AS DOUBLE) AS x_from, CAST(request // 8 * 2000 + 250 AS DOUBLE) AS x_to, CAST(request % 8 * 100 AS DOUBLE) AS y_to
+ FROM (SELECT s_suppkey AS request, CAST(CASE WHEN s_suppkey % 8 = 3 THEN 600 ELSE s_suppkey % 8 * 100 + 200 END AS DOUBLE) AS length_m FROM supplier)""")
 def r3_legs(spark, d):
     """From a place 50 m along the lowest street of a grid to one 250 m along a street above; the bridge is reached by its end only."""
     edges, _ = built(spark, d)
     k, x0 = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 8) * 2000.0
     asked = table(spark, d, "supplier").select(k.alias("request"), (x0 + 50).alias("ax"), F.lit(0.0).alias("ay"), (x0 + 250).alias("bx"), (k % 8 * 100).cast("double").alias("by"))
     got = routing.legs(asked, edges, 10.0)
-    return got.select("request", "reached", F.round("length_m", 2).alias("length_m"))
+    first, last = F.get("line", F.lit(0)), F.element_at("line", -1)
+    return got.select("request", "reached", F.round("length_m", 2).alias("length_m"), F.round(g.line_length(F.col("line")), 2).alias("line_m"), F.round(first["x"], 3).alias("x_from"), F.round(last["x"], 3).alias("x_to"), F.round(last["y"], 3).alias("y_to"))
 
 
 @query(f"WITH {GRID_SQL} SELECT 2 * b + 1 AS route, CAST(100 * (1 + b % 6) AS DOUBLE) AS new_m FROM blk UNION ALL SELECT 2 * b + 2, 0.0 FROM blk")
@@ -130,7 +132,7 @@ def r7_new_ground(spark, d):
  sides(x) AS (VALUES (0), (700)),
  two AS (SELECT i.b AS b, least(abs(2 - s.x) + i.w + e.w, n.w + o.w + abs(700 - s.x - 2)) + 1400 AS total FROM sides s, sides u, across i, across e, across n, across o
   WHERE i.x = 700 - s.x AND i.y = u.x AND e.b = i.b AND e.x = 700 - u.x AND e.y = 2 AND n.b = i.b AND n.x = 2 AND n.y = u.x AND o.b = i.b AND o.x = 700 - u.x AND o.y = s.x)
- SELECT blk.b AS request, 'ok' AS state, CAST(CASE WHEN m > 2 THEN (SELECT min(total) FROM two WHERE two.b = blk.b) ELSE 1400 END AS DOUBLE) AS length_m, CAST(0 AS BIGINT) AS skipped FROM blk""")
+ SELECT *, length_m AS line_m FROM (SELECT blk.b AS request, 'ok' AS state, CAST(CASE WHEN m > 2 THEN (SELECT min(total) FROM two WHERE two.b = blk.b) ELSE 1400 END AS DOUBLE) AS length_m, CAST(0 AS BIGINT) AS skipped FROM blk)""")
 def r10_finish(spark, d):
     """Two whole streets of each grid to run, 700 m each, from a click 2 m from the corner: where all side streets are
     there, up one and down the other, 1804 m. The SQL tries both orders and all directions."""
@@ -140,8 +142,8 @@ def r10_finish(spark, d):
     asked = table(spark, d, "supplier").where("s_suppkey % 8 = 0").select(b.alias("request"), (b * 2000.0 + 2).alias("x"), F.lit(0.0).alias("y"))
     picked = left.select(F.floor(F.col("segment_id") / 8).alias("request"), "segment_id")
     legs, summary = routing.finish_routes(asked, picked, edges, vertices, left, 10.0)
-    length = legs.groupBy("request").agg(F.round(F.sum(F.col("deadhead") + F.col("length_m")), 1).alias("length_m"))
-    return summary.join(length, "request").select("request", "state", "length_m", "skipped")
+    length = legs.groupBy("request").agg(F.round(F.sum(F.col("deadhead") + F.col("length_m")), 1).alias("length_m"), F.round(F.sum(g.line_length(F.col("line"))), 1).alias("line_m"))
+    return summary.join(length, "request").select("request", "state", "length_m", "line_m", "skipped")
 
 
 LATLON = "p AS (SELECT user_id AS route, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq, 40 + value / 10000 AS lat, -84 + CAST(json_extract(props, '$.k') AS DOUBLE) / 10000 AS lon FROM events)"
