@@ -34,7 +34,40 @@ SENTENCES = {
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "unlicense-notice": "This is free and unencumbered software released into the public domain",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "apache2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl2-free": "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-only": "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-free": "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-free": "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-free": "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-asis": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "bsd0-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "zlib-origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    "bsl-notice": "Distributed under the Boost Software License, Version 1.0",
+    "mpl2-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "mpl2-title": "Mozilla Public License Version 2.0 1. Definitions",
+    "epl2-text": "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")",
+    "epl2-header": "made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-deed": "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law",
+    "unlicense-dedicate": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
 }
+# Identifiers of licences that a tag of one line may name.
+TAGGED = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 MS-PL OFL-1.1 PostgreSQL Unlicense Zlib"
+).split()
+SENTENCES |= {f"{x}-tag-notice": f"SPDX-License-Identifier: {x}" for x in TAGGED}
 # Other wordings of the identifiers, found wherever they stand; where a program or holder is named, the part without the name.
 VARIANTS = [
     ("apache2-notice", "under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
@@ -73,13 +106,35 @@ RULES = [
     ("CC-BY-SA-4-notice", "CC-BY-SA-4.0", ["ccbysa4-notice"]),
     ("MPL-2-notice", "MPL-2.0", ["mpl2-notice"]),
     ("Unlicense-notice", "Unlicense", ["unlicense-notice"]),
+    ("Apache-2-text", "Apache-2.0", ["apache2-title", "apache2-terms"]),
+    ("GPL-2-header", "GPL-2.0-or-later", ["gpl2-free", "gpl-warranty"]),
+    ("GPL-2-only-header", "GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-2-text", "GPL-2.0", ["gpl2-title"]),
+    ("GPL-3-text", "GPL-3.0", ["gpl3-title"]),
+    ("LGPL-2.1-header", "LGPL-2.1-or-later", ["lgpl21-free", "gpl-warranty"]),
+    ("LGPL-2.1-text", "LGPL-2.1", ["lgpl21-title"]),
+    ("LGPL-3-header", "LGPL-3.0-or-later", ["lgpl3-free", "gpl-warranty"]),
+    ("LGPL-3-text", "LGPL-3.0", ["lgpl3-title"]),
+    ("AGPL-3-header", "AGPL-3.0-or-later", ["agpl3-free", "gpl-warranty"]),
+    ("AGPL-3-text", "AGPL-3.0", ["agpl3-title"]),
+    ("ISC-text", "ISC", ["isc-grant", "isc-asis"]),
+    ("0BSD-text", "0BSD", ["bsd0-notice", "isc-asis"]),
+    ("Zlib-text", "Zlib", ["zlib-asis", "zlib-grant", "zlib-origin"]),
+    ("BSL-1-text", "BSL-1.0", ["bsl-grant"]),
+    ("BSL-1-notice", "BSL-1.0", ["bsl-notice"]),
+    ("MPL-2-text", "MPL-2.0", ["mpl2-title"]),
+    ("EPL-2-text", "EPL-2.0", ["epl2-text"]),
+    ("EPL-2-header", "EPL-2.0", ["epl2-header"]),
+    ("CC0-text", "CC0-1.0", ["cc0-title"]),
+    ("CC0-deed", "CC0-1.0", ["cc0-deed"]),
 ]
+RULES += [(f"{x}-tag", x, [f"{x}-tag-notice"]) for x in TAGGED]
 # A rule does not hold where its last identifier is followed by this one before its first comes again.
 UNLESS = {"BSD-2-text": "bsd-endorse"}
 #: Identifiers of one-line notices, which must be sentences or lines of their own: a text that mentions one has no licence.
 ALONE = ("-notice", "-licensed")
 #: Every known sentence has one of these words; other texts are not searched.
-ANCHOR = r"(?i)licen[sc]e|software|warranty|redistribution|\bCC[^\p{L}\p{N}]+BY\b"
+ANCHOR = r"(?i)licen[sc]e|software|warranty|redistribution|\bCC[^\p{L}\p{N}]+BY\b|\bCC0\b|public domain|\bMPL\b|use,? reproduction"
 _WORD = re.compile(r"[^\W_]+")
 #: Marks between two words that end a sentence: a stop before white space, a colon at a line's end, a line without words.
 _STOP = re.compile(r"[.!?]\s|:\s*\n|\n[^\n]*\n")
@@ -168,7 +223,8 @@ def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent
     """``(id, license, rule, n_sentences)``: a row for each licence of each text that has one, by its first rule that holds.
 
     Null and empty texts have none; rows that share an id are read as one text's parts; a null id is an id of its own;
-    no rows give no rows; other columns do not matter. The sentences and rules are fixed lists. A BSD text
+    no rows give no rows; other columns do not matter; a text of any length is searched whole. A licence's full text
+    that shows how to apply it has the licence of that notice too. The sentences and rules are fixed lists. A BSD text
     with the third clause is not also one without it.
     """
     found = sentence_ids(df, id_col, text_col, sentences)

@@ -323,6 +323,65 @@ BSD_3 = """
 """
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+"""
+GPL_2 = LGPL.replace("This library", "This program").replace("GNU Lesser General Public\nLicense", "GNU General Public License").replace("version 2.1", "version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+"""
+
+
+def test_more_licenses(spark):
+    zero = ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")
+    texts = {"LGPL-2.1-header": LGPL, "AGPL-3-header": AGPL, "GPL-2-header": GPL_2, "MPL-2-notice": MPL, "ISC-text": ISC, "Zlib-text": ZLIB, "0BSD-text": zero, "GPL-3.0-or-later-tag": "// SPDX-License-Identifier: GPL-3.0-or-later\nint main;", "MIT-tag": "# SPDX-License-Identifier: MIT"}
+    marks = [lambda t: t, lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.split("\n"))]
+    rows = [(10 * i + k, f"Some words.\n\n{mark(t)}\nmore") for i, t in enumerate(texts.values()) for k, mark in enumerate(marks)]
+    rows += [(None, MIT), (500, f"{'word ' * 200_000}\n{ISC}"), (501, MIT), (501, ISC), (502, None)]
+    found = sorted(((r["doc_id"], r["rule"]) for r in licenses.licenses(docs_of(spark, rows)).collect()), key=str)
+    want = [(10 * i + k, name) for i, name in enumerate(texts) for k in range(2)] + [(None, "MIT-text"), (500, "ISC-text"), (501, "MIT-text"), (501, "ISC-text")]
+    assert found == sorted(want, key=str)
+    assert licenses.licenses(docs_of(spark, [])).count() == 0
+
+
 def test_licenses_of_verbatim_texts(spark):
     texts = {"MIT-text": MIT, "Apache-2-header": APACHE, "GPL-3-header": GPL, "BSD-2-text": BSD, "BSD-3-text": BSD + BSD_3}
     marks = {0: lambda t: t, 1: lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.split("\n")), 2: lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */", 3: lambda t: "".join(f"dnl {x}\n" for x in t.split("\n")), 4: lambda t: t.replace("\n", "\r\n")}
