@@ -34,7 +34,11 @@ def _one_line(text: Column) -> Column:
 
 def plan_records(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", least: int = 0) -> DataFrame:
     """``(id, url, payload, bytes, digest, refers_to)``: of equal payloads of at least ``least`` bytes the row with the
-    largest id is written whole, and the others refer to it; smaller payloads are all written. A null payload is empty."""
+    largest id is written whole, and the others refer to it; smaller payloads are all written.
+
+    A null payload is empty. Rows that share the largest id are all written whole; a row with a null id refers to that
+    with the largest, and is written whole where no row of its payload has an id. No rows give no records. Columns
+    other than the three do not matter."""
     url = F.col(url_col) if url_col else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
@@ -42,7 +46,7 @@ def plan_records(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     repeated = repeated.checkpoint()
     repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     found = rows.join(repeated, ["digest", "bytes"], "left")
-    other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))  # of null ids only, none is the first
     return found.select("id", "url", "payload", "bytes", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
@@ -139,6 +143,8 @@ def chain(pieces: DataFrame, max_rounds: int = 64) -> DataFrame:
         n = now
         there = jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("further"))
         jump = jump.join(there, ["file", "leave"], "left").select("file", "at", F.coalesce("further", "leave").alias("leave")).checkpoint()
+    else:
+        raise RuntimeError(f"the chains did not settle in {max_rounds} rounds")
     marked = placed.join(reach.withColumn("entry", F.lit(True)), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     return marked.groupBy("file", "split").applyInPandas(_reached, "file string, split long, nth long, at long, real boolean")
 
@@ -147,7 +153,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """``(page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact)`` of every record of the archives.
 
     A response's bytes and digest are counted from its payload as read, and ``intact`` says whether its headers agree;
-    a revisit has those of the payload that it refers to from its headers.
+    a revisit has those of the payload that it refers to from its headers. A record without an id of this library has a
+    null one. A folder without records gives no rows.
     """
     shared_folder(spark)
     pieces = candidates(spark, folder).checkpoint()

@@ -614,6 +614,17 @@ def test_warc(spark, small, tmp_path):
     assert warc.plan_records(pages, least=2).where("bytes < 2 and refers_to is not null").count() == 0
 
 
+def test_warc_of_odd_ids(spark, tmp_path):
+    rows = [(5, "a"), (5, "a"), (3, "a"), (None, "a"), (None, "b"), (7, "long " * 400_000)]
+    pages = spark.createDataFrame([(i, "u", h, 1) for i, h in rows], "page_id long, url string, html string, digest int")
+    warc.write_warc(warc.plan_records(pages), f"{tmp_path}/w")
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["intact"]) for r in warc.read_warc(spark, f"{tmp_path}/w").collect()]
+    want = [(5, "response", None, 1, True)] * 2 + [(3, "revisit", 5, 1, True), (None, "revisit", 5, 1, True), (None, "response", None, 1, True), (7, "response", None, 2_000_000, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    warc.write_warc(warc.plan_records(pages.limit(0)), f"{tmp_path}/none")
+    assert warc.read_warc(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_bpe(spark, small):
     import tiktoken
 
@@ -634,7 +645,7 @@ def test_bpe_forgets(monkeypatch):
     work = bpe.BytePairEncoder(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     for text in ("one two three four five six", "six seven one", None, "one"):
         assert work.decode(work.encode([text])) == [(text or "").encode()]
-    assert zlib.crc32(b"") == 0
+    assert len(work.known) <= 11 and len(work.old) <= 11
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

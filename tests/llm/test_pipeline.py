@@ -56,3 +56,22 @@ def test_rows_that_share_an_id_are_judged_by_themselves(spark):
     rows = [(None, f"{a} {item}"), (None, b), (4, f"{item} {c}"), (4, d), (5, None)]
     clean = corpus_pipeline.decontamination(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema), folder).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in clean), key=str) == sorted([(None, b), (4, d), (5, None)], key=str)
+
+
+def test_stages_of_odd_tables(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone long, H long, clean string, spans string"
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(1, text, "en", None, 9, 1, 1, "c", "s"), (1, text, "en", None, 9, 1, 1, "c", "s"), (None, text + " now", None, None, None, None, None, None, None), (2, None, "en", "s", 7, 2, 2, "c", "s"), (3, "", None, "s", 0, 3, 3, "c", "s"), (4, f"{text} " * 20_000, "en", "s", 1, 4, 4, "c", "s")]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        kept[name] = sorted((str(r["doc_id"]) for r in out.collect()))
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert kept == {"language": ["1", "1", "4", "None"], "near_dedup": ["1", "2", "4"], "decontamination": ["1", "1", "2", "3", "4", "None"], "secret_scan": ["1", "1", "2", "3", "4", "None"]}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(last) == len(rows) and all(r["round_trip"] for r in last)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
