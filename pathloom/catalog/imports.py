@@ -28,10 +28,12 @@ def s3_listing(spark, d):
     return features.listing(table(spark, d, "events"), "ts", "2024-01-10", "2024-01-20").select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("ts").alias("start_at"))
 
 
-@query("SELECT * FROM (VALUES ('gap_m', '100'), ('radius_m', '20')) v(name, value) UNION ALL SELECT 'warning', 'unknown setting colour'")
+@query(f"WITH {ad.SEG} SELECT layer, count(*) FILTER (length_m >= 100) AS long, count(*) FILTER (length_m < 40) AS short, 'unknown setting colour' AS warning FROM seg GROUP BY layer")
 def s7_settings(spark, d):
-    found, warnings = features.load_settings("city: {gap_m: 100, radius_m: 20, colour: red}", "city", {"gap_m", "radius_m"})
-    return spark.createDataFrame([(k, str(v)) for k, v in found.items()] + [("warning", w) for w in warnings], "name string, value string")
+    """Segments counted by two of a network's settings; a setting that nobody knows is a warning."""
+    found, warnings = features.load_settings("city: {long_m: 100, short_m: 40, colour: red}\nother: {long_m: 1}", "city", {"long_m", "short_m"})
+    m = F.col("length_m")
+    return ad.seg(spark, d).groupBy("layer").agg(F.count_if(m >= found["long_m"]).alias("long"), F.count_if(m < found["short_m"]).alias("short")).withColumn("warning", F.lit(", ".join(warnings)))
 
 
 @query(f"WITH {ad.SEG} SELECT id FROM seg WHERE id % 6 IN (0, 1)")
@@ -112,10 +114,15 @@ def d6_regenerate(spark, d):
     return plans.keep_nodes(nodes.withColumn("made", F.lit("old")), nodes.withColumn("made", F.lit("new")), s.where("id % 3 = 0")).select("segment_id", "seq", "made")
 
 
-@query("SELECT * FROM (VALUES ('cartpath', '{AB}', NULL, 'private'), ('road', '7', 'Elm', 'gated'), ('road', NULL, 'Oak', 'gated')) v(layer, key, name, reason)")
+@query(f"WITH {ad.SEG} SELECT id, CASE WHEN layer = 'cartpath' THEN 'private' ELSE 'gated' END AS reason FROM seg WHERE (layer = 'cartpath' AND id = 4) OR (layer = 'road' AND (id = 7 OR upper(name) = 'ROAD 3'))")
 def d10_exclusion_file(spark, d):
-    text = "cartpaths: [{global_id: '{ab}', reason: private}]\nroads: [{object_id: 7, name: Elm, reason: gated}, {name: Oak, reason: gated}]"
-    return spark.createDataFrame(features.load_exclusions(text), "layer string, key string, name string, reason string")
+    """An exclusion file's entries, by key and by name, over the segments that they mean."""
+    text = "cartpaths: [{global_id: '{4}', reason: private}]\nroads: [{object_id: 7, reason: gated}, {name: ' road 3', reason: gated}]"
+    rows = spark.createDataFrame(features.load_exclusions(text), "layer string, key string, name string, reason string").withColumn("key", F.regexp_replace("key", "[{}]", ""))
+    seg = ad.seg(spark, d).withColumn("source_key", F.col("id").cast("string"))
+    none = spark.createDataFrame([], "layer string, dropped_key string, canonical_key string")
+    out, _ = clean.apply_exclusions(seg, rows.where("key is not null"), rows.where("key is null"), none)
+    return out.where("excluded").select("id", F.col("exclusion_reason").alias("reason"))
 
 
 @query(f"WITH {ad.SEG}, s AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id % 5 AS INTEGER)) AS changed_at FROM seg), m AS (SELECT layer, max(changed_at) AS changed_at FROM s GROUP BY layer) SELECT layer, id, changed_at FROM s JOIN m USING (layer, changed_at)")

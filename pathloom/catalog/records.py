@@ -442,6 +442,8 @@ def s9_pruned_scan(spark, d):
     return features.scan_network(spark, folder, 1, "click").select("event_id", F.col("network_id").cast("long").alias("k"))
 
 
-@query("SELECT i AS seq, k AS key FROM (VALUES (0, 7), (1, 3), (2, 9)) v(i, k)")
+@query("SELECT n_nationkey AS id, i - 1 AS seq, list_extract([n_nationkey, n_nationkey * 3, n_regionkey], i) AS key FROM nation, generate_series(1, 3) t(i)")
 def s11_arrays(spark, d):
-    return spark.range(1).select(F.posexplode(F.array(F.lit(7), F.lit(3), F.lit(9))).alias("seq", "key"))
+    """Arrays as rows, with their places."""
+    n = F.col("n_nationkey")
+    return table(spark, d, "nation").select(n.alias("id"), F.posexplode(F.array(n, n * 3, F.col("n_regionkey"))).alias("seq", "key"))
