@@ -127,9 +127,17 @@ def v3_node_detail(spark, d):
     return ad.hits(spark, d).where("seq = 1").join(run, "hit_run", "left").select("segment_id", "seq", "hit_run", "first_event")
 
 
-@query(f"WITH {A.FIX}, {A.STEP}, {A.RUNS} SELECT run, min(start_at) AS start_at, count(*) AS straight_pieces, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 3) AS length_m FROM runs GROUP BY run")
+@query(f"""WITH {A.FIX}, {A.STEP}, start_of AS (SELECT track, min(ts) AS start_at FROM fix GROUP BY track)
+ SELECT track AS run, min(start_at) AS start_at, CAST(count(DISTINCT g) AS INTEGER) AS lines, round(sum(CASE WHEN step <= 40 THEN step ELSE 0 END), 3) AS length_m, arg_min(x, seq) AS x_from, arg_max(x, seq) AS x_to, true AS fewer FROM good JOIN start_of USING (track) GROUP BY track""")
 def v4_activities(spark, d):
-    return ad.runs(spark, d).groupBy("run").agg(F.min("start_at").alias("start_at"), F.count("*").alias("straight_pieces"), F.round(F.sum("len"), 3).alias("length_m"))
+    """Runs as simplified lines: their ends are as they were, no line has more points than before."""
+    points = tracks.split_track(ad.fix(spark, d), ad.GAP).checkpoint()
+    start = ad.fix(spark, d).groupBy(F.col("track").alias("run")).agg(F.min("ts").alias("start_at"))
+    got = coverage.activities_layer(points, start)
+    size = points.groupBy(F.col("track").alias("run")).agg(F.count("*").alias("n"))
+    end = lambda line, at: F.element_at(F.element_at("lines", line), at)["x"]
+    fewer = F.aggregate("lines", F.lit(0), lambda n, line: n + F.size(line)) <= F.col("n")
+    return got.join(size, "run").select("run", "start_at", F.size("lines").alias("lines"), F.round("length_m", 3).alias("length_m"), end(1, 1).alias("x_from"), end(-1, -1).alias("x_to"), fewer.alias("fewer"))
 
 
 @query(f"""{A.ALL_HITS} SELECT seg.layer, count(DISTINCT id) AS segments, count(DISTINCT id) FILTER (counted AND NOT excluded) AS counted, count(seq) AS nodes, count(hit_at) AS hit FROM seg LEFT JOIN hit ON segment_id = id GROUP BY seg.layer""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.geometry import feature_pieces, piece_lines, substrings
+from pathloom.functions.geometry import feature_pieces, line_length, lines, piece_lines, simplify, substrings
 from pathloom.operators.matching import intervals
 
 TWIN = "second carriageway"
@@ -45,3 +45,12 @@ def coverage(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     pieces = about.drop("state").join(cut, "id").select(*keep, F.col("_s").alias("state"), "shape", "piece_m")
     whole = about.where("state is not null").select(*keep, "state", F.col("geom").alias("shape"), F.col("length_m").alias("piece_m"))
     return pieces.unionByName(whole)
+
+
+def activities_layer(points: DataFrame, runs: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """``(run, start_at, lines, length_m)``: each run's split track as lines, simplified for display by ``tolerance`` metres;
+    the length is that of the whole track. ``points`` has ``track, part, seq, x, y``, ``runs`` ``run, start_at``."""
+    each = lines(points, ["track", "part"])
+    each = each.select(F.col("track").alias("run"), "part", simplify(F.col("line"), tolerance).alias("line"), line_length(F.col("line")).alias("m"))
+    shape = F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"])
+    return each.groupBy("run").agg(shape.alias("lines"), F.sum("m").alias("length_m")).join(runs.select("run", "start_at").distinct(), "run").select("run", "start_at", "lines", "length_m")
