@@ -225,6 +225,95 @@ def test_slots_hold_over_a_copy_with_words_put_in(spark):
     assert sorted((str(r["doc_id"]), r["kind"]) for r in found) == [("7", "template"), ("None", "template")]
 
 
+def templates_by_hand(docs, items, window=5, coverage=0.8):
+    """Plain loops over all documents, items and shifts; for items of lower-case words and numbers, no window without words."""
+    tokens = lambda t: re.findall(r"[0-9]+|[a-z]+", t.lower())
+    form = lambda ts: ["#" if t.isdigit() else t for t in ts]
+    found = {}
+    for d, text in docs:
+        dt = tokens(text)
+        for i, item in items:
+            it = tokens(item)
+            shifts = {}
+            for s in range(-len(it), len(dt)):
+                at = [a for a in range(len(it) - window + 1) if 0 <= a + s <= len(dt) - window and form(it[a : a + window]) == form(dt[a + s : a + s + window])]
+                if at:
+                    shifts[s] = at
+            copies, last = [], None
+            for s in sorted(shifts):
+                if last is None or s - last > len(it) / 2:
+                    copies.append([])
+                copies[-1].append(s)
+                last = s
+            reach, alike = set(), True
+            for copy in copies:
+                fills = {}
+                for s in copy:
+                    for p in {p for a in shifts[s] for p in range(a, a + window) if it[p].isdigit()}:
+                        fills.setdefault(it[p], set()).add(dt[p + s])
+                for s in copy:
+                    for a in shifts[s]:
+                        if not any(it[p].isdigit() and len(fills[it[p]]) > 1 for p in range(a, a + window)):
+                            reach |= {*range(a, a + window)}
+                            alike &= all(it[p] == dt[p + s] for p in range(a, a + window) if it[p].isdigit())
+            if len(reach) >= coverage * len(it):
+                found[d, i] = (round(len(reach) / len(it), 9), "verbatim" if alike else "template")
+    return found
+
+
+def test_templates_against_plain_loops(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("ab cd ef gh ij kl".split())
+    items = []
+    for i in range(12):
+        made = []
+        while len(made) < rng.randint(9, 18):
+            made.append(str(rng.randint(1, 4)) if rng.random() < 0.3 and not any(x.isdigit() for x in made[-2:]) else word())
+        items.append((i, " ".join(made)))
+    docs = []
+    for d in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(items)[1].split()
+            to = {x: str(rng.randint(5, 7)) for x in "1234"}
+            own = [to[x] if x.isdigit() and rng.random() < 0.9 else x for x in own]
+            if rng.random() < 0.4:
+                own.insert(rng.randrange(len(own)), word())
+            parts += [*own, *(word() for _ in range(rng.randint(0, 5)))]
+        docs.append((d, "so " + " ".join(parts)))
+    found = decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = templates_by_hand(docs, items)
+    assert len(want) > 40
+    assert {(r["doc_id"], r["item_id"]): (round(r["coverage"], 9), r["kind"]) for r in found} == want
+
+
+def test_rules_against_plain_search(spark):
+    rng = random.Random(9)
+    rows = [(k, [rng.choice("abcdx") for _ in range(rng.randint(0, 9))]) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, ids array<string>")
+    for rule, unless in ((["a", "b", "c"], None), (["a"], None), (["a", "b"], "d"), (["a", "b", "b"], "x")):
+        got = {r[0] for r in df.where(licenses._in_order(F.col("ids"), rule, unless)).select("k").collect()}
+        want = set()
+        for k, ids in rows:
+            ends = [q[-1] for q in itertools.combinations(range(len(ids)), len(rule)) if [ids[i] for i in q] == rule]
+            if ends and not unless:
+                want.add(k)
+            elif ends:  # the earliest match stands if its first identifier comes again before what forbids it, or that never comes
+                rest = next((x for x in ids[min(ends) + 1 :] if x in (rule[0], unless)), None)
+                again = unless
+                tail = ids[min(ends) + 1 :]
+                while rest == unless and (at := tail.index(unless)) >= 0:
+                    tail = tail[at + 1 :]
+                    more = [q[-1] for q in itertools.combinations(range(len(tail)), len(rule)) if [tail[i] for i in q] == rule]
+                    if not more:
+                        break
+                    tail = tail[min(more) + 1 :]
+                    rest = next((x for x in tail if x in (rule[0], again)), None)
+                if rest != unless:
+                    want.add(k)
+        assert got == want, (rule, unless, sorted(got ^ want)[:3])
+
+
 def test_decontamination_of_table(spark, small):
     folder = "/root/testdata/sf0.01"
     own, items = texts(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet").collect()
