@@ -15,12 +15,22 @@ from pathloom.operators.components import shared_folder
 
 #: Bytes of text that a Python task holds as Python objects at a time.
 SLICE_BYTES = 500_000
+#: Rows and bytes of an Arrow batch, unless the session has other values than Spark's own: batches of texts by Spark's
+#: values take hundreds of megabytes on both sides of a worker's pipe.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches be small (``BATCH``); values that were set on purpose stay."""
+    for key, (usual, own) in BATCH.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, own)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns of these names, in any case: an operator's own results replace them."""
     lower = {n.lower() for n in names}
@@ -44,6 +54,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
     ``start()`` is called once a task and returns ``values, ... -> {name: list}``, which gets a bounded list of each
     column's values. Columns of the same names that ``df`` has already are replaced; all its other columns pass through.
     """
+    small_batches(df.sparkSession)
     names = [n for n, _ in fields]
     base = without(df, *names)
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t in fields]])

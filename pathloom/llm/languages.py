@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices
+from .common import append_columns, slices, small_batches
 
 UND = "und"
 #: Labels in the driver and in the model at most; a column with more is not one of languages.
@@ -137,6 +137,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         for name, into in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(into), pa.string()), pa.array(into.keys(), pa.int64()), pa.array(into.values(), pa.int64())], ["lang", "gram", "n"])
 
+    small_batches(labelled.sparkSession)
     grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = grams.persist()
     totals = {r[0]: r[1] for r in grams.groupBy("lang").agg(F.sum("n")).collect()}
