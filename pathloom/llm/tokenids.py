@@ -76,41 +76,37 @@ class EliasFano:
 
 class WordIds:
     """Ids by a ``tokenizers`` file, one white-space run of a text at a time; runs met before are remembered, up to
-    ``remembered`` and the slice of texts that goes beyond, in two generations.
+    ``remembered``, and then all forgotten.
 
     The tokenizer must cut at white space and drop it, as ``word_bpe_49k.json`` does. Only space, tab, line feed and
     carriage return part runs here; other white space stays inside a run, for the tokenizer to handle. A text that
     holds the string of a special token goes to the tokenizer whole, which gives it that token's id.
     """
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.first = {x[0] for x in special} | {x[0].upper() for x in special}
         self.size, self.remembered = self.tokenizer.get_vocab_size(), remembered
         self.kind = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # those of the generation before, less what was met again
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and self.special.search(t.lower())}
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and any(x in t for x in self.first) and self.special.search(t.lower())}
         runs = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t and k not in whole else [] for k, t in enumerate(texts)]
-        known, old, missing = self.known, self.old, []
-        for run in dict.fromkeys(r for some in runs for r in some):
-            if run not in known:
-                if (x := old.get(run)) is not None:
-                    known[run] = x
-                else:
-                    missing.append(run)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
+        known = self.known
+        missing = {r for some in runs for r in some if r not in known}
+        if len(known) + len(missing) > self.remembered:
+            known.clear()
+            missing = {r for some in runs for r in some}
+        order = list(missing)
+        for at in range(0, len(order), 4096):
+            some = order[at : at + 4096]
             known.update(zip(some, self._unseen(some)))
-        made = [whole[k] if k in whole else b"".join(map(known.__getitem__, some)) for k, some in enumerate(runs)]
-        if len(known) > self.remembered:
-            self.known, self.old = {}, {k: v for k, v in known.items() if len(k) <= 64}
-        return made
+        return [whole[k] if k in whole else b"".join(map(known.__getitem__, some)) for k, some in enumerate(runs)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
