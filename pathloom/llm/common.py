@@ -78,3 +78,9 @@ T_ARROW = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(),
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes an own folder of the shared one, through the file system that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

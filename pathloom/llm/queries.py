@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, languages, licenses, secrets, simhash, tokenids, topk, urls, warc
+from . import alignment, bpe, codebooks, decontaminate, fertility, languages, licenses, secrets, simhash, tokenids, topk, urls, warc
 from .common import new_folder, table
 
 # The rules of the URL query.
@@ -83,11 +83,51 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = fertility.filter_quality(spark, docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", *fertility.BASE, "base_failed", "kept", *fertility.MEASURES)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.alignments(spark, docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.compress(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict:
-    own = (op1_language_id, op2_token_ids, op3_secrets, op4_decontamination, op5_licenses, op6_url_filter, op7_top_k, op8_simhash, op9_warc, op10_bpe)
+    own = (op1_language_id, op2_token_ids, op3_secrets, op4_decontamination, op5_licenses, op6_url_filter, op7_top_k, op8_simhash, op9_warc, op10_bpe, op11_fertility, op12_alignment, op13_heap_lloyd)
     return {f.__name__: f for f in own}
 
 
+def _lloyd_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """Plain Lloyd's algorithm, round by round: an assignment and a codebook for each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT x.p, x.n, min(list_sum(list_transform(list_zip(x.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + c.k) AS m
+            FROM x JOIN c{r} c ON x.p = c.p GROUP BY x.p, x.n)""")
+        if r < rounds:
+            steps.append(f"""u{r} AS MATERIALIZED (SELECT p, k, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS e FROM
+                (SELECT x.p, a.m % 256 AS k, j, CAST(sum(x.e[j]) AS DOUBLE) AS s, count(*) AS n FROM x JOIN a{r} a ON x.p = a.p AND x.n = a.n, unnest(range(1, len(x.e) + 1)) AS t(j) GROUP BY 1, 2, 3) GROUP BY p, k),
+            c{r + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(u.e, c.e) AS e FROM c{r} c LEFT JOIN u{r} u ON c.p = u.p AND c.k = u.k)""")
+    last = f"a{rounds}"
+    return f"""
+            WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+            w AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS n, len(e) // 4 AS d FROM v),
+            x AS MATERIALIZED (SELECT CAST(p AS BIGINT) AS p, n, e[p * d + 1 : (p + 1) * d] AS e FROM w, unnest(range(4)) AS t(p)),
+            c0 AS MATERIALIZED (SELECT p, n AS k, e FROM x WHERE n < 256),
+            {", ".join(steps)},
+            book AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS h FROM c{rounds}),
+            code AS (SELECT n, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM {last} GROUP BY n)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM book) AS codebooks_sha256 FROM w JOIN code USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL expresses; the others are tested against brute-force versions."""
     return {
@@ -108,4 +148,5 @@ def oracle_sql() -> dict[str, str]:
                 FROM q JOIN v r ON q.vec_id <> r.vec_id)
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
             FROM s QUALIFY row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) <= 5""",
+        "op13_heap_lloyd": _lloyd_sql(),
     }
