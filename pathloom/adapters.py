@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pathloom.catalog.registry import table
 from pathloom.functions.geometry import even_points, feature_pieces
 from pathloom.operators import matching, tracks
 from pathloom.operators.components import shared_folder
+from pathloom.sources import exports
 
 GAP, REACH, SPACING = 40.0, 5.0, 20.0
 TYPES = ["Path", "Bridge", "Tunnel", "Walking Path", "Park"]
@@ -46,10 +49,24 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     return tracks.straight_pieces(tracks.split_track(f, GAP)).join(start, "track").withColumnRenamed("track", "run")
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    """Matched nodes, checkpointed: the queries read them more than once."""
+def match_all(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes matched with all runs anew."""
     shared_folder(spark)
-    return matching.match(node_radius(spark, d).checkpoint(), seg(spark, d), runs(spark, d).checkpoint(), REACH).checkpoint()
+    return matching.match(node_radius(spark, d).checkpoint(), seg(spark, d), runs(spark, d).checkpoint(), REACH)
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """Matched nodes as they are published: the first reader of these tables in an application matches and publishes, the others read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    key = [spark.sparkContext.applicationId, d]
+    for name in ("events", "supplier"):  # other files under the same name are other tables
+        at = path(f"{d}/{name}.parquet")
+        about = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        key += [str(about.getModificationTime()), str(about.getLen())]
+    folder = f"{shared_folder(spark)}/hits-{hashlib.md5('|'.join(key).encode()).hexdigest()}"
+    if exports.published(spark, folder) is None:
+        exports.publish(match_all(spark, d), folder, 1)
+    return exports.read_published(spark, folder)
 
 
 def ivl(spark: SparkSession, d: str) -> DataFrame:

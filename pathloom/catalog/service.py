@@ -189,21 +189,68 @@ def z7_scalars(spark, d):
  SELECT 'cart paths: unchanged; roads: ' || CAST(a AS INTEGER) || ' added, ' || CAST(c AS INTEGER) || ' changed, ' || CAST(r AS INTEGER) || ' removed' AS line FROM c
  UNION ALL SELECT 'roads:' UNION ALL SELECT '  ' || change || ':' FROM n
  UNION ALL SELECT '    ' || id || ' ' || name || ' (' || seg_type || ', ' || CAST(CASE WHEN change = 'removed' THEN length_m ELSE now_m END AS INTEGER) || ' m)' FROM r WHERE rn <= 25
- UNION ALL SELECT '    … and ' || (n - 25) || ' more' FROM n WHERE n > 25""")
+ UNION ALL SELECT '    … and ' || (n - 25) || ' more' FROM n WHERE n > 25
+ UNION ALL SELECT format('  stored {{}}, counted {{}} ({{:.2f}} mi), excluded {{}}, nodes {{}}', count(*), count(*) FILTER (counted AND NOT x), coalesce(sum(now_m) FILTER (counted AND NOT x), 0) / 1609.344, count(*) FILTER (x), coalesce(sum(greatest(1, CAST(ceil(now_m / 20) AS BIGINT)) + 1) FILTER (counted), 0))
+  FROM (SELECT *, excluded AND id % 10 <> 3 AS x FROM s WHERE layer = 'road' AND change IS DISTINCT FROM 'removed')""")
 def h5_refresh(spark, d):
     """Roads are imported again: some are new, some are gone, some are longer; cart paths are as they were."""
-    from pathloom.plans import network, refresh
+    from pathloom.plans import refresh
+
+    old, now, sig, was = _layers(spark, d)
+    state = _state(old)
+    return refresh.refresh(sig, was, lambda layer: now, state).report.where(F.col("place") < refresh.IMPACT).select("line")
+
 
+def _layers(spark, d):
+    """Stored segments, the road layer as it is now, and both layers' signatures now and as stored."""
     seg = ad.seg(spark, d)
     old = seg.where("id % 10 != 3").select("id", "layer", "seg_type", "name", "counted", "excluded", "uncounted_reason", "length_m", "geom", "source_oid", F.col("id").cast("string").alias("source_key"), F.lit(None).cast("string").alias("city_change"), F.lit(None).cast("timestamp").alias("changed_at"))
     old = old.withColumn("geom_hash", g.shape_hash(F.col("geom"))).withColumn("exclusion_reason", F.lit(None).cast("string"))
-    nodes = network.make_nodes(old).withColumns({"hit_at": F.lit(None).cast("timestamp"), "hit_run": F.lit(None).cast("long")})
     longer = F.transform("geom", lambda line: F.transform(line, lambda p, i: F.struct((p["x"] + F.when((i == 1) & (F.col("id") % 7 == 0), 1.0).otherwise(0.0)).alias("x"), p["y"].alias("y"))))
     now = seg.where("id % 10 != 0 and layer = 'road'").select(F.col("id").cast("string").alias("key"), F.col("id").alias("oid"), "name", "seg_type", "counted", "uncounted_reason", longer.alias("geom"))
     sig = spark.createDataFrame([("cartpath", 1, 1), ("road", now.count(), 1)], "layer string, feature_count long, max_oid long").withColumn("max_edited_at", F.lit("2024-01-01").cast("timestamp"))
-    was = sig.withColumn("feature_count", F.when(F.col("layer") == "road", 0).otherwise(F.col("feature_count")))
-    state = refresh.State(old, nodes, *graph.build_graph(old))
-    return refresh.refresh(sig, was, lambda layer: now, state).report.where("place < 1000000").select("line")
+    return old, now, sig, sig.withColumn("feature_count", F.when(F.col("layer") == "road", 0).otherwise(F.col("feature_count")))
+
+
+def _state(old, settings=None, runs=None):
+    from pathloom.operators import matching
+    from pathloom.plans import network, refresh
+
+    settings = settings or network.Settings()
+    nodes = network.make_nodes(old, settings)
+    nodes = nodes.withColumns({"hit_at": F.lit(None).cast("timestamp"), "hit_run": F.lit(None).cast("long")}) if runs is None else matching.match(nodes, old, runs, settings.reach)
+    return refresh.State(old, nodes, *graph.build_graph(old))
+
+
+@query(f"""WITH {ad.FIX}, {ad.SEG.replace('seg AS', 'given AS', 1)}, seg AS (SELECT * REPLACE (length_m + CASE WHEN layer = 'road' AND id % 7 = 1 THEN 1 ELSE 0 END AS length_m) FROM given WHERE CASE WHEN layer = 'road' THEN id % 10 <> 1 ELSE id % 10 <> 4 END),
+  {ad.NODE}, {ad.RADIUS.replace(" OR name = 'Road 3'", '')}, {ad.STEP}, {ad.RUNS}, {ad.HITS}
+  SELECT CAST(segment_id AS VARCHAR) AS source_key, CAST(seq AS BIGINT) AS seq, hit_at, hit_run, name = 'Road 5' OR (hit.layer = 'road' AND segment_id % 17 = 3) AS excluded FROM hit JOIN seg ON id = segment_id""")
+def h5_state(spark, d):
+    """The state after a refresh of the roads: some new, some gone, some longer, some excluded by key and by name. Nodes
+    of new and longer ones are matched through the index of stored runs; all hits are those of a full match."""
+    from pathloom.operators.runindex import RunIndex
+    from pathloom.plans import network, refresh
+
+    shared_folder(spark)
+    seg, runs = ad.seg(spark, d), ad.runs(spark, d).checkpoint()
+    settings = network.Settings(path_end=3.0, path=2.0, road=4.0, wide=ad.REACH, wide_types=("Park",))
+    old = seg.where("case when layer = 'road' then id % 10 != 3 else id % 10 != 4 end")
+    old = old.select("id", "layer", "seg_type", "name", "counted", "excluded", "uncounted_reason", "length_m", "geom", "source_oid", F.col("id").cast("string").alias("source_key"), F.lit(None).cast("string").alias("city_change"), F.lit(None).cast("timestamp").alias("changed_at"))
+    old = old.withColumn("geom_hash", g.shape_hash(F.col("geom"))).withColumn("exclusion_reason", F.lit(None).cast("string")).checkpoint()
+    longer = F.transform("geom", lambda line: F.transform(line, lambda p, i: F.struct((p["x"] + F.when((i == 1) & (F.col("id") % 7 == 1), 1.0).otherwise(0.0)).alias("x"), p["y"].alias("y"))))
+    now = seg.where("id % 10 != 1 and layer = 'road'").select(F.col("id").cast("string").alias("key"), F.col("id").alias("oid"), "name", "seg_type", "counted", "uncounted_reason", longer.alias("geom"))
+    index = RunIndex(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}", settings.reach, 64.0, dict(runs.dtypes)["run"])
+    index.append(runs.where("run % 2 = 0"), "even")
+    index.append(runs.where("run % 2 = 1"), "odd")
+    sig = spark.createDataFrame([("road", now.count(), 1)], "layer string, feature_count long, max_oid long").withColumn("max_edited_at", F.lit("2024-01-01").cast("timestamp"))
+    state = _state(old, settings, runs)
+    roads = seg.where("layer = 'road'")
+    out = refresh.Exclusions(
+        roads.where("id % 17 = 3").select("layer", F.col("id").cast("string").alias("key"), "name", F.lit("gated").alias("reason")),
+        spark.createDataFrame([(k, " road 5 ", "private") for k in ("road", "cartpath")], "layer string, name string, reason string"),
+    )
+    made = refresh.refresh(sig, sig.limit(0), lambda layer: now, state, settings, runs=index, exclusions=out).state
+    return made.nodes.join(made.segments.select(F.col("id").alias("segment_id"), "source_key", "excluded"), "segment_id").select("source_key", "seq", "hit_at", "hit_run", "excluded")
 
 
 @query(f"""WITH l AS (SELECT event_id AS id, CAST(ts AS DATE) + CAST(event_id % 50 AS INTEGER) AS day, event_type, value, event_id % 7 = 0 AS stub FROM events),

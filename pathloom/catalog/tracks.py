@@ -58,7 +58,7 @@ def m7_tunnels(spark, d):
 
 @query(f"{A.ALL_HITS} SELECT segment_id, CAST(seq AS BIGINT) AS seq, hit_at, hit_run FROM hit")
 def m9_match_all(spark, d):
-    return ad.hits(spark, d).select("segment_id", "seq", "hit_at", "hit_run")
+    return ad.match_all(spark, d).select("segment_id", "seq", "hit_at", "hit_run")
 
 
 @query(f"{A.ALL_HITS} SELECT count(*) AS newly_hit FROM hit WHERE hit_at IS NOT NULL")
@@ -165,7 +165,8 @@ def w5_islands(spark, d):
  SELECT segment_id, CAST(seq AS BIGINT) AS seq, count(*) AS fixes, round(min(sqrt((fx - x) * (fx - x) + (fy - y) * (fy - y))), 6) AS dist FROM p JOIN q ON sqrt((fx - x) * (fx - x) + (fy - y) * (fy - y)) <= 3 GROUP BY segment_id, seq""")
 def j5_within(spark, d):
     fixes = ad.fix(spark, d).select("event_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    met = spatial.within(ad.node(spark, d).select("segment_id", "seq", "x", "y"), fixes, 3.0)
+    nodes = ad.node(spark, d).select("segment_id", "seq", "x", "y")
+    met = spatial.within(nodes, fixes, 3.0, hot=spatial.hot_cells(nodes, fixes, 3.0))
     return met.groupBy("segment_id", "seq").agg(F.count_distinct("event_id").alias("fixes"), F.round(F.min("dist"), 6).alias("dist"))
 
 
@@ -224,12 +225,12 @@ def g7_substring(spark, d):
 
 
 @query(f"""WITH {A.SEG}, {A.FIX}, p AS (SELECT event_id, x, y FROM fix), line AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg)
- SELECT event_id, id, round(t, 6) AS fraction, round(dist, 6) AS dist FROM {A.near_sql('p', 'line')} WHERE dist <= 3""")
+ SELECT event_id, id, t AS fraction, dist FROM {A.near_sql('p', 'line')} WHERE dist <= 3""")
 def g8_locate(spark, d):
     parts = g.feature_pieces(ad.seg(spark, d))
     pts = ad.fix(spark, d).select("event_id", "x", "y")
     got = spatial.within(pts, parts, 3.0).dropDuplicates(["event_id", "id"])
-    return got.select("event_id", "id", F.round("t", 6).alias("fraction"), F.round("dist", 6).alias("dist"))
+    return got.select("event_id", "id", F.col("t").alias("fraction"), "dist")  # as they are: engines round ties apart
 
 
 @query(f"""WITH {A.SEG}, v AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg),

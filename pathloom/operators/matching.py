@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.components import shared_folder
-from pathloom.operators.spatial import within
+from pathloom.operators.spatial import hot_cells, within
 
 MILE = 1609.344
 
@@ -32,25 +32,25 @@ def assign_radii(nodes: DataFrame, segments: DataFrame, path_end: float, path: f
     return joined.withColumn("radius", radius.cast("double")).drop("layer", "seg_type", "name", "last_seq")
 
 
-def direct_hits(nodes: DataFrame, runs: DataFrame, reach: float, on: tuple[str, ...] = ()) -> DataFrame:
+def direct_hits(nodes: DataFrame, runs: DataFrame, reach: float, on: tuple[str, ...] = (), hot: DataFrame | None = None) -> DataFrame:
     """``(node key, hit_at, hit_run)``: each node's earliest run, by start and id, with a piece within the node's radius.
 
     ``nodes`` has ``segment_id, part, seq, x, y, radius``, ``runs`` pieces with ``start_at, run``; ``on`` (a network)
     must be equal on both sides. The reduction keeps one row a node on each side of its shuffle.
     """
-    met = within(nodes, _about_runs(runs, on), reach, on, F.col("radius"))
+    met = within(nodes.select("segment_id", "part", "seq", "x", "y", "radius", *on), _about_runs(runs, on), reach, on, F.col("radius"), hot)
     first = F.min(F.struct("start_at", "run"))
     return met.groupBy("segment_id", "part", "seq").agg(first.alias("h")).select("segment_id", "part", "seq", F.col("h.start_at").alias("hit_at"), F.col("h.run").alias("hit_run"))
 
 
-def tunnel_hits(nodes: DataFrame, tunnels: DataFrame, runs: DataFrame, reach: float, on: tuple[str, ...] = ()) -> DataFrame:
+def tunnel_hits(nodes: DataFrame, tunnels: DataFrame, runs: DataFrame, reach: float, on: tuple[str, ...] = (), hot: DataFrame | None = None) -> DataFrame:
     """``(segment_id, hit_at, hit_run)``: the earliest run within the radius of both a tunnel's first and last node."""
     own = nodes.join(tunnels.select(F.col("id").alias("segment_id")), "segment_id", "left_semi")
     place = F.struct("part", "seq")
     about = F.struct("x", "y", "radius", *on)
     ends = own.groupBy("segment_id").agg(F.min_by(about, place).alias("a"), F.max_by(about, place).alias("b"))
     ends = ends.select("segment_id", F.inline(F.array(F.struct(F.lit(1).alias("end"), F.col("a").alias("p")), F.struct(F.lit(2).alias("end"), F.col("b").alias("p"))))).select("segment_id", "end", "p.*")
-    both = within(ends, _about_runs(runs, on), reach, on, F.col("radius")).groupBy("segment_id", "run").agg(F.min("start_at").alias("start_at"), F.count_distinct("end").alias("n")).where("n = 2")
+    both = within(ends, _about_runs(runs, on), reach, on, F.col("radius"), hot).groupBy("segment_id", "run").agg(F.min("start_at").alias("start_at"), F.count_distinct("end").alias("n")).where("n = 2")
     return both.groupBy("segment_id").agg(F.min(F.struct("start_at", "run")).alias("h")).select("segment_id", F.col("h.start_at").alias("hit_at"), F.col("h.run").alias("hit_run"))
 
 
@@ -68,10 +68,15 @@ def merge_hits(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFram
 
 
 def match(nodes: DataFrame, segments: DataFrame, runs: DataFrame, reach: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """``nodes`` with ``hit_at`` and ``hit_run``: direct hits, then the tunnel rule, the earliest of all."""
+    """``nodes`` with ``hit_at`` and ``hit_run``: direct hits, then the tunnel rule, the earliest of all.
+
+    The load of cells is counted first; those that most runs pass through are cut and dealt over several tasks.
+    """
+    shared_folder(nodes.sparkSession)
     tunnels = segments.where("counted and seg_type = 'Tunnel'")
-    start = nodes.join(direct_hits(nodes, runs, reach, on), ["segment_id", "part", "seq"], "left")
-    return merge_hits(start, tunnel_hits(nodes, tunnels, runs, reach, on), ["segment_id"])
+    hot = hot_cells(nodes, runs, reach, on).checkpoint()
+    start = nodes.join(direct_hits(nodes, runs, reach, on, hot), ["segment_id", "part", "seq"], "left")
+    return merge_hits(start, tunnel_hits(nodes, tunnels, runs, reach, on, hot), ["segment_id"])
 
 
 def intervals(nodes: DataFrame) -> DataFrame:
@@ -118,16 +123,16 @@ def miles(metres: Column) -> Column:
 def near_misses(nodes: DataFrame, segments: DataFrame, runs: DataFrame, limits: tuple[float, ...] = (10, 15, 20, 25, 60), on: tuple[str, ...] = ()) -> DataFrame:
     """``(layer, bucket, n)``: missed nodes of counted segments by the distance of the nearest run, ``[lower, upper)``.
 
-    Every layer has every bucket, 0 if empty; the last, ``farther``, also holds those beyond the last limit. A ring for
-    each limit meets only the nodes that no smaller one found a run for, so most nodes never meet the wide cells.
+    Every layer has every bucket, 0 if empty; the last, ``farther``, also holds those beyond the last limit. Nodes meet
+    the cells of the first limit; only those that found no run there meet the wide cells of the last one.
     """
     shared_folder(nodes.sparkSession)
     wanted = segments.where("counted and not excluded").select(F.col("id").alias("segment_id"), "layer")
     keys = ["segment_id", "part", "seq"]
     missed = nodes.where("hit_at is null").join(wanted, "segment_id").select(*keys, *on, "layer", "x", "y").checkpoint()
     about, left, rows = runs.select("x1", "y1", "x2", "y2", *on).distinct().checkpoint(), missed, None
-    for limit in limits:
-        near = within(left, about, float(limit), on).groupBy(*keys, "layer").agg(F.min("dist").alias("d")).checkpoint()
+    for limit in dict.fromkeys((limits[0], limits[-1])):
+        near = within(left, about, float(limit), on, hot=hot_cells(left, about, float(limit), on).checkpoint()).groupBy(*keys, "layer").agg(F.min("dist").alias("d")).checkpoint()
         rows = near if rows is None else rows.unionByName(near)
         left = left.join(near, keys, "left_anti").checkpoint()
     rows = rows.unionByName(left.select(*keys, "layer", F.lit(None).cast("double").alias("d"))).withColumn("slot", bucket(F.col("d"), limits))

@@ -1,7 +1,8 @@
 """Distance joins by cells: an equi-join on square cells, then the exact predicate.
 
 Pieces are first chopped so that each covers few cells, whatever its length; a point has one cell. A pair may meet in
-several cells, so results are reduced by keys, never counted as they are.
+several cells, so results are reduced by keys, never counted as they are. Cells that hold too much are found by their
+counted load, cut into smaller ones, and their pieces dealt over several tasks; minima merge over all of them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import c, crossing, fraction_along, point_piece_distance
+from pathloom.operators.components import shared_folder
+
+
+#: Side of a base cell, in reaches; by itself it is cut into quarters once.
+BASE = 4
+#: Pieces of a leaf that one task may meet, and pairs of points and pieces of a base cell beyond which it is hot.
+LEAF_PIECES, CELL_PAIRS = 50_000, 4_000_000
+#: Hot cells up to which they are broadcast.
+MAX_HOT = 200_000
 
 
 def _cell(value, size: float) -> Column:
@@ -30,23 +40,78 @@ def piece_cells(pieces: DataFrame, reach: float, size: float) -> DataFrame:
     return cells.withColumn("cy", F.explode(F.sequence(_cell(low["y"], size), _cell(high["y"], size)))).drop("_n", "_i")
 
 
-def within(points: DataFrame, pieces: DataFrame, reach: float, on: tuple[str, ...] = (), radius: Column | None = None) -> DataFrame:
+def hot_cells(points: DataFrame, pieces: DataFrame, reach: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """``(*on, bx, by, depth, salts)`` of the base cells whose load one task should not have: the leaves of an adaptive tree.
+
+    A base cell of ``BASE`` reaches is cut into quarters ``depth`` times, more where it holds many points, as then
+    smaller cells spare more pairs than they cost rows. As all its pieces may lie in one leaf, those of each leaf are
+    dealt over as many ``salts`` as the cell has times ``LEAF_PIECES``, each with all the leaf's points. A cell is named only if it holds ``LEAF_PIECES`` pieces or
+    ``CELL_PAIRS`` pairs, so there are as many of them as the load allows, however large the map.
+    """
+    size = BASE * max(reach, 1e-9)
+    side = lambda df, n, m: df.select(*on, "bx", "by", F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"))
+    p = points.select(*on, _cell("x", size).alias("bx"), _cell("y", size).alias("by"))
+    q = piece_cells(pieces.select(*on, "x1", "y1", "x2", "y2"), reach, size).withColumnRenamed("cx", "bx").withColumnRenamed("cy", "by")
+    load = side(p, 1, 0).unionByName(side(q, 0, 1)).groupBy(*on, "bx", "by").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    hot = load.where((F.col("n") > 0) & ((F.col("m") > LEAF_PIECES) | (F.col("n").cast("double") * F.col("m") > CELL_PAIRS)))
+    depth = F.when(F.col("n") >= 96, 3).when(F.col("n") >= 12, 2).otherwise(1)
+    return hot.select(*on, "bx", "by", depth.alias("depth"), F.greatest(F.lit(1), F.ceil(F.col("m") / LEAF_PIECES)).cast("int").alias("salts"))
+
+
+def _leaves(df: DataFrame, hot: DataFrame | None, few: bool, on: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``depth`` and ``salts`` of its base cell: by broadcast where the hot cells are few, else by salted keys."""
+    if hot is None:
+        return df.withColumn("depth", F.lit(1)).withColumn("salts", F.lit(1))
+    keys = [*on, "bx", "by"]
+    if few:
+        joined = df.join(F.broadcast(hot), keys, "left")
+    else:
+        spread = hot.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        joined = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(32)).cast("int")).join(spread, [*keys, "_s"], "left").drop("_s")
+    return joined.withColumn("depth", F.coalesce("depth", F.lit(1))).withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+
+def within(points: DataFrame, pieces: DataFrame, reach: float, on: tuple[str, ...] = (), radius: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Points joined with the pieces within ``radius`` of them (inclusive; ``reach``, its upper bound, if not given).
 
     ``points`` has ``x, y``, ``pieces`` has ``x1, y1, x2, y2``; ``on`` are further columns that must be equal. Adds
-    ``dist`` and ``t``, the place on the piece. A pair may come more than once.
+    ``dist`` and ``t``, the place on the piece. A pair may come more than once. ``hot`` names the base cells that are
+    cut further or dealt over several tasks (:func:`hot_cells`); the rows found are the same with and without it.
     """
-    size = max(2 * reach, 1e-9)
-    p = points.withColumn("cx", _cell("x", size)).withColumn("cy", _cell("y", size))
-    met = p.join(piece_cells(pieces, reach, size), ["cx", "cy", *on])
+    base = BASE * max(reach, 1e-9)
+    few = hot is None or len(hot.limit(MAX_HOT + 1).select("bx").collect()) <= MAX_HOT  # numbers of cells
+    side = F.pow(F.lit(2.0), F.col("depth"))
+    sub = F.lit(base) / side
+    p = _leaves(points.withColumn("bx", _cell("x", base)).withColumn("by", _cell("y", base)), hot, few, on)
+    p = p.withColumn("cx", F.floor(F.col("x") / sub)).withColumn("cy", F.floor(F.col("y") / sub)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("bx", "by", "salts")
+    q = _leaves(_steps(pieces, reach, base), hot, few, on)
+    for v in "xy":
+        first, last = F.greatest(F.floor(F.col(f"_low_{v}") / sub), (F.col(f"b{v}") * side).cast("long")), F.least(F.floor(F.col(f"_high_{v}") / sub), ((F.col(f"b{v}") + 1) * side).cast("long") - 1)
+        q = q.withColumn(f"c{v}", F.explode(F.when(first <= last, F.sequence(first, last))))  # rounding may leave a step outside of a cell's leaves
+    q = q.withColumn("salt", F.when(F.col("salts") == 1, 0).otherwise(F.pmod(F.xxhash64(*pieces.columns), F.col("salts"))).cast("int")).drop("bx", "by", "salts", "_low_x", "_low_y", "_high_x", "_high_y")
+    met = p.join(q, ["cx", "cy", "depth", "salt", *on])
     ends = ("x", "y", "x1", "y1", "x2", "y2")
     met = met.withColumn("dist", point_piece_distance(*ends)).where(F.col("dist") <= (F.lit(reach) if radius is None else radius))
-    return met.withColumn("t", fraction_along(*ends)).drop("cx", "cy")
+    return met.withColumn("t", fraction_along(*ends)).drop("cx", "cy", "depth", "salt")
+
+
+def _steps(pieces: DataFrame, reach: float, base: float) -> DataFrame:
+    """The pieces in steps of half a base cell, a row for each base cell that a step's box, grown by ``reach``, meets: adds ``bx, by`` and the box."""
+    size = base / 2
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1"))) / size)).cast("int")
+    cut = pieces.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    for v in "xy":
+        at = lambda i, v=v: c(f"{v}1") + (c(f"{v}2") - c(f"{v}1")) * i / F.col("_n")
+        cut = cut.withColumn(f"_low_{v}", F.least(at(F.col("_i")), at(F.col("_i") + 1)) - reach).withColumn(f"_high_{v}", F.greatest(at(F.col("_i")), at(F.col("_i") + 1)) + reach)
+    for v in "xy":
+        cut = cut.withColumn(f"b{v}", F.explode(F.sequence(_cell(f"_low_{v}", base), _cell(f"_high_{v}", base))))
+    return cut.drop("_n", "_i")
 
 
 def nearest(points: DataFrame, pieces: DataFrame, reach: float, point_key: list[str], order: list[str], keep: list[str], on: tuple[str, ...] = ()) -> DataFrame:
     """For each point the nearest piece within ``reach``; ties by the columns ``order``. ``keep`` are its columns, with ``dist`` and ``t``."""
-    met = within(points, pieces, reach, on)
+    shared_folder(points.sparkSession)
+    met = within(points, pieces, reach, on, hot=hot_cells(points, pieces, reach, on).checkpoint())
     best = F.min_by(F.struct(*keep, "dist", "t"), F.struct("dist", *order))
     return met.groupBy(*point_key).agg(best.alias("_b")).select(*point_key, "_b.*")
 

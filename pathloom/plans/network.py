@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.geometry import even_points, feature_length, feature_pieces, shape_hash
 from pathloom.operators import clean, coverage, graph, health, matching, routing, tracks
 from pathloom.operators.numbering import number_rows
+from pathloom.operators.runindex import RunIndex
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,8 @@ def import_layer(features: DataFrame, stored: DataFrame | None, layer: str, sett
     """Features ``(key, oid, name, seg_type, counted, uncounted_reason, geom)`` as the layer's segments.
 
     Refuses an empty download, one of another number of features than ``expected``, and repeated keys. Features without geometry and slivers go, of equal shapes the lowest
-    object id stays, the second carriageway of a divided road is no longer counted. Ids of stored keys stay; a change
-    is marked unless this is the layer's first import.
+    object id stays, the second carriageway of a divided road is no longer counted. Ids and exclusions of stored keys
+    stay; a change is marked unless this is the layer's first import.
     """
     if features.isEmpty():
         raise RuntimeError(f"{layer}: no features; refusing to import")
@@ -75,17 +76,19 @@ def import_layer(features: DataFrame, stored: DataFrame | None, layer: str, sett
     if first:
         change = kept.select("key", F.lit("added").alias("change"))
         segments = number_rows(kept, ["key"]).withColumn("city_change", F.lit(None).cast("string")).withColumn("changed_at", F.lit(None).cast("timestamp"))
+        segments = segments.withColumns({"excluded": F.lit(False), "exclusion_reason": F.lit(None).cast("string")})
     else:
         old = stored.withColumnRenamed("source_key", "key")
         change = clean.changes(old, kept, "key", ["geom_hash", "counted"])
-        ids = old.select("key", F.col("id").alias("_id"), F.col("city_change").alias("_c"), F.col("changed_at").alias("_at"))
+        ids = old.select("key", F.col("id").alias("_id"), F.col("city_change").alias("_c"), F.col("changed_at").alias("_at"), F.col("excluded").alias("_x"), F.col("exclusion_reason").alias("_why"))
         top = old.agg(F.max("id").alias("_top"))
         known = kept.join(ids, "key", "left").join(change, "key")
         fresh = number_rows(known.where("_id is null"), ["key"]).crossJoin(F.broadcast(top)).withColumn("id", F.col("id") + F.col("_top")).drop("_top")  # one row
         marked = known.where("_id is not null").withColumn("id", F.col("_id")).unionByName(fresh)
         moved = F.col("change").isin("added", "changed")
-        segments = marked.withColumn("city_change", F.when(moved, F.col("change")).otherwise(F.col("_c"))).withColumn("changed_at", F.when(moved, F.current_timestamp() if at is None else at).otherwise(F.col("_at"))).drop("_id", "_c", "_at", "change")
-    segments = segments.withColumns({"layer": F.lit(layer), "excluded": F.lit(False), "exclusion_reason": F.lit(None).cast("string")}).withColumnRenamed("key", "source_key").withColumnRenamed("oid", "source_oid")
+        segments = marked.withColumn("city_change", F.when(moved, F.col("change")).otherwise(F.col("_c"))).withColumn("changed_at", F.when(moved, F.current_timestamp() if at is None else at).otherwise(F.col("_at")))
+        segments = segments.withColumns({"excluded": F.coalesce("_x", F.lit(False)), "exclusion_reason": F.col("_why")}).drop("_id", "_c", "_at", "_x", "_why", "change")
+    segments = segments.withColumn("layer", F.lit(layer)).withColumnRenamed("key", "source_key").withColumnRenamed("oid", "source_oid")
     return Imported(segments, slivers, copies, twins, change, empty)
 
 
@@ -113,6 +116,12 @@ def recompute(segments: DataFrame, points: DataFrame, activities: DataFrame, set
     return matching.match(make_nodes(segments, settings), segments, runs_of(points, activities, settings), settings.reach)
 
 
+def match_changed(nodes: DataFrame, segments: DataFrame, index: RunIndex, settings: Settings = Settings()) -> DataFrame:
+    """The nodes of a few segments with their hits of all stored runs, of which only those near the nodes are read."""
+    found = index.near(nodes).checkpoint()
+    return matching.match(nodes, segments, found, settings.reach)
+
+
 def completion(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = feature_pieces(segments).where("last").select(F.col("id").alias("segment_id"), "part", "part_m")
     return matching.metrics(nodes, segments, parts)

@@ -8,22 +8,34 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators import coverage, graph, health
+from pathloom.operators import clean, coverage, graph, health
+from pathloom.operators.runindex import RunIndex
 from pathloom.plans import network
 
 LABELS = {"cartpath": "cart paths", "road": "roads"}
 #: Lines of a list in a report; the rest is a count.
 CAP = 25
+#: The place of the first line on what changed in all.
+IMPACT = 1_000_000_000
 
 
 @dataclass
 class State:
-    """Segments, their nodes with hits, and the graph of them."""
+    """Segments, their nodes with hits, the graph of them, and ``(layer, dropped_key, canonical_key)`` of copies left out."""
 
     segments: DataFrame
     nodes: DataFrame
     edges: DataFrame
     vertices: DataFrame
+    copies: DataFrame | None = None
+
+
+@dataclass
+class Exclusions:
+    """What is not to be counted: ``by_key`` (layer, key, name, reason) and ``by_name`` (layer, name, reason)."""
+
+    by_key: DataFrame
+    by_name: DataFrame
 
 
 @dataclass
@@ -77,6 +89,36 @@ def change_lists(changed: DataFrame, cap: int = CAP) -> DataFrame:
     return title.unionByName(first).unionByName(more)
 
 
+def import_lines(got: network.Imported, layer: str, segments: DataFrame, nodes: DataFrame, settings: network.Settings, warnings: DataFrame | None, cap: int = CAP) -> DataFrame:
+    """``(place, line)``: what an import kept, left out and could not place, one count or list a line, then the warnings
+    of exclusions. ``segments`` and ``nodes`` are those of the new state; lists are cut at ``cap`` with how many more there are."""
+    own = segments.where(F.col("layer") == layer)
+    counted = F.col("counted") & ~F.col("excluded")
+    their_nodes = nodes.join(own.select(F.col("id").alias("segment_id")), "segment_id", "left_semi").agg(F.count("*").alias("nodes"))
+    sums = own.agg(F.count("*").alias("stored"), F.count_if(counted).alias("counted"), F.coalesce(F.sum(F.when(counted, F.col("length_m"))), F.lit(0.0)).alias("m"), F.count_if("excluded").alias("excluded")).crossJoin(their_nodes)  # a row each
+    text = lambda c: F.col(c).cast("string")
+    about = sums.select(F.lit(0).alias("place"), F.concat(F.lit("  stored "), text("stored"), F.lit(", counted "), text("counted"), F.format_string(" (%.2f mi)", F.col("m") / 1609.344), F.lit(", excluded "), text("excluded"), F.lit(", nodes "), text("nodes")).alias("line"))
+    oids = {
+        "without geometry": got.no_geometry.select(F.col("oid").cast("string").alias("what"), F.col("oid").alias("by")),
+        "slivers": got.slivers.select(F.concat(text("oid"), F.format_string(" (%.2f m)", "length_m")).alias("what"), F.col("oid").alias("by")),
+        "duplicates": got.duplicates.select(F.concat(text("oid"), F.lit(" of "), text("kept_oid")).alias("what"), F.col("oid").alias("by")),
+        "second carriageways": own.join(got.twins.select(F.col("key").alias("source_key")), "source_key", "left_semi").select(text("source_oid").alias("what"), F.col("source_oid").alias("by")),
+        "parts without nodes": clean.tiny_parts(own, settings.min_part).join(own.select("id", "source_oid"), "id").select(F.concat(text("source_oid"), F.lit(" part "), text("part"), F.format_string(" (%.2f m)", "part_m")).alias("what"), F.col("source_oid").alias("by")),
+        "segments without nodes": clean.nodeless(own, nodes).select(text("source_oid").alias("what"), F.col("source_oid").alias("by")),
+    }
+    lines = about
+    for k, (name, rows) in enumerate(oids.items()):
+        some = rows.orderBy("by", "what").limit(cap)
+        first = some.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("by", "what"))), lambda r: r["what"]), ", ").alias("list"))
+        said = rows.agg(F.count("*").alias("n")).crossJoin(first).where("n > 0")  # a row each
+        more = F.when(F.col("n") > cap, F.concat(F.lit(", … and "), (F.col("n") - cap).cast("string"), F.lit(" more"))).otherwise("")
+        lines = lines.unionByName(said.select(F.lit(k + 1).alias("place"), F.concat(F.lit(f"  {name} "), text("n"), F.lit(": "), F.col("list"), more).alias("line")))
+    if warnings is not None:
+        mine = warnings.where(F.col("layer") == layer).withColumn("rn", F.row_number().over(Window.partitionBy("layer").orderBy("key", "warning")))  # entries of a settings file
+        lines = lines.unionByName(mine.select((F.lit(len(oids)) + F.col("rn")).cast("int").alias("place"), F.concat(F.lit("  warning: "), F.col("warning"), F.lit(" exclusion "), F.col("key")).alias("line")))
+    return lines
+
+
 def headline(layers: list[str], counts: DataFrame, signatures: DataFrame) -> DataFrame:
     """``(line)``: how many segments each layer added, changed and lost, or when unchanged layers were last edited."""
     label = lambda of: F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), of)
@@ -100,33 +142,54 @@ def changed_segments(stored: DataFrame, imported: network.Imported, layer: str)
     return here.unionByName(gone).select(F.lit(layer).alias("layer"), "*")
 
 
-def refresh(now: DataFrame, stored: DataFrame, load: Callable[[str], DataFrame], state: State, settings: network.Settings = network.Settings(), forced: bool = False, at=None) -> Refreshed:
+def refresh(
+    now: DataFrame, stored: DataFrame, load: Callable[[str], DataFrame], state: State, settings: network.Settings = network.Settings(), forced: bool = False, at=None,
+    runs: RunIndex | None = None, exclusions: Exclusions | None = None,
+) -> Refreshed:
     """Import each layer whose signature ``now (layer, feature_count, max_oid, max_edited_at)`` differs from ``stored``.
 
     ``load(layer)`` gives its features. A download of another number of features than its signature has is refused, as
-    a lost page would mark real segments as removed. Nothing is published here: the new signatures are given back with
+    a lost page would mark real segments as removed. New and changed segments get new nodes, which are matched with
+    the stored ``runs`` that pass near them; without an index they have no hits. ``exclusions`` are applied anew to
+    all layers, so entries that are gone count again; without them segments keep what was excluded. Nothing is
+    published here: the new signatures are given back with
     the new state once all of it could be made, so after a failure the old ones still stand and the next run tries again.
     """
     stale = {r["layer"]: r["feature_count"] for r in health.stale_layers(now, stored, forced).collect() if r["layer"] in LABELS}  # a row a layer
     if not stale:
         return Refreshed(state, stored, headline([], now, now).select(F.lit(0).alias("place"), "line"), [])
-    segments, changed, moved = state.segments, None, None
+    spark = state.segments.sparkSession
+    copies = state.copies if state.copies is not None else spark.createDataFrame([], "layer string, dropped_key string, canonical_key string")
+    segments, changed, moved, imports = state.segments, None, None, {}
     for layer, expected in stale.items():
         old = state.segments.where(F.col("layer") == layer)
-        got = network.import_layer(load(layer), old, layer, settings, at, expected)
+        got = imports[layer] = network.import_layer(load(layer), old, layer, settings, at, expected)
         rows = changed_segments(old, got, layer)
         changed = rows if changed is None else changed.unionByName(rows)
         keys = got.segments.join(got.changes.where("change in ('added', 'changed')").withColumnRenamed("key", "source_key"), "source_key", "left_semi").select("id")
         moved = keys if moved is None else moved.unionByName(keys)
         segments = segments.where(F.col("layer") != layer).unionByName(got.segments.select(*[c for c in got.segments.columns if c in segments.columns]), allowMissingColumns=True)
-    segments, changed = segments.checkpoint(), changed.checkpoint()
-    fresh = network.make_nodes(segments, settings)
+        copies = copies.where(F.col("layer") != layer).unionByName(got.duplicates.select(F.lit(layer).alias("layer"), F.col("key").alias("dropped_key"), F.col("kept_key").alias("canonical_key")))
+    warnings = None
+    if exclusions is not None:
+        segments, warnings = clean.apply_exclusions(segments, exclusions.by_key, exclusions.by_name, copies)
+        warnings = warnings.checkpoint()
+    segments, changed, moved, copies = segments.checkpoint(), changed.checkpoint(), moved.checkpoint(), copies.checkpoint()
+    about = segments.join(moved, "id", "left_semi")
+    fresh = network.make_nodes(about, settings).checkpoint()
+    fresh = network.match_changed(fresh, about, runs, settings) if runs is not None else fresh.withColumns({"hit_at": F.lit(None).cast("timestamp"), "hit_run": F.lit(None).cast("long")})
     nodes = network.keep_nodes(state.nodes, fresh, moved).join(segments.where("counted").select(F.col("id").alias("segment_id")), "segment_id", "left_semi").checkpoint()
-    after = State(segments, nodes, *graph.build_graph(segments, settings.graph))
+    after = State(segments, nodes, *graph.build_graph(segments, settings.graph), copies)
     lists = change_lists(changed)
-    order = F.array_position(F.array(*[F.lit(f"{layer} {change}") for layer in LABELS for change in ("added", "changed", "removed")]), F.concat_ws(" ", "layer", "change"))
-    heads = changed.sparkSession.createDataFrame([(100 * (300 * i + 1) - 1, f"{label}:") for i, (layer, label) in enumerate(LABELS.items()) if layer in stale], "place long, line string")
-    placed = lists.select((100 * (100 * order) + F.col("place")).cast("long").alias("place"), "line")
-    last = impact(snapshot(state), snapshot(after)).select((F.col("place") + 1_000_000).cast("long").alias("place"), "line")
+    base = lambda i: 10_000_000 * (i + 1)  # noqa: E731  a layer's lines, by place
+    heads = spark.createDataFrame([(base(i), f"{label}:") for i, (layer, label) in enumerate(LABELS.items()) if layer in stale], "place long, line string")
+    order = F.array_position(F.array(*map(F.lit, ("added", "changed", "removed"))), F.col("change"))
+    layer_at = F.array_position(F.array(*map(F.lit, LABELS)), F.col("layer"))
+    placed = lists.select((10_000_000 * layer_at + 1000 * order + F.col("place")).cast("long").alias("place"), "line")
+    for i, layer in enumerate(LABELS):
+        if layer in stale:
+            own = import_lines(imports[layer], layer, segments, nodes, settings, warnings)
+            placed = placed.unionByName(own.select((F.lit(base(i) + 10_000) + F.col("place")).cast("long").alias("place"), "line"))
+    last = impact(snapshot(state), snapshot(after)).select((F.col("place") + IMPACT).cast("long").alias("place"), "line")
     first = headline(list(stale), changed, now).select(F.lit(0).cast("long").alias("place"), "line")
     return Refreshed(after, now, first.unionByName(heads).unionByName(placed).unionByName(last), list(stale))
