@@ -1,4 +1,9 @@
-"""License scans: sentences to known identifiers, then ordered rules over the identifiers."""
+"""License scans: sentences to known identifiers, then ordered rules over the identifiers.
+
+Whole licence sentences are looked up as runs of words, all at once in one automaton. Sentences that name a licence
+("this project is licensed under the MIT License", "License: MIT OR Apache-2.0") are recognised by family: how they begin, then
+the longest known name, looked up by its words; tags are read as expressions.
+"""
 
 from __future__ import annotations
 
@@ -131,10 +136,95 @@ RULES = [
 RULES += [(f"{x}-tag", x, [f"{x}-tag-notice"]) for x in TAGGED]
 # A rule does not hold where its last identifier is followed by this one before its first comes again.
 UNLESS = {"BSD-2-text": "bsd-endorse"}
+# Names by which sentences call a licence, in words; a name may be followed by "license", and those of "GNU" by "only" or "or later".
+NAMES = {
+    "MIT": "mit|expat|mit expat", "Apache-2.0": "apache 2|apache 2 0|apache license 2|apache license 2 0|apache license version 2|apache license version 2 0|apache software license 2 0|apache software license version 2 0|asl 2 0",
+    "BSD-2-Clause": "bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd", "BSD-3-Clause": "bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense",
+    "MPL-2.0": "mpl 2 0|mpl v2 0|mozilla public license 2 0|mozilla public license v 2 0|mozilla public license version 2 0", "BSL-1.0": "boost software license|boost software license 1 0|boost software license version 1 0",
+    "EPL-2.0": "eclipse public license 2 0|eclipse public license v 2 0|eclipse public license version 2 0|epl 2 0", "Artistic-2.0": "artistic license 2 0", "OFL-1.1": "sil open font license 1 1|sil open font license version 1 1",
+    "CC-BY-4.0": "cc by 4 0|creative commons attribution 4 0|creative commons attribution 4 0 international", "CC-BY-SA-4.0": "cc by sa 4 0|creative commons attribution sharealike 4 0|creative commons attribution sharealike 4 0 international|creative commons attribution share alike 4 0 international",
+    "CC-BY-NC-4.0": "cc by nc 4 0|creative commons attribution noncommercial 4 0|creative commons attribution noncommercial 4 0 international", "CC0-1.0": "cc0|cc0 1 0|cc0 1 0 universal|creative commons zero",
+}
+# GNU licences by their names' words and the versions that each has.
+GNU = {"GPL": ("gnu general public license|gnu gpl|gpl", ("2.0", "3.0")), "LGPL": ("gnu lesser general public license|gnu lgpl|lgpl", ("2.1", "3.0")), "AGPL": ("gnu affero general public license|gnu agpl|agpl", ("3.0",))}
+# Identifiers of expressions that are no longer in use, and what they mean now.
+OLD_TAGS = {"GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0-only", "AGPL-3.0+": "AGPL-3.0-or-later"}
+
+
+def _names() -> dict[str, str]:
+    """Licence by the words of its names, GNU ones with each way of writing their version."""
+    out = {n: lic for lic, names in NAMES.items() for n in names.split("|")}
+    for short, (names, versions) in GNU.items():
+        for v in versions:
+            whole = [v.replace(".", " ")] + ([v[0]] if v.endswith(".0") else [])
+            for n in names.split("|"):
+                out |= {f"{n} {how}{w}": f"{short}-{v}" for w in whole for how in ("", "v", "version ", "v ")}
+                out |= {f"{n}v{w}": f"{short}-{v}" for w in whole}
+    return out
+
+
+NAMED = _names()
+RULES += [(f"{x}-named", x, [f"{x}-named-notice"]) for x in dict.fromkeys([*NAMED.values(), *(f"{x}-{v}-{end}" for x, (_, vs) in GNU.items() for v in vs for end in ("only", "or-later"))])]
+#: How a sentence that grants a licence begins, in words; what stands before is its subject.
+_LEAD = re.compile(r" (?:licen[sc]ed|released|distributed|available|provided|offered|published|covered|governed|redistributed) (?:under|by) (?:(?:the )?(?:terms|conditions)(?: and conditions)? of )?(?:an? |the )?")
+SUBJECT_WORDS = 12
+#: How a subject ends before the verb; a copyright line needs none of these.
+_ENDS_SUBJECT = {"is", "are", "dual", "also", "hereby", "now"}
+#: Words that deny or weaken it, before and after.
+_DENIED = set("not no nor never neither none nothing without unless if whether cannot think thinks said says that which who whose many most some few".split())
+_WEAK = {"style", "like", "compatible", "inspired", "based", "compliant"}
+#: A line that only names the licence.
+_TAG = re.compile(r"(?im)^[^\w\n]*(?:spdx[ -]license[ -]identifier|licen[sc]e(?:[ -]expression)?)[\"']?[ \t]*[:=]+[ \t]*(\S[^\n]*)$")
+_TERM = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
+_KNOWN_TAGS = {x.lower(): x for x in TAGGED} | {k.lower(): v for k, v in OLD_TAGS.items()}
+
+
+def _name_at(words: list[str], k: int) -> tuple[str, int] | None:
+    """(licence, words of its name) of the longest known name at word k."""
+    for n in range(min(9, len(words) - k), 0, -1):
+        lic = NAMED.get(" ".join(words[k : k + n]))
+        if lic:
+            k += n
+            rest = words[k : k + 8]
+            if rest[:1] in (["license"], ["licence"]):
+                rest = rest[1:]
+            if rest[:1] and rest[0] in _WEAK:
+                return None
+            if lic.partition("-")[0] in GNU:
+                said = " ".join(rest)
+                if said.startswith(("or later", "or any later", "or at your option any later", "or newer")):
+                    lic += "-or-later"
+                elif said.startswith("only"):
+                    lic += "-only"
+            return lic, n
+    return None
+
+
+def read_expression(value: str) -> list[str]:
+    """Licences that an expression of identifiers names (``A OR (B AND C WITH exception)``), old identifiers by their
+    present ones; empty if it holds anything else."""
+    value = value.strip().strip("\"'`*/#;,-> \t")
+    found, skip = [], False
+    if _TERM.sub("", value).strip():
+        return []
+    for term in _TERM.findall(value):
+        if skip:
+            skip = False
+        elif term.upper() == "WITH":
+            skip = True
+        elif term in "()" or term.upper() in ("AND", "OR"):
+            continue
+        elif (known := _KNOWN_TAGS.get(term.lower())) is None:
+            return []
+        else:
+            found.append(known)
+    return found
+
+
 #: Identifiers of one-line notices, which must be sentences or lines of their own: a text that mentions one has no licence.
 ALONE = ("-notice", "-licensed")
 #: Every known sentence has one of these words; other texts are not searched.
-ANCHOR = r"(?i)licen[sc]e|software|warranty|redistribution|\bCC[^\p{L}\p{N}]+BY\b|\bCC0\b|public domain|\bMPL\b|use,? reproduction"
+ANCHOR = r"(?i)licen[sc]e|software|\b(?:released|distributed|available|provided|offered|published)\s+under\b|warranty|redistribution|\bCC[^\p{L}\p{N}]+BY\b|\bCC0\b|public domain|\bMPL\b|use,? reproduction"
 _WORD = re.compile(r"[^\W_]+")
 #: Marks between two words that end a sentence: a stop before white space, a colon at a line's end, a line without words.
 _STOP = re.compile(r"[.!?]\s|:\s*\n|\n[^\n]*\n")
@@ -155,8 +245,22 @@ def _dictionary(sentences: dict[str, str]) -> list[tuple[str, str, bool]]:
     return [x for x in known if x[1]]
 
 
-def find_sentences(text: str, known: list[tuple[str, str, bool]]) -> list[tuple[int, str]]:
-    """(number of the first word, identifier) of each known sentence in the text, in order.
+def automaton(known: list[tuple[str, str, bool]]):
+    """Finds all known sentences of a text in one pass."""
+    import ahocorasick
+
+    out, entries = ahocorasick.Automaton(), {}
+    for x in known:
+        entries.setdefault(f" {x[1]} ", []).append(x)
+    for words, own in entries.items():
+        out.add_word(words, own)
+    out.make_automaton()
+    return out
+
+
+def find_sentences(text: str, known, named: bool = True) -> list[tuple[int, str]]:
+    """(number of the first word, identifier) of each known sentence in the text, in order; ``known`` is an
+    :func:`automaton`, ``named`` adds sentences and tags that name a licence.
 
     Words are compared, so case, punctuation, line breaks and comment marks do not matter. A sentence that must stand
     alone begins a line or sentence, ends one, and has no other sentence's end inside.
@@ -176,14 +280,31 @@ def find_sentences(text: str, known: list[tuple[str, str, bool]]) -> list[tuple[
         return k == 0 or k == len(spans) or "\n" in gap(k) or bool(_STOP.search(gap(k)))
 
     found = set()
-    for name, words, alone in known:
-        at = joined.find(f" {words} ")
-        while at >= 0:
-            k = bisect.bisect_left(starts, at)
+    for end, entries in known.iter(joined):
+        for name, words, alone in entries:
+            k = bisect.bisect_left(starts, end - len(words) - 1)
             n = words.count(" ") + 1
             if not alone or (ends(k) and ends(k + n) and not any(_STOP.search(gap(i)) for i in range(k + 1, k + n))):
                 found.add((k, name))
-            at = joined.find(f" {words} ", at + 1)
+    if named:
+        words = joined.split()
+        for m in _LEAD.finditer(joined):
+            k = bisect.bisect_left(starts, m.start())  # the verb
+            first = next((i for i in range(k, max(-1, k - SUBJECT_WORDS - 1), -1) if ends(i)), None)
+            subject = words[first:k] if first is not None else ["none"]
+            granted = not subject or subject[-1] in _ENDS_SUBJECT or subject[0] == "copyright"
+            if granted and not _DENIED & set(subject) and (hit := _name_at(words, bisect.bisect_left(starts, m.end() - 1))):
+                found.add((first, f"{hit[0]}-named-notice"))
+        for m in _TAG.finditer(text):
+            k = bisect.bisect_left(spans, (m.start(), 0))
+            tags = read_expression(m[1])
+            if tags:
+                found |= {(k, f"{x}-tag-notice") for x in tags}
+                continue
+            value = [w for w in _WORD.findall(m[1]) if w not in ("osi", "approved", "the")]
+            hit = _name_at(value, 0)
+            if hit and " ".join(value[hit[1] :]) in ("", "license", "licence", "only", "or later", "license or later", "license only"):
+                found.add((k, f"{hit[0]}-named-notice"))
     return sorted(found)
 
 
@@ -193,13 +314,18 @@ def sentence_ids(df: DataFrame, id_col: str, text_col: str, sentences: dict[str,
     Wrapped sentences, sentences below a heading or a copyright line and those in comments are found as they are in
     plain text (see :func:`find_sentences`).
     """
-    known = _dictionary(sentences)
+    listed, named = _dictionary(sentences), sentences is SENTENCES
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(ANCHOR)) if sentences is SENTENCES else df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def work(values):
-        return {"_hits": [",".join(f"{k}:{name}" for k, name in find_sentences(t or "", known)) for t in values]}
+    def start():
+        known = automaton(listed) if listed else None
+
+        def work(values):
+            return {"_hits": [",".join(f"{k}:{name}" for k, name in find_sentences(t or "", known, named)) if known else "" for t in values]}
+
+        return work
 
-    hits = append_columns(texts, "text", [("_hits", T.StringType())], lambda: work).where("_hits <> ''")
+    hits = append_columns(texts, "text", [("_hits", T.StringType())], start).where("_hits <> ''")
     hits = hits.select("id", F.explode(F.split("_hits", ",")).alias("h"))
     hits = hits.select("id", F.struct(F.split_part("h", F.lit(":"), F.lit(1)).cast("int").alias("pos"), F.split_part("h", F.lit(":"), F.lit(2)).alias("sentence_id")).alias("hit"))
     return hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("hit")), lambda h: h["sentence_id"]).alias("ids"))

@@ -25,11 +25,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-CONTEXT = re.compile(r"auth|bearer|credential|passphrase|passw|pwd|private|secret|token|api.?key|access.?key|signature", re.I | re.A)
-#: A candidate is a whole run of such characters, with a letter and a digit: words and numbers have only one of the two.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
-#: It has somewhere a letter and a digit in ten characters or more without a separator, which names and paths made of words have not.
+CONTEXT = re.compile(r"auth|bearer|credential|passphrase|passw|pwd|private|secret|token|api.?key|access.?key|signature|\bsig=", re.I | re.A)
+#: A run of such characters is one candidate, less a name before it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: ``NAME=`` before a value, and path segments before it, which count as names where one of them is a sensitive word.
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*=+(?=[^=])")
+SEGMENTS = re.compile(r"/?(?:[A-Za-z_-]{3,}/)+")
+LEAST_LENGTH = 20
+#: It has a letter and a digit in ten characters or more without a separator, which names and paths made of words have not;
 DENSE = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{10,}")
+#: or letters of which so large a share is of another case than the one before, which names in mixed case have not.
+LETTERS, CHANGES = re.compile(r"[A-Za-z]{16,}"), 0.36
 #: Alphabets, from the smallest; a candidate's is the first that holds it.
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-")
 # Identifiers and words that code around keys is full of.
@@ -68,28 +74,47 @@ def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> floa
     return added(candidate) / max(1, added(_random(alphabet, len(candidate)))) if candidate else 0.0
 
 
+def value_start(text: str, a: int, b: int) -> int:
+    """Where the value of the run from ``a`` to ``b`` begins: behind ``NAME=`` and behind path segments with a sensitive word."""
+    while True:
+        m = NAME.match(text, a, b) or SEGMENTS.match(text, a, b)
+        if not m or not m[0].endswith("=") and not CONTEXT.search(m[0]):
+            return a
+        a = m.end()
+
+
+def looks_random(value: str) -> bool:
+    """Is it mixed enough for a key: letters and digits without separators, or letters of mixed case without order?"""
+    if DENSE.search(value):
+        return True
+    return any(sum(x.isupper() != y.isupper() for x, y in zip(m[0], m[0][1:])) >= CHANGES * (len(m[0]) - 1) for m in LETTERS.finditer(value))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], reach: int = 96, after: int = 32, around: int = 512, least: float = 0.85, identifiers: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
-    """Candidates whose novelty is ``least`` or more and that stand in a sensitive context.
+    """Values of 20 characters or more whose novelty is ``least`` or more and that stand in a sensitive context.
 
-    The context is something sensitive named in the ``reach`` characters before the candidate, on any line, or in the
+    A run of key characters is a value, less ``NAME=`` and sensitive path segments at its beginning. The context is
+    something sensitive named in the ``reach`` characters before the value, such a name included, on any line, or in the
     ``after`` ones behind it on the same line; lines of one key, with only white space between them, share the context
-    of the first. A candidate inside one of the ``taken`` spans, which are sorted by start, is left to that span; one
+    of the first. A value inside one of the ``taken`` spans, which are sorted by start, is left to that span; one
     that only overlaps some is reported whole. Its own repetitions do not count as its surroundings.
     """
     found = []
     covered, k, end, sensitive = 0, 0, -1, False
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
+        goes_on = end >= 0 and a - end <= 8 and text[end:a].isspace()
+        a = value_start(text, a, b)
         while k < len(taken) and taken[k][0] <= a:
             covered = max(covered, taken[k][1])
             k += 1
-        goes_on = end >= 0 and a - end <= 8 and text[end:a].isspace()
         sensitive = sensitive and goes_on or bool(CONTEXT.search(text, max(0, a - reach), a) or CONTEXT.search(text[b : b + after].partition("\n")[0]))
         end = b
-        if b <= covered or not sensitive or not DENSE.search(m[0]):
+        value = text[a:b]
+        if b <= covered or not sensitive or b - a < LEAST_LENGTH or not looks_random(value):
             continue
-        near = (text[max(0, a - around) : a] + "\n" + text[b : b + around]).replace(m[0], " ")
-        if novelty(m[0], near, identifiers) >= least:
+        near = (text[max(0, a - around) : a] + "\n" + text[b : b + around]).replace(value, " ")
+        if novelty(value, near, identifiers) >= least:
             found.append((a, b, KINDS[3]))
     return found
 

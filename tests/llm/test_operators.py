@@ -155,6 +155,74 @@ def test_secrets(spark, small):
     assert any(r["base"] for r in rows)
 
 
+def novel_by_hand(text, taken):
+    """Every run of key characters, less the names before it, judged one by one with plain string work."""
+    letters, out, last, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), [], None, 0
+    while i < len(text):
+        if text[i] not in letters:
+            i += 1
+            continue
+        b = i
+        while b < len(text) and text[b] in letters:
+            b += 1
+        a, run_at, i = i, i, b
+        if b - a < 20:
+            continue
+        while True:
+            head = text[a:b].split("=")[0]
+            rest = text[a + len(head) : b].lstrip("=")
+            if rest and len(head) < b - a and re.fullmatch("[A-Za-z_][A-Za-z0-9_-]*", head):
+                a = b - len(rest)
+                continue
+            lead = 1 if a < b and text[a] == "/" else 0
+            names = []
+            for part in text[a + lead : b].split("/")[:-1]:
+                if not re.fullmatch("[A-Za-z_-]{3,}", part):
+                    break
+                names.append(part)
+            if names and secrets.CONTEXT.search("/" * lead + "/".join(names) + "/"):
+                a += lead + sum(len(x) + 1 for x in names)
+                continue
+            break
+        before, after = text[max(0, a - 96) : a], text[b : b + 32].split("\n")[0]
+        near = bool(secrets.CONTEXT.search(before) or secrets.CONTEXT.search(after))
+        if last is not None and run_at - last[0] <= 8 and text[last[0] : run_at].isspace() and text[last[0] : run_at]:
+            near = near or last[1]
+        last = (b, near)
+        value = text[a:b]
+        inside = any(x <= a and b <= y for x, y, _ in taken)
+        mixed = any(re.search("[A-Za-z]", p) and re.search("[0-9]", p) for p in (m[0][j : j + 10] for m in re.finditer("[A-Za-z0-9]{10,}", value) for j in range(len(m[0]) - 9))) or any(re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0]) for m in re.finditer("[A-Za-z0-9]{10,}", value))
+        cases = any(sum(x.isupper() != y.isupper() for x, y in zip(m[0], m[0][1:])) >= 0.36 * (len(m[0]) - 1) for m in re.finditer("[A-Za-z]{16,}", value))
+        around = (text[max(0, a - 512) : a] + "\n" + text[b : b + 512]).replace(value, " ")
+        if near and not inside and len(value) >= 20 and (mixed or cases) and secrets.novelty(value, around) >= 0.85:
+            out.append((a, b, "novel"))
+    return out
+
+
+def test_novel_spans_by_hand():
+    rnd = random.Random(9)
+    key = lambda n: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    bits = ["PRIVATE_KEY=", "export AUTH_KEY=", "AWS_ACCESS_KEY=", "credentials=", "auth=", "x?sig=", "client_auth/", "secret ", "the ", "\n", "PATH=/usr/local/lib/python3/site-packages:", "a=b=", "token: ", "user_profile_settings_v2_backup_2024 ", "//secret/", "password = ", "=="]
+    for _ in range(600):
+        text = "".join(x() if callable(x) else x for x in rnd.choices([*bits, lambda: key(rnd.choice([8, 20, 24, 40])), lambda: key(30) + "\n"], k=rnd.randint(1, 8)))
+        base = secrets.base_spans(text)
+        assert secrets.novel_spans(text, base) == novel_by_hand(text, base), text
+
+
+@pytest.mark.parametrize("form", ["PRIVATE_KEY={}", "export AUTH_KEY={}", "AWS_ACCESS_KEY={}", "credentials={}", "auth={};", "http://x/?sig={}", "client_auth/{}", "private_key: {}", "Authorization: Bearer {}", "signature='{}'"])
+def test_keys_behind_names(form):
+    rnd = random.Random(4)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "AbCdEfGhIjKlMnOpQrStUvWxYz"):
+        key = "".join(rnd.choices(alphabet, k=40))
+        text = form.format(key)
+        assert [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text))] == [key]
+
+
+@pytest.mark.parametrize("text", ["export PATH=/usr/local/sbin:/usr/local/bin:/usr/bin", "secret getUserAuthenticationTokenProviderFactoryBean", "auth com/example/project/AuthenticationManagerBuilderImpl", "private_key_path=/home/user/projects/configuration/keys"])
+def test_names_are_no_keys(text):
+    assert not secrets.novel_spans(text, secrets.base_spans(text))
+
+
 def test_secret_novelty(spark):
     rng = random.Random(7)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
@@ -486,6 +554,25 @@ def test_licenses_of_verbatim_texts(spark):
     assert not [words for _, words, _ in known if not re.search(anchor, words)]
 
 
+LINES = [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", {"MIT"}), ("License: MIT", {"MIT"}), ("// SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache-2.0"}),
+    ('Licensed under the Apache License, Version 2.0 (the "License").', {"Apache-2.0"}), ("Distributed under the MIT License.", {"MIT"}), ("# SPDX-License-Identifier: GPL-2.0", {"GPL-2.0-only"}), ("Available under GPLv3 or later.", {"GPL-3.0-or-later"}),
+    ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}), ("The code is released under the GNU General Public License v3.0.", {"GPL-3.0"}), ("This is licensed under a Creative Commons Attribution 4.0 International License.", {"CC-BY-4.0"}),
+    ("SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND MIT", {"GPL-2.0-or-later", "MIT"}), ("License :: OSI Approved :: BSD 3-Clause License", {"BSD-3-Clause"}), ("Copyright 2020 Ann Person, licensed under the ISC license", {"ISC"}),
+    ("Frobnicator is free and is distributed under the terms of the GNU Lesser General Public License, version 2.1 or (at your option) any later version.", {"LGPL-2.1-or-later"}),
+    ("It is not licensed under the MIT License.", set()), ("None is released under the MIT License.", set()), ("Licensed under an MIT-style license.", set()), ("License: see file", set()), ("They said that it is licensed under the MIT License.", set()),
+    ("SPDX-License-Identifier: MIT AND Unheard-Of", set()), ("License: MIT or so they say", set()),
+]
+
+
+def test_licence_lines_of_other_words(spark):
+    rows = [(k, f"Some words before.\n\n{line}\n\nAnd some after.") for k, (line, _) in enumerate(LINES)]
+    found = {}
+    for r in licenses.licenses(docs_of(spark, rows)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert found == {k: want for k, (_, want) in enumerate(LINES) if want}
+
+
 def verdict_by_hand(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
