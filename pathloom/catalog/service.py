@@ -14,7 +14,7 @@ from pathloom.functions import geometry as g
 from pathloom.operators import clean, graph, health
 from pathloom.operators.components import shared_folder
 from pathloom.operators.numbering import number_rows
-from pathloom.sources import exports, features
+from pathloom.sources import features
 from pathloom.streaming import updates
 
 NOW = "2024-02-01 00:00:00"
@@ -47,11 +47,15 @@ def h1_orphans(spark, d):
     return health.finish_orphans(left, now()).select("id", "status", "error")
 
 
-@query(f"""SELECT n_name AS source, CASE n_nationkey % 4 WHEN 0 THEN '{health.ADVICE['schedule']}' WHEN 1 THEN '{health.ADVICE['again']}' WHEN 2 THEN '{health.ADVICE['layers']}' END AS advice FROM nation""")
+@query("""WITH j AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'interrupted' WHEN 1 THEN 'HTTP 401' WHEN 2 THEN 'HTTP 403' WHEN 3 THEN 'the key must be set' ELSE 'HTTP 503' END AS e,
+ CASE event_id % 3 WHEN 0 THEN 'stale' WHEN 1 THEN 'failing' ELSE 'ok' END AS state, CASE WHEN user_id % 2 = 0 THEN 'city' ELSE 'sync' END AS source FROM events)
+ SELECT event_id, CASE state WHEN 'stale' THEN 'not_run' WHEN 'failing' THEN CASE WHEN e = 'interrupted' THEN 'cut_off' WHEN source = 'city' THEN 'layers_down' WHEN e IN ('HTTP 401', 'HTTP 403') THEN 'key_refused' WHEN e LIKE '%must be set' THEN 'key_unset' ELSE 'tracker_down' END END AS reason FROM j""")
 def h3_advice(spark, d):
-    k = F.col("n_nationkey") % 4
-    t = table(spark, d, "nation").select("n_name", F.when(k == 0, "stale").when(k == 3, "ok").otherwise("failing").alias("state"), F.when(k == 1, "interrupted").when(k == 2, "HTTP 503").alias("error"))
-    return t.select(F.col("n_name").alias("source"), health.advice(F.col("n_name"), F.col("state"), F.col("error")).alias("advice"))
+    """A reason's code for each state and error of a job; texts for the codes are the caller's."""
+    k = F.col("event_id")
+    error = F.when(k % 5 == 0, "interrupted").when(k % 5 == 1, "HTTP 401").when(k % 5 == 2, "HTTP 403").when(k % 5 == 3, "the key must be set").otherwise("HTTP 503")
+    state = F.when(k % 3 == 0, "stale").when(k % 3 == 1, "failing").otherwise("ok")
+    return table(spark, d, "events").select("event_id", health.reason(F.when(F.col("user_id") % 2 == 0, "city").otherwise("sync"), state, error).alias("reason"))
 
 
 @query("""WITH c AS (SELECT o_orderpriority AS layer, o_orderdate AS changed_at, o_orderkey % 2 = 0 AS added, o_orderkey FROM orders), m AS (SELECT layer, max(changed_at) AS changed_at FROM c GROUP BY layer)
@@ -68,9 +72,15 @@ def h7_overdue(spark, d):
 
 @query(f"WITH {LOG} SELECT id FROM jobs WHERE event_type = 'click' AND source = 'city'")
 def h9_running(spark, d):
-    """A running job counts only while its source's lock is held."""
+    """A running job counts only while its source's lease holds; that of the other source is over."""
+    from pathloom.sources.commitlog import CommitLog
+
     jobs = ad.joblog(spark, d).where("summary like 'click%'").withColumn("status", F.lit("running"))
-    return health.running(jobs, spark.createDataFrame([("city",)], "source string")).select("id")
+    logs = {k: CommitLog(spark, f"{shared_folder(spark)}/jobs-{k}-{uuid.uuid4().hex}") for k in ("city", "sync")}
+    for k, log in logs.items():
+        log.acquire(k, "worker", 60_000 if k == "city" else 10, now=0)
+    held = [(k,) for k, log in logs.items() if log.holder(now=100)]
+    return health.running(jobs, spark.createDataFrame(held, "source string")).select("id")
 
 
 @query("SELECT event_id, ts, event_type AS status, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type IN ('view', 'error') OR event_id % 11 = 0")
@@ -88,18 +98,16 @@ def z11_problem(spark, d):
     return health.problem(t).select("source", "problem")
 
 
-@query(f"""SELECT source, notice, CASE notice WHEN 'alert' THEN source || ' failing' ELSE source || ' recovered' END AS subject,
- CASE notice WHEN 'alert' THEN source || ' failing: HTTP 503' ELSE source || ' is working again: 42 new' END AS description,
- CASE notice WHEN 'alert' THEN source || ' is failing.' || chr(10) || chr(10) || 'Since: Jan 2, 7:00 AM' || chr(10) || 'Last success: Jan 1, 7:00 AM (42 new)' || chr(10) || chr(10) || 'Last error (job ' || k || '):' || chr(10) || 'HTTP 503' || chr(10) || chr(10) || 'What to do: {health.ADVICE['layers']}' || chr(10) || chr(10) || 'One more notice comes when it recovers, and none in between.'
-  ELSE source || ' succeeded at Jan 1, 7:00 AM, after a problem that began Jan 2, 7:00 AM.' || chr(10) || chr(10) || '42 new' END AS body
- FROM (SELECT n_name AS source, n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'alert' ELSE 'recovered' END AS notice FROM nation)""")
+@query("""SELECT n_name AS source, CASE WHEN bad THEN 'alert' ELSE 'recovered' END AS notice, CASE WHEN bad THEN 'alert' ELSE 'normal' END AS severity, CASE WHEN bad THEN 'layers_down' END AS reason,
+ n_name || CASE WHEN bad THEN '/failing' ELSE '/ok' END AS subject, CASE WHEN bad THEN n_nationkey || '|HTTP 503|Jan 2, 7:00 AM' ELSE '42 new|Jan 1, 7:00 AM|-' END AS body FROM (SELECT *, n_nationkey % 2 = 0 AS bad FROM nation)""")
 def z11_notices(spark, d):
-    """Alerts of failing sources and notices of recovered ones."""
+    """Alerts of failing sources and notices of recovered ones, their facts and the caller's texts filled with them."""
     at = lambda day: F.lit(f"2024-01-0{day} 12:00:00").cast("timestamp")
     bad = F.col("n_nationkey") % 2 == 0
-    t = table(spark, d, "nation").select(F.col("n_name").alias("source"), F.when(bad, "alert").otherwise("recovered").alias("notice"), at(2).alias("since"), F.when(bad, "failing").otherwise("ok").alias("state"), F.col("n_nationkey").alias("latest_id"), F.when(bad, "HTTP 503").alias("error"), at(1).alias("last_ok_at"), F.lit("42 new\nmore").alias("last_ok_summary"))
-    made = health.notice_text(t.select("source", "notice", "since"), t.drop("notice", "since"))
-    return made.select("source", "notice", "subject", "description", "body")
+    t = table(spark, d, "nation").select(F.col("n_name").alias("source"), F.when(bad, "alert").otherwise("recovered").alias("notice"), at(2).alias("since"), F.when(bad, "failing").otherwise("ok").alias("state"), F.col("n_nationkey").alias("latest_id"), F.when(bad, "HTTP 503\nmore").alias("error"), at(1).alias("last_ok_at"), F.lit("42 new\nmore").alias("last_ok_summary"))
+    facts = health.notice_facts(t.select("source", "notice", "since"), t.drop("notice", "since"))
+    texts = {"alert": {"subject": "{source}/{state}", "description": "{problem}", "body": "{latest_id}|{error}|{since}"}, "recovered": {"subject": "{source}/{state}", "description": "", "body": "{last_ok_summary}|{last_ok_at}|{problem}"}}
+    return health.notice_text(facts, texts).join(facts.select("source", "reason"), "source").select("source", "notice", "severity", "reason", "subject", "body")
 
 
 @query("""SELECT source, CASE WHEN bad THEN true ELSE told END AS told, NOT bad AS closed FROM (SELECT n_name AS source, n_nationkey % 2 = 0 AS bad, n_nationkey % 3 > 0 AS is_open, n_nationkey % 3 = 2 AS told FROM nation) WHERE bad OR is_open""")
@@ -165,13 +173,27 @@ def o10_delete(spark, d):
 
 @query("SELECT n_nationkey AS key, n_nationkey % 3 AS value FROM nation")
 def o11_publish(spark, d):
-    """Two states published one after the other; readers see the later one, whole."""
-    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    """Two writers and one log: the second is told that the first is busy, takes over when the lease of the first is
+    over, and publishes; the first comes back late and is refused. Readers see the second's state, whole."""
+    from pathloom.sources.commitlog import Busy, CommitLog, LostLease
+
+    log = CommitLog(spark, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"))
-    exports.publish(n.where("key < 5").withColumn("value", F.lit(0)), folder, 1)
-    exports.publish(n.withColumn("value", F.col("key") % 3), folder, 2)
-    spark.createDataFrame([(0, 9)], "key int, value int").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/version=3")  # not whole
-    return exports.read_published(spark, folder).select("key", "value")
+    first = log.acquire("refresh", "first", 60_000, now=0)
+    log.publish(first, n.where("key < 5").withColumn("value", F.lit(0)), now=1)
+    try:
+        log.acquire("sync", "second", 60_000, now=2)
+        raise RuntimeError("two writers at a time")
+    except Busy:
+        pass
+    second = log.acquire("sync", "second", 60_000, now=60_001)
+    log.publish(second, n.withColumn("value", F.col("key") % 3), now=60_002)
+    try:
+        log.publish(first, n.withColumn("value", F.lit(9)), now=60_003)
+        raise RuntimeError("a late writer published")
+    except LostLease:
+        pass
+    return log.read().select("key", "value")
 
 
 @query("SELECT c_custkey AS key, greatest(1, CAST(ceil(abs(c_acctbal) / 100) AS BIGINT)) AS steps, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, ((c_custkey * 7 - 400) % 360 + 360) % 360 AS turn FROM customer")
