@@ -67,10 +67,9 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     words = WORD.findall(text)
     lines = text.split("\n") if "\n" in text else ()
     lines = [x for x in lines if WORD.search(x)]
-    windows = Counter(zip(words, words[1:], words[2:]))
     repeated = 0
-    if len(windows) < len(words) - 2:
-        end = 0
+    if len(set(zip(words, words[1:], words[2:]))) < len(words) - 2:
+        windows, end = Counter(zip(words, words[1:], words[2:])), 0
         for k, w in enumerate(zip(words, words[1:], words[2:])):
             if windows[w] > 1:
                 repeated += k + 3 - max(k, end)

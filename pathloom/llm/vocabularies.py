@@ -8,6 +8,7 @@ run is encoded once and remembered; the cut characters are found from the vocabu
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import islice
@@ -18,7 +19,7 @@ import numpy as np
 RARE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 COMMON_SPACE = "\t\n\x0b\x0c\r "
 #: Code points of unseen runs that go to the libraries in one call.
-CALL_CHARS = 50_000
+CALL_CHARS = 4_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -31,10 +32,12 @@ def _byte_letters() -> dict[str, int]:
 class Vocabularies:
     """Both vocabularies; ``remembered`` runs at most are kept, in two generations of half as many."""
 
-    def __init__(self, byte_path: str, piece_path: str, remembered: int = 300_000):
+    def __init__(self, byte_path: str, piece_path: str, remembered: int = 600_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         letters = _byte_letters()
@@ -90,7 +93,7 @@ class Vocabularies:
 
     def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text that begins with white space, as it stands behind another character."""
-        a = self.a.encode(text, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         b = self.b.encode("a" + text, num_threads=1)[1:]
         return np.array(a, np.int64), np.array(b, np.int64)
 
@@ -99,7 +102,7 @@ class Vocabularies:
 
     def document(self, text: str) -> tuple[bytes, bytes] | None:
         """Ids of space + text, given with the space, by plain library calls; None where either's bytes differ from it."""
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
         return self._packed(text, np.array(a, np.int64), np.array(b, np.int64))
 
     def _packed(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes] | None:
