@@ -9,8 +9,8 @@ from pathloom import adapters as ad
 from pathloom.catalog.registry import query, table
 from pathloom.functions import geometry as g
 from pathloom.functions.projection import from_utm, to_utm
-from pathloom.operators import cues, graph, routing
-from pathloom.operators.components import connected_components
+from pathloom.operators import cues, graph, overlay, routing
+from pathloom.operators.components import connected_components, shared_folder
 
 NET = """net AS (SELECT n_nationkey AS source, (7 * n_nationkey + 3) % 25 AS target, CAST(1 + n_nationkey % 5 AS DOUBLE) AS cost FROM nation
  UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25, CAST(4 + n_nationkey % 3 AS DOUBLE) FROM nation),
@@ -32,6 +32,45 @@ def r2_shortest_paths(spark, d):
     return routing.shortest_paths(routing.both_ways(ad.net(spark, d)), start).select("vertex", "dist")
 
 
+@query("""WITH v AS (SELECT s_suppkey * 8 + i AS vertex, s_suppkey AS k, i FROM supplier, unnest(range(8)) AS t(i)),
+ o AS (SELECT vertex AS origin, k AS ok, i AS oi FROM v WHERE k % 50 = 0 AND i = k // 50 % 8)
+ SELECT origin, vertex, CAST(100 * abs(k - ok) + 30 * abs(i - oi) AS DOUBLE) AS dist FROM o, v""")
+def r2_overlay(spark, d):
+    """Eight streets along all suppliers, 100 m from one to the next, with cross streets of 30 m: searched over blocks, from a vertex of every fiftieth supplier."""
+    vertices = _streets(spark, d)
+    found, _ = overlay.search(_town(vertices), _origins(vertices))
+    return found.select("origin", "vertex", "dist")
+
+
+@query("""WITH v AS (SELECT s_suppkey * 8 + i AS vertex, s_suppkey AS k, i FROM supplier, unnest(range(8)) AS t(i)),
+ o AS (SELECT vertex AS origin, k AS ok, i AS oi FROM v WHERE k % 50 = 0 AND i = k // 50 % 8)
+ SELECT o.origin, p.origin AS vertex, CAST(100 * abs(p.ok - o.ok) + 30 * abs(p.oi - o.oi) AS DOUBLE) AS dist FROM o, o p""")
+def r4_overlay(spark, d):
+    """The costs between those vertices, each search stopped at its farthest end."""
+    vertices = _streets(spark, d)
+    ends = _origins(vertices).checkpoint()
+    pairs = ends.select("origin").join(F.broadcast(ends.select("vertex")))  # the matrix asked for
+    return overlay.search(_town(vertices), ends, pairs, only_targets=True)[0].select("origin", "vertex", "dist")
+
+
+def _streets(spark, d):
+    shared_folder(spark)
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    return t.select("k", "i", (F.col("k") * 8 + F.col("i")).alias("vertex"), (F.col("k") * 100.0).alias("x"), (F.col("i") * 30.0).alias("y"))
+
+
+def _town(vertices):
+    next_k = vertices.select((F.col("k") - 1).alias("k"), "i", F.col("vertex").alias("target"))
+    along = vertices.join(next_k, ["k", "i"]).select((F.col("vertex") * 2).alias("edge"), F.col("vertex").alias("source"), "target", F.lit(100.0).alias("cost"))
+    across = vertices.where("i < 7").select((F.col("vertex") * 2 + 1).alias("edge"), F.col("vertex").alias("source"), (F.col("vertex") + 1).alias("target"), F.lit(30.0).alias("cost"))
+    return overlay.build(routing.both_ways(along.unionByName(across)), overlay.blocks_by_place(vertices, 10_000.0))
+
+
+def _origins(vertices):
+    """For the query's own search: a vertex of every fiftieth supplier."""
+    return vertices.where("k % 50 = 0 and i = floor(k / 50) % 8").select(F.col("vertex").alias("origin"), "vertex", F.lit(0.0).alias("dist"))
+
+
 @query(f"WITH RECURSIVE {NET}, origins AS (SELECT unnest([0, 3, 11, 24]) AS o), {RELAX} SELECT origin, vertex, dist FROM r WHERE step = 24 AND vertex IN (0, 3, 11, 24)")
 def r4_cost_matrix(spark, d):
     ends = spark.createDataFrame([(x, x, 0.0) for x in (0, 3, 11, 24)], "origin int, vertex int, dist double")
