@@ -260,12 +260,15 @@ def m13_sync_counts(spark, d):
     return met.groupBy("from_date", r.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ad.FIX}, {ad.STEP} SELECT track, CAST(g AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq FROM raw")
+@query(f"WITH {ad.FIX}, {ad.STEP} SELECT track, CAST(dense_rank() OVER (PARTITION BY track ORDER BY g) - 1 AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq FROM good")
 def x4_split_stream(spark, d):
-    """Fixes as a stream, split with the last fix as state."""
+    """Fixes as a stream of three batches, split with the open part as state; the rows are those of the whole tracks."""
     folder = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
-    ad.fix(spark, d).select("track", F.col("seq").cast("long").alias("seq"), "x", "y").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("track long, seq long, x double, y double").parquet(f"{folder}/in")
+    fixes = ad.fix(spark, d).select("track", F.col("seq").cast("long").alias("seq"), "x", "y").withColumn("third", F.ntile(3).over(Window.partitionBy("track").orderBy("seq")))
+    for k in (1, 2, 3):
+        fixes.where(F.col("third") == k).drop("third").repartition(2, "track").write.mode("append").parquet(f"{folder}/in")
+    files = sum(1 for _ in spark.read.parquet(f"{folder}/in").inputFiles())
+    stream = spark.readStream.schema("track long, seq long, x double, y double").option("maxFilesPerTrigger", max(1, files // 3)).parquet(f"{folder}/in")
     updates.split_stream(stream, ad.GAP).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("track", "part", "seq")
 
