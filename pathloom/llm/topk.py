@@ -18,6 +18,8 @@ K = 5
 DIMENSIONS = 16
 #: About as many queries and rows meet in one task.
 QUERIES_A_CELL, ROWS_A_CELL = 1024, 8192
+#: Parts whose leading rows are merged in one step.
+MERGED = 64
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -66,7 +68,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
 
     Queries are dealt into groups and rows into parts of bounded size, and each group meets each part in a cell of its
     own: what travels is a row for each group and a query for each part, never a pair. A cell returns k rows a query,
-    which are then merged. Rows without a usable vector or an id take no part. Rows of ``df`` that repeat an id all
+    which are then merged in steps of bounded size. Rows are dealt by a hash of id and vector, so those equal in both meet in one cell. Rows without a usable vector or an id take no part. Rows of ``df`` that repeat an id all
     take part and may each be listed. Queries that share an id are ranked by themselves, each from 1; those that share
     the vector too are one. Vectors must have one length; another raises ValueError. No rows give no rows; other
     columns do not matter.
@@ -74,12 +76,12 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
     rows = quantised(df, id_col, vector_col, scale)
     asked = quantised(queries, id_col, vector_col, scale).distinct().withColumn("own", F.xxhash64("v"))
     parts, groups = (max(1, math.ceil(x.count() / size)) for x, size in ((rows, ROWS_A_CELL), (asked, QUERIES_A_CELL)))
-    draw = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")  # noqa: E731  even, however ids repeat
+    draw = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")  # noqa: E731  the same when a lost task is made again
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     r = rows.withColumn("s", draw(parts)).withColumn("g", every(groups))
     q = asked.withColumn("g", draw(groups)).withColumn("s", every(parts))
 
-    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(rows):
             widths = {len(v) for v in asked["v"]} | {len(v) for v in rows["v"]}
@@ -88,9 +90,14 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
             found = best(*[(x["id"].to_numpy(), np.stack(x["v"].to_numpy()).T.astype(np.int64)) for x in (asked, rows)], k)
             own = asked["own"].to_numpy()
             found = [(int(own[i]), int(asked["id"].iloc[i]), vec, score) for i, vec, score in found]
-        return pd.DataFrame(found, columns=["own", "query_id", "vec_id", "score"], dtype="int64")
+        return pd.DataFrame(found, columns=["own", "query_id", "vec_id", "score"], dtype="int64").assign(s=int(key[1]))
 
-    met = q.groupBy("g", "s").cogroup(r.groupBy("g", "s")).applyInPandas(meet, "own long, query_id long, vec_id long, score long")
-    leading = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))  # k for each cell of the query's row of cells
-    top = met.groupBy("query_id", "own").agg(leading.alias("all")).select("query_id", F.posexplode(F.slice("all", 1, k)).alias("rank", "t"))
+    met = q.groupBy("g", "s").cogroup(r.groupBy("g", "s")).applyInPandas(meet, "own long, query_id long, vec_id long, score long, s long")
+    lists = met.select("query_id", "own", "s", F.array(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("t"))
+    while True:  # each step merges the leading rows of MERGED parts of a query, so no row grows with the table
+        parts = math.ceil(parts / MERGED)
+        lists = lists.groupBy("query_id", "own", F.floor(F.col("s") / MERGED).alias("s")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, k).alias("t"))
+        if parts == 1:
+            break
+    top = lists.select("query_id", F.posexplode("t").alias("rank", "t"))
     return top.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
