@@ -23,6 +23,8 @@ ENCODE_BYTES = 2_000_000
 
 END_ID = 2
 SAMPLE = 64
+#: Numbers whose low bits are packed at a time, a multiple of 8.
+PACKED = 8192
 #: Ids of a block; a block ends with the document that reaches it.
 BLOCK_IDS = 1 << 20
 BLOCK = (
@@ -33,6 +35,11 @@ BLOCK = (
 SPAN = 1 << 60
 
 
+def _low_bits(values: np.ndarray, bits: int) -> bytes:
+    """The low bits of each number side by side; ``PACKED`` numbers at a time end at a whole byte."""
+    return np.packbits(((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
 class EliasFano:
     """A rising sequence of n numbers up to ``top``: about 2 + log2(top / n) bits for each."""
 
@@ -45,11 +52,11 @@ class EliasFano:
         n, top = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
         values = values.astype(np.int64)
-        low = ((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel()
+        low = b"".join(_low_bits(values[a : a + PACKED], bits) for a in range(0, n, PACKED))
         at = (values >> bits) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         high[at] = 1
-        return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes())
+        return cls(n, bits, low, np.packbits(high, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes())
 
     def _low(self, i: int) -> int:
         first = i * self.low_bits
