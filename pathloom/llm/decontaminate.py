@@ -16,6 +16,8 @@ WINDOW = 5
 COVERAGE = 0.8
 #: Benchmark windows, and ids of documents, up to which they are broadcast; beyond, the joins shuffle.
 BROADCAST_ROWS = 200_000
+#: About as many shifts of a document stand in one row beside its text.
+SHIFTS = 256
 NUMBER, NAME, UNIT = "", "", ""
 # Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|miles|mile|feet|ft|inches|inch|kg|g|mg|lb|lbs|pounds|tons|litres|liters|ml|hours|hour|minutes|minute|seconds|second|days|day|weeks|months|years|percent|dollars|euros|cents|mph|kmh|degrees"
@@ -118,9 +120,12 @@ def judged(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     chosen = _small(at_shift.select(F.col("id").alias("i"), F.col("h").alias("hh")).distinct(), BROADCAST_ROWS)
     texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left_semi").dropDuplicates(["id", "h"])
     texts = texts.select(F.col("id").alias("i"), F.col("h").alias("hh"), raw_tokens(F.col("text")).alias("doc_raw"), template(F.col("text")).alias("doc_tokens"))
-    # A document meets all its shifts at once and gives each the item's length of tokens, so its text is there once.
+    # A document meets many shifts at once and gives each the item's length of tokens, so its text is there once for SHIFTS of them.
     lengths = at_shift.join(_small(shape.select("key", "length"), BROADCAST_ROWS), "key")
-    shifts = lengths.groupBy("id", "h").agg(F.collect_list(F.struct("key", "shift", "ats", "length")).alias("shifts"))
+    many = at_shift.groupBy("id", "h").agg(F.ceil(F.count("*") / SHIFTS).alias("parts")).where("parts > 1").toDF("i", "hh", "parts")
+    lengths = lengths.join(_small(many, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left").drop("i", "hh")
+    lengths = lengths.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("key", "shift"), F.col("parts"))))
+    shifts = lengths.groupBy("id", "h", "part").agg(F.collect_list(F.struct("key", "shift", "ats", "length")).alias("shifts"))
     cut = lambda side, s: F.slice(side, F.greatest(s["shift"], F.lit(0)) + 1, s["length"])
     each = F.transform("shifts", lambda s: F.struct(s["key"].alias("key"), s["shift"].alias("shift"), s["ats"].alias("ats"), cut("doc_raw", s).alias("doc_raw"), cut("doc_tokens", s).alias("doc_tokens")))
     pairs = shifts.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).select("id", "h", F.inline(each)).join(_small(items, BROADCAST_ROWS), "key")

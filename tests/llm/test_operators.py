@@ -829,3 +829,41 @@ def test_sql(spark, small, name):
     from tests.test_oracles import compare, database
 
     compare(queries.queries()[name](spark, small), database(small), queries.oracle_sql()[name])
+
+
+def test_top_k_of_many_parts(spark, monkeypatch):
+    """Merged in several steps, rows beside no other than the query itself, no queries, and the same draw twice."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
+    monkeypatch.setattr(topk, "ROWS_A_CELL", 20)
+    monkeypatch.setattr(topk, "QUERIES_A_CELL", 5)
+    monkeypatch.setattr(topk, "MERGED", 3)
+    assert sorted(map(tuple, topk.top_k(df.repartition(7), df.where("vec_id % 50 = 0").repartition(3)).collect())) == whole and len(whole) == 60
+    assert topk.top_k(df, df.limit(0)).count() == 0
+    assert topk.top_k(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+
+
+def test_block_of_very_many_empty_texts():
+    """The low bits of widely spread ids are packed a few thousand at a time."""
+    import tracemalloc
+
+    values = np.cumsum(np.random.default_rng(1).integers(0, 1 << 38, 1 << 18))
+    tracemalloc.start()
+    made = tokenids.EliasFano.of(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for i in (0, 1, 7, 8191, 8192, 8193, 100_000, len(values) - 1):
+        assert made.select(i) == values[i]
+
+
+def test_contamination_by_a_text_of_repeats(spark, monkeypatch):
+    item = "the quick zebra eats seven green apples near the river"
+    docs = spark.createDataFrame([(1, f"{item}. " * 400), (2, f"so {item}"), (3, "nothing of the kind is here at all")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"{item} {w}") for k, w in enumerate(("today", "again", "now"))], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SHIFTS", 16)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole
+    assert {r[0] for r in whole} == {1, 2}
