@@ -154,6 +154,20 @@ def r3_legs(spark, d):
 @query(f"WITH {GRID_SQL} SELECT 2 * b + 1 AS route, CAST(100 * (1 + b % 6) AS DOUBLE) AS new_m FROM blk UNION ALL SELECT 2 * b + 2, 0.0 FROM blk")
 def r7_new_ground(spark, d):
     """Out and back over some of an unrun street counts once; a street that is run counts nothing."""
+    got = routing.new_ground(*_out_and_back(spark, d))
+    return got.select("route", (F.round(F.col("new_m") / 10) * 10).alias("new_m"))
+
+
+@query(f"WITH {GRID_SQL} SELECT 2 * b + 1 AS route, 1 AS stretch, CAST(100 * (1 + b % 6) AS DOUBLE) AS length_m, CAST(b * 2000 AS DOUBLE) AS x_from, CAST(b * 2000 + 100 * (1 + b % 6) AS DOUBLE) AS x_to FROM blk")
+def r7_lines(spark, d):
+    """The line of new ground: from the street's beginning to where the route turns."""
+    got = routing.new_ground_lines(*_out_and_back(spark, d))
+    far = F.array_max(F.transform("line", lambda p: p["x"]))
+    return got.select("route", "stretch", (F.round(F.col("length_m") / 10) * 10).alias("length_m"), F.get("line", F.lit(0))["x"].alias("x_from"), far.alias("x_to"))
+
+
+def _out_and_back(spark, d):
+    """Routes, edges, lengths of parts and what is to run, for each grid."""
     edges, _ = built(spark, d)
     streets = grid(spark, d)
     b = F.floor(F.col("s_suppkey") / 8)
@@ -162,8 +176,7 @@ def r7_new_ground(spark, d):
     route = table(spark, d, "supplier").where("s_suppkey % 8 = 0").select(F.inline(F.array(at(1, 0, b * 2000.0, 0.0), at(1, 1, far, 0.0), at(1, 2, b * 2000.0, 0.0), at(2, 0, b * 2000.0, 100.0), at(2, 1, far, 100.0))))
     parts = g.feature_pieces(streets).where("last").select("id", "part", "part_m")
     left = streets.where(f"id < {UP} and id % 8 = 0").select(F.col("id").alias("segment_id"), F.lit(0).alias("part"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
-    got = routing.new_ground(route, edges, parts, left)
-    return got.select("route", (F.round(F.col("new_m") / 10) * 10).alias("new_m"))
+    return route, edges, parts, left
 
 
 @query(f"""WITH {GRID_SQL}, places(x) AS (VALUES (0), (2), (700)),

@@ -224,6 +224,15 @@ def g7_substring(spark, d):
     return line.select("id", F.round(F.get("line", F.lit(0))["x"], 4).alias("x_from"), F.round(F.element_at("line", -1)["x"], 4).alias("x_to"), F.round("length_m", 4).alias("length_m"))
 
 
+@query(f"""WITH {A.SEG}, p AS (SELECT id AS place, x0 + length_m / 4 AS x, y + 7.25 AS y FROM seg), line AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg)
+ SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY dist, id) AS INTEGER) AS rank, id, dist FROM {A.near_sql('p', 'line')} QUALIFY row_number() OVER (PARTITION BY place ORDER BY dist, id) <= 3""")
+def g19_nearest_k(spark, d):
+    """The three segments nearest to a place beside each one, however far they are."""
+    s = ad.seg(spark, d)
+    places = s.select(F.col("id").alias("place"), (F.col("x0") + F.col("length_m") / 4).alias("x"), (F.col("y") + 7.25).alias("y"))
+    return spatial.nearest_k(places, g.feature_pieces(s).select("id", "x1", "y1", "x2", "y2"), ["place"], ["id"], ["id"], 3).select("place", "rank", "id", "dist")
+
+
 @query(f"""WITH {A.SEG}, {A.FIX}, p AS (SELECT event_id, x, y FROM fix), line AS (SELECT id, x0 AS x1, y AS y1, x0 + length_m AS x2, y AS y2 FROM seg)
  SELECT event_id, id, t AS fraction, dist FROM {A.near_sql('p', 'line')} WHERE dist <= 3""")
 def g8_locate(spark, d):

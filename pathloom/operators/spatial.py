@@ -7,7 +7,7 @@ counted load, cut into smaller ones, and their pieces dealt over several tasks;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import c, crossing, fraction_along, point_piece_distance
@@ -116,6 +116,45 @@ def nearest(points: DataFrame, pieces: DataFrame, reach: float, point_key: list[
     return met.groupBy(*point_key).agg(best.alias("_b")).select(*point_key, "_b.*")
 
 
+def nearest_k(points: DataFrame, pieces: DataFrame, point_key: list[str], order: list[str], keep: list[str], k: int, start: float | None = None) -> DataFrame:
+    """``(*point_key, rank, *keep, dist, t)``: for each point its ``k`` nearest things, however far, or all if there are fewer.
+
+    A thing is what the columns ``order`` name; it may have many pieces, of which the nearest counts, and equal distances go
+    by them. Rings grow fourfold: a point with ``k`` things within a ring is done, as all others are farther, and only
+    the points with fewer meet the next ring, whose cells grow with it. The last ring reaches over all points and pieces.
+    ``start`` is the first ring's reach; by itself that in which about ``k`` pieces would lie if they were spread evenly.
+    """
+    shared_folder(points.sparkSession)
+    points, pieces = points.checkpoint(), pieces.checkpoint()
+    a = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    b = pieces.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.count("*")).first()
+    if a[0] is None or b[0] is None:
+        return _ranked(within(points, pieces, 1.0), point_key, order, keep, k)
+    width, height = max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])
+    whole = (width * width + height * height) ** 0.5 * (1 + 1e-9) + 1e-9
+    reach = min(whole, start or max((width * height * k / b[4]) ** 0.5, whole / 4**12))
+    left, done = points, None
+    while True:
+        top = _ranked(within(left, pieces, reach, hot=hot_cells(left, pieces, reach).checkpoint()), point_key, order, keep, k).checkpoint()
+        full = top.where(F.col("rank") == k).select(*point_key)
+        if reach >= whole:
+            return top if done is None else done.unionByName(top)
+        found = top.join(full, point_key, "left_semi")
+        done = found if done is None else done.unionByName(found)
+        left = left.join(full, point_key, "left_anti").checkpoint()
+        if left.isEmpty():
+            return done
+        reach = min(whole, 4 * reach)
+
+
+def _ranked(met: DataFrame, point_key: list[str], order: list[str], keep: list[str], k: int) -> DataFrame:
+    """The first ``k`` things of each point by distance; only so many of each task's rows are shuffled."""
+    more = [x for x in keep if x not in order]
+    best = met.groupBy(*point_key, *order).agg(F.min(F.struct("dist", "t", *more)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(*point_key).orderBy("_b.dist", *order))
+    return best.withColumn("rank", place).where(F.col("rank") <= k).select(*point_key, "rank", *[F.col(f"_b.{x}") if x in more else F.col(x) for x in keep], "_b.dist", "_b.t")
+
+
 def crossings(pieces: DataFrame, key: str = "id", size: float = 50.0, on: tuple[str, ...] = ()) -> DataFrame:
     """Points where pieces of two different keys cross: ``(*on, a_key, b_key, a_k, b_k, x, y, a_m, b_m)``, a < b.
 

@@ -7,6 +7,8 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.operators.numbering import number_rows
+
 
 def geojson_features(df: DataFrame, geom: str, properties: list[str], digits: int = 6) -> DataFrame:
     """``(feature)``: a GeoJSON object for each row, coordinates rounded."""
@@ -23,6 +25,18 @@ def feature_collection(features: DataFrame, keys: list[str], order: list[str]) -
     return features.groupBy(*keys).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("collection"))
 
 
+def write_collection(features: DataFrame, folder: str, order: list[str]) -> None:
+    """One collection of any size over the text files of ``folder``, features in ``order``: joined in order of their
+    paths they are one JSON document. Each task writes a range of the features; head and tail are files of their own."""
+    spark = features.sparkSession
+    placed = number_rows(features.select(*order, "feature"), order, "_place")
+    line = F.concat(F.when(F.col("_place") == 1, "").otherwise(","), F.col("feature"))
+    spark.createDataFrame([('{"type":"FeatureCollection","features":[',)], "value string").coalesce(1).write.text(f"{folder}/0-head")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(n, "_place").sortWithinPartitions("_place").select(line.alias("value")).write.text(f"{folder}/1-features")
+    spark.createDataFrame([("]}",)], "value string").coalesce(1).write.text(f"{folder}/2-tail")
+
+
 def escape_xml(text: Column) -> Column:
     for raw, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(raw), F.lit(mark))
