@@ -52,7 +52,8 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 def match_all(spark: SparkSession, d: str) -> DataFrame:
     """All nodes matched with all runs anew."""
     shared_folder(spark)
-    return matching.match(node_radius(spark, d).checkpoint(), seg(spark, d), runs(spark, d).checkpoint(), REACH)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return matching.match(node_radius(spark, d).checkpoint(), seg(spark, d), runs(spark, d).repartition(n).checkpoint(), REACH)  # each piece makes many rows
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:

@@ -139,6 +139,14 @@ def b11_islands(spark, d):
     return got.select(F.round("length_m", 2).alias("length_m"), F.size("segments").alias("segments"), F.concat(F.lit("cartpath:"), lowest.cast("string")).alias("first_label"), "main")
 
 
+@query(f"""WITH {GRID_SQL}, lab AS (SELECT DISTINCT b, CASE WHEN (CASE WHEN up THEN id - {UP} ELSE id END) % 2 = 0 THEN 'cartpath:' ELSE 'road:' END || id AS label FROM edge)
+ SELECT label, row_number() OVER (PARTITION BY b ORDER BY label) AS place FROM lab""")
+def b11_labels(spark, d):
+    """The labels of each island as rows in order."""
+    edges, vertices = built(spark, d)
+    return graph.island_labels(edges, vertices, grid(spark, d)).select("label", "place")
+
+
 @query("""SELECT request, 'ok' AS reached, length_m, length_m AS line_m, CAST(request // 8 * 2000 + 50 AS DOUBLE) AS x_from, CAST(request // 8 * 2000 + 250 AS DOUBLE) AS x_to, CAST(request % 8 * 100 AS DOUBLE) AS y_to
  FROM (SELECT s_suppkey AS request, CAST(CASE WHEN s_suppkey % 8 = 3 THEN 600 ELSE s_suppkey % 8 * 100 + 200 END AS DOUBLE) AS length_m FROM supplier)""")
 def r3_legs(spark, d):

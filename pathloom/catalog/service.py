@@ -13,7 +13,6 @@ from pathloom.catalog.registry import query, table
 from pathloom.functions import geometry as g
 from pathloom.operators import clean, graph, health
 from pathloom.operators.components import shared_folder
-from pathloom.operators.numbering import number_rows
 from pathloom.sources import features
 from pathloom.streaming import updates
 
@@ -88,7 +87,7 @@ def h10_listing(spark, d):
     """Activities of two states, and those picked by number of any state, in one listing in order of start."""
     e = table(spark, d, "events").withColumn("status", F.col("event_type"))
     listed = health.listing(e, ["view", "error"]).unionByName(health.listing(e.where("event_id % 11 = 0"))).distinct()
-    return number_rows(listed.select("event_id", "ts", "status"), ["ts", "event_id"], "place")
+    return health.listing(listed.select("event_id", "ts", "status"), order=["ts", "event_id"])
 
 
 @query("SELECT n_name AS source, CASE n_nationkey % 3 WHEN 0 THEN n_name || ' failing: HTTP 503' WHEN 1 THEN n_name || ' has never succeeded' END AS problem FROM nation")

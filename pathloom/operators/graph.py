@@ -135,3 +135,13 @@ def islands(edges: DataFrame, vertices: DataFrame, segments: DataFrame) -> DataF
     each = at.groupBy("component").agg(F.sum("length_m").alias("length_m"), F.array_sort(F.collect_set("label")).alias("segments"))
     longest = each.agg(F.max_by("component", F.struct(F.round("length_m", 6), -F.col("component"))).alias("_main"))
     return each.crossJoin(F.broadcast(longest)).withColumn("main", F.col("component") == F.col("_main")).drop("_main")  # one row
+
+
+def island_labels(edges: DataFrame, vertices: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(component, place, label)``: the labels of :func:`islands` as rows, numbered from 1 in order within a component; a
+    component of any size is many tasks'."""
+    at = edges.join(vertices.select(F.col("vertex").alias("source"), "component"), "source").select("id", "component").distinct()
+    rows = at.join(segments.select("id", F.concat_ws(":", "layer", F.col("source_oid").cast("string")).alias("label")), "id").select("component", "label").distinct()
+    placed = number_rows(rows, ["component", "label"], "_n")
+    first = placed.groupBy("component").agg(F.min("_n").alias("_first"))
+    return placed.join(first, "component").select("component", (F.col("_n") - F.col("_first") + 1).alias("place"), "label")

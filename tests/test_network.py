@@ -378,3 +378,30 @@ def test_null_rows_and_empty_tables_in_maintenance(spark):
     counts = spark.createDataFrame([("a", 3), ("b", 2)], "layer string, n long")
     assert {r["line"] for r in health.change_lines(counts.where("false"), counts, "layer", "n").collect()} == {"a: 0 → 3", "b: 0 → 2"}
     assert health.change_lines(counts, counts, "layer", "n").isEmpty()
+
+
+def test_entry_points_of_nothing(spark, tmp_path):
+    """No segments, no tracks, no requests: empty results, no errors."""
+    from pathloom.operators.runindex import RunIndex
+    from pathloom.plans import network as plan
+
+    none = segments(spark, (1, "road", [[(0, 0), (100, 0)]])).limit(0).withColumn("length_m", F.lit(0.0))
+    one = segments(spark, (1, "road", [[(0, 0), (100, 0)]])).withColumn("length_m", F.lit(100.0))
+    points = spark.createDataFrame([], "track long, seq long, x double, y double")
+    acts = spark.createDataFrame([], "track long, start_at timestamp")
+    assert plan.recompute(none, points, acts).count() == 0
+    assert plan.recompute(one, points, acts).where("hit_at is not null").count() == 0
+    assert plan.completion(none, plan.recompute(none, points, acts)).first()["road_total"] == 0
+    index = RunIndex(spark, f"{tmp_path}/runs", 30.0)
+    assert plan.match_changed(plan.make_nodes(one), one, index).where("hit_run is null").count() == plan.make_nodes(one).count()
+    edges, vertices = plan.build_graph(none)
+    assert edges.count() == vertices.count() == 0
+    asked = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 0.0)], "request long, ax double, ay double, bx double, by double")
+    assert [r["reached"] for r in plan.route_leg(asked, edges).collect()] == ["far"] and plan.route_leg(asked.limit(0), edges).count() == 0
+    left = spark.createDataFrame([], "segment_id long, part int, a double, b double")
+    legs, summary = plan.finish_routes(spark.createDataFrame([(1, 0.0, 0.0)], "request long, x double, y double"), spark.createDataFrame([(1, 1)], "request long, segment_id long"), edges, vertices, left, 50.0)
+    assert legs.count() == 0 and [r["state"] for r in summary.collect()] == ["far"]
+    route = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 50.0, 0.0)], "route long, seq long, x double, y double")
+    parts = spark.createDataFrame([], "id long, part int, part_m double")
+    assert [r["new_m"] for r in plan.new_ground(route, edges, parts, left).collect()] == [0.0]
+    assert routing.new_ground_lines(route, edges, parts, left).count() == 0
