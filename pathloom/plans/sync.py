@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators import clean, tracks
+from pathloom.sources import windows
 
 
 def commit(activities: DataFrame, folder: str, window: str) -> None:
@@ -64,3 +65,14 @@ def sync(listing: DataFrame, fetch: Callable[[DataFrame], DataFrame], boxes: Dat
         found = found.select(F.lit(w["from_date"]).alias("from_date"), "reason", "n").checkpoint()
         counts = found if counts is None else counts.unionByName(found)
     return counts if counts is not None else spark.createDataFrame([], "from_date date, reason string, n long")
+
+
+def follow(spark: SparkSession, list_window: Callable[[DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], boxes: DataFrame, start: str, accepted: list[str], folder: str, checkpoint: str, end: str | None = None, each: Callable[[DataFrame, DataFrame], None] | None = None) -> None:
+    """Syncs window by window from where ``checkpoint`` left off (:func:`windows.follow_windows`). ``list_window(window)`` lists
+    from its ``list_from`` to its ``to_date``; activities listed again are known, so a window that comes again fetches nothing twice."""
+
+    def one(window: DataFrame) -> None:
+        w = window.first()
+        sync(list_window(window), fetch, boxes, str(w["list_from"]), str(w["to_date"]), accepted, folder, each)
+
+    windows.follow_windows(spark, start, one, checkpoint, end)
