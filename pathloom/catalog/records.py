@@ -274,15 +274,25 @@ def k7_gpx(spark, d):
     return made.where(F.col("gpx").contains("<name>A &amp; B</name>")).select("route", F.size(F.regexp_extract_all("gpx", F.lit("<trkpt "), F.lit(0))).cast("long").alias("points"))
 
 
-@query()
+@query("""WITH p AS (SELECT user_id AS route, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, 40 + value / 10000 AS lat, -84 + CAST(json_extract(props, '$.k') AS DOUBLE) / 10000 AS lon FROM events)
+ SELECT route, count(*) AS points, count(*) FILTER (seq % 50 = 0) AS cues, CAST(round(first(lat ORDER BY seq) * (2147483648.0::DOUBLE / 180)) AS BIGINT) AS first_lat, CAST(round(last(lon ORDER BY seq) * (2147483648.0::DOUBLE / 180)) AS BIGINT) AS last_lon, 'track ' || route AS name, true AS rising FROM p GROUP BY route""")
 def k6_fit(spark, d):
-    """A course file for each track; tests read the files back."""
+    """A course file for each track, read back: its points and cues, where it begins and ends, its name, and that time and way never fall."""
     from pathloom.catalog.network import latlon
     from pathloom.operators.cues import cumulative
+    from pathloom.sources.courses import read_courses
 
     p = cumulative(latlon(spark, d))
     cues_ = p.where("seq % 50 = 0").withColumn("cue", F.lit("left")).select("route", "lat", "lon", "cum_m", "cue")
-    return exports.fit_courses(p, cues_, p.select("route").distinct().withColumn("name", F.concat(F.lit("track "), F.col("route").cast("string"))), 1_700_000_000, 0.33)
+    made = exports.fit_courses(p, cues_, p.select("route").distinct().withColumn("name", F.concat(F.lit("track "), F.col("route").cast("string"))), 1_700_000_000, 0.33)
+    rows = read_courses(made)
+    before = Window.partitionBy("route", "message").orderBy("place")
+    falls = F.coalesce((F.col("metres") < F.lag("metres").over(before)) | (F.col("time_s") < F.lag("time_s").over(before)), F.lit(False))
+    point, semi = F.col("message") == 20, lambda c: F.round(c * (2147483648.0 / 180)).cast("long")
+    return rows.withColumn("falls", falls).groupBy("route").agg(
+        F.count_if(point).alias("points"), F.count_if(F.col("message") == 32).alias("cues"), semi(F.min_by("lat", F.when(point, F.col("place")))).alias("first_lat"),
+        semi(F.max_by("lon", F.when(point, F.col("place")))).alias("last_lon"), F.max(F.when(F.col("message") == 31, F.col("text"))).alias("name"), (~F.bool_or("falls")).alias("rising"),
+    )
 
 
 # ---- relational operators

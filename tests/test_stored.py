@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import spatial
-from pathloom.sources import exports
+from pathloom.sources import courses, exports
 from pathloom.sources.migrations import Step, VersionedTable, WrongSteps
 
 ONE = Step(1, "miles", lambda df: df.withColumn("miles", F.col("m") / 1609.344))
@@ -72,3 +72,17 @@ def test_nearest_k_on_clustered_points(spark, start):
     few = spatial.nearest_k(p.limit(3), q.where("id < 2"), ["p"], ["id"], ["id"], 4, start).groupBy("p").count().collect()
     assert [r["count"] for r in few] == [2, 2, 2]
     assert spatial.nearest_k(p, q.limit(0), ["p"], ["id"], ["id"], 4).count() == 0
+
+
+def test_course_files_read_back(spark):
+    raw = exports.fit_course("Näme", [(40.0, -84.0, 0.0), (40.001, -84.5, 111.2)], [(40.0, -84.0, 0.0, "sharp_left")], 1_700_000_000, 0.3, generic=False)
+    df = spark.createDataFrame([(1, bytearray(raw)), (2, None)], "route long, fit binary")
+    rows = courses.read_courses(df).orderBy("place").collect()
+    assert {r["route"] for r in rows} == {1} and [r["message"] for r in rows] == [0, 31, 19, 21, 20, 20, 32, 21]
+    points = [r for r in rows if r["message"] == 20]
+    assert [(round(r["lat"], 6), round(r["lon"], 6), r["metres"], r["time_s"]) for r in points] == [(40.0, -84.0, 0.0, 1_700_000_000), (40.001, -84.5, 111.2, 1_700_000_033)]
+    cue = next(r for r in rows if r["message"] == 32)
+    assert (cue["kind"], cue["text"]) == (20, "sharp_left") and rows[1]["text"] == "N?me"
+    for bad in (raw[:-1], raw[:40] + bytes([raw[40] ^ 1]) + raw[41:], b"x" * 40, b""):
+        with pytest.raises(ValueError):
+            list(courses.messages(bad))
