@@ -26,6 +26,16 @@ def b9_components(spark, d):
     return connected_components(n.withColumn("dst", (F.col("src") + 5) % 25))
 
 
+@query("""WITH v AS (SELECT c_custkey AS vertex, c_nationkey AS k FROM customer) SELECT vertex, min(vertex) OVER (PARTITION BY CASE WHEN k < 20 THEN -1 ELSE k END) AS component FROM v""")
+def b9_hubs(spark, d):
+    """Customers linked to the least one of their nation, and the least ones of twenty nations to each other: stars of most vertices."""
+    v = table(spark, d, "customer").select(F.col("c_custkey").alias("vertex"), F.col("c_nationkey").alias("k"))
+    hubs = v.groupBy("k").agg(F.min("vertex").alias("hub"))
+    links = v.join(F.broadcast(hubs), "k").select(F.col("vertex").alias("src"), F.col("hub").alias("dst"))  # a row a nation
+    rings = hubs.where("k < 20").select(F.col("hub").alias("src"), F.lead("hub").over(Window.orderBy("k")).alias("dst")).where("dst is not null")
+    return connected_components(links.unionByName(rings), hub=500)
+
+
 @query(f"WITH RECURSIVE {NET}, origins AS (SELECT 0 AS o), {RELAX} SELECT vertex, dist FROM r WHERE step = 24")
 def r2_shortest_paths(spark, d):
     start = spark.createDataFrame([(0, 0, 0.0)], "origin int, vertex int, dist double")

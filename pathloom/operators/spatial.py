@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import c, crossing, fraction_along, point_piece_distance
-from pathloom.operators.components import shared_folder
+from pathloom.operators.components import HUB, shared_folder
+from pathloom.operators.skew import join_by_key
 
 
 #: Side of a base cell, in reaches; by itself it is cut into quarters once.
@@ -191,8 +192,9 @@ def near_pairs(points: DataFrame, eps: float, key: str = "id") -> DataFrame:
     """
     size = eps / 1.4143
     p = points.select(F.col(key).alias("id"), "x", "y", _cell("x", size).alias("cx"), _cell("y", size).alias("cy"))
-    least = p.groupBy("cx", "cy").agg(F.min("id").alias("src"))
-    within_cell = p.join(least, ["cx", "cy"]).where("src != id").select("src", F.col("id").alias("dst"))
+    shared_folder(points.sparkSession)
+    least = p.groupBy("cx", "cy").agg(F.min("id").alias("src"), F.count("*").alias("n")).checkpoint()
+    within_cell = join_by_key(p, least, ["cx", "cy"], HUB).where("src != id").select("src", F.col("id").alias("dst"))
     spread = p.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("dy", F.explode(F.sequence(F.lit(-2), F.lit(2)))).where("dx > 0 or dy > 0")
     spread = spread.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     gap = F.sqrt((F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay")))

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import matching, spatial
+from pathloom.operators import components, matching, skew, spatial
 from pathloom.operators.runindex import RunIndex
 from pathloom.plans import network, refresh
 
@@ -106,3 +106,23 @@ def test_index_reads_only_the_blocks_of_its_nodes(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [block" in near._jdf.queryExecution().toString() or "PartitionFilters: [isnotnull(block" in near._jdf.queryExecution().toString()
     monkeypatch.setattr("pathloom.operators.runindex.MAX_BLOCKS", 1)
     assert {r["run"] for r in index.near(points).collect()} == {3, 7}
+
+
+@pytest.mark.parametrize("heavy", [0, 100_000])
+def test_components_with_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr("pathloom.operators.skew.MAX_HEAVY", heavy)
+    rnd = random.Random(8)
+    rows = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1060)] + [(rnd.randint(2000, 2400), rnd.randint(2000, 2400)) for _ in range(150)] + [(7, None), (3000, 3000), (1060, 5)]
+    links = spark.createDataFrame(rows, "src long, dst long").repartition(6)
+    got = dict(map(tuple, components.connected_components(links, hub=20).collect()))
+    assert got == dict(map(tuple, components.connected_components(links).collect()))
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "src string, dst string")
+    assert dict(map(tuple, components.connected_components(words, hub=1).collect())) == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+
+
+def test_a_key_of_most_rows_stays_where_it_is(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") < 40_000, 1).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).checkpoint()
+    joined = skew.join_by_key(rows, table, ["k"], 1000)
+    assert joined.count() == 50_000 and joined.where("k = 1").agg(F.max("least")).first()[0] == 0
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() or "Broadcast" in joined._jdf.queryExecution().toString()
