@@ -26,6 +26,8 @@ from .vocabularies import vocabularies
 #: A block ends with the document that brings it to so many links or documents.
 BLOCK_LINKS, BLOCK_DOCS = 1 << 20, 1 << 15
 SALTS = 16
+#: Runs of text whose ids a worker remembers, beside the arrays of a block.
+REMEMBERED = 300_000
 #: Runs of a text that are encoded, and tokens that are aligned, at a time.
 PART_RUNS, PART_TOKENS = 50_000, 100_000
 DOCUMENT = ("n_a", "n_b", "n_groups", "n_links")
@@ -107,7 +109,7 @@ def write_blocks(df: DataFrame, folder: str, byte_path: str, piece_path: str, id
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        work = vocabularies(byte_path, piece_path)
+        work = vocabularies(byte_path, piece_path, REMEMBERED)
         names = Names(len(work.a_bytes), len(work.b_bytes))
         arrow, number, block, size = to_arrow_schema(schema), TaskContext.get().partitionId() << 32, Block(), 0
 

@@ -181,5 +181,5 @@ class Vocabularies:
 
 
 @lru_cache(maxsize=1)
-def vocabularies(byte_path: str, piece_path: str) -> Vocabularies:
-    return Vocabularies(byte_path, piece_path)
+def vocabularies(byte_path: str, piece_path: str, remembered: int = 600_000) -> Vocabularies:
+    return Vocabularies(byte_path, piece_path, remembered)
