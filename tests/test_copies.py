@@ -50,3 +50,15 @@ def as_much_work(spark, monkeypatch, folders, name, sides=(0, 1)):
 
 def test_nearest_meets_each_place_and_line_once(spark, monkeypatch, folders):
     as_much_work(spark, monkeypatch, folders, "j14_nearest")
+
+
+def test_line_pairs_search_one_of_equal_lines(spark, monkeypatch, folders):
+    as_much_work(spark, monkeypatch, folders, "g9_line_distance")
+
+
+def test_line_pairs_of_copies_within_their_names(spark):
+    at = lambda i, name, y: (i, 0, 0, name, 0.0, y, 10.0, y, 0.0, 10.0)
+    rows = [at(1, "a", 0.0), at(2, "a", 0.0), at(3, "a", 2.0), at(4, "b", 0.0), at(5, "b", 0.0), at(6, "a", 50.0)]
+    pieces = spark.createDataFrame(rows, "id long, part int, k int, name string, x1 double, y1 double, x2 double, y2 double, from_m double, len double")
+    got = {tuple(r) for r in spatial.line_pairs(pieces, 4.0, "id", ("name",)).collect()}
+    assert got == {(1, 2, 0.0), (1, 3, 2.0), (2, 3, 2.0), (4, 5, 0.0)}
