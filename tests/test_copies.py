@@ -62,3 +62,12 @@ def test_line_pairs_of_copies_within_their_names(spark):
     pieces = spark.createDataFrame(rows, "id long, part int, k int, name string, x1 double, y1 double, x2 double, y2 double, from_m double, len double")
     got = {tuple(r) for r in spatial.line_pairs(pieces, 4.0, "id", ("name",)).collect()}
     assert got == {(1, 2, 0.0), (1, 3, 2.0), (2, 3, 2.0), (4, 5, 0.0)}
+
+
+def test_nearest_k_leaves_out_what_copies_of_a_line_hide(spark, monkeypatch, folders):
+    as_much_work(spark, monkeypatch, folders, "g19_nearest_k", sides=(0,))
+    p = spark.createDataFrame([(i, 0.0, 0.0) for i in range(5)], "p long, x double, y double")
+    q = spark.createDataFrame([(i, 1.0, 0.0, 2.0, 0.0) for i in range(9)], "id long, x1 double, y1 double, x2 double, y2 double")
+    found = []
+    assert met_rows(monkeypatch, lambda: found.extend(spatial.nearest_k(p, q, ["p"], ["id"], ["id"], 3).select("p", "rank", "id").collect())) == [1, 3]
+    assert {tuple(r) for r in found} == {(i, k + 1, k) for i in range(5) for k in range(3)}
