@@ -71,3 +71,7 @@ def test_nearest_k_leaves_out_what_copies_of_a_line_hide(spark, monkeypatch, fol
     found = []
     assert met_rows(monkeypatch, lambda: found.extend(spatial.nearest_k(p, q, ["p"], ["id"], ["id"], 3).select("p", "rank", "id").collect())) == [1, 3]
     assert {tuple(r) for r in found} == {(i, k + 1, k) for i in range(5) for k in range(3)}
+
+
+def test_locate_meets_each_place_and_line_once(spark, monkeypatch, folders):
+    as_much_work(spark, monkeypatch, folders, "g8_locate")
