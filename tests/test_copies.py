@@ -80,3 +80,7 @@ def test_locate_meets_each_place_and_line_once(spark, monkeypatch, folders):
 def test_crossings_of_keys_beyond_the_shift(spark, tmp_path):
     duckdb.connect().execute(f"COPY (SELECT s.* REPLACE (s_suppkey + 100000 * i AS s_suppkey) FROM '/root/testdata/sf0.001/supplier.parquet' s, range(3) r(i)) TO '{tmp_path}/supplier.parquet'")
     compare(core.queries()["j12_crossings"](spark, str(tmp_path)), database(tmp_path), core.oracle_sql()["j12_crossings"])
+
+
+def test_fixes_within_meet_each_place_once(spark, monkeypatch, folders):
+    as_much_work(spark, monkeypatch, folders, "j5_within")
