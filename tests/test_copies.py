@@ -84,3 +84,7 @@ def test_crossings_of_keys_beyond_the_shift(spark, tmp_path):
 
 def test_fixes_within_meet_each_place_once(spark, monkeypatch, folders):
     as_much_work(spark, monkeypatch, folders, "j5_within")
+
+
+def test_share_meets_each_sample_once(spark, monkeypatch, folders):
+    as_much_work(spark, monkeypatch, folders, "u3_share_within")
