@@ -88,3 +88,12 @@ def test_fixes_within_meet_each_place_once(spark, monkeypatch, folders):
 
 def test_share_meets_each_sample_once(spark, monkeypatch, folders):
     as_much_work(spark, monkeypatch, folders, "u3_share_within")
+
+
+@pytest.mark.parametrize("name", ["x1_late_runs", "m7_tunnels"])
+def test_hits_meet_each_node_place_once(spark, monkeypatch, folders, name):
+    as_much_work(spark, monkeypatch, folders, name, sides=(0,))
+
+
+def test_near_misses_meet_each_place_once(spark, monkeypatch, folders):
+    as_much_work(spark, monkeypatch, folders, "m12_near_misses", sides=(0,))
