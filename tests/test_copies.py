@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from pathloom import queries as core
-from pathloom.operators import spatial
+from pathloom.operators import spatial, tracks
 from tests.test_oracles import compare, database
 
 #: Keys after which the suppliers' lines, and all that is told by them, repeat.
@@ -97,3 +97,10 @@ def test_hits_meet_each_node_place_once(spark, monkeypatch, folders, name):
 
 def test_near_misses_meet_each_place_once(spark, monkeypatch, folders):
     as_much_work(spark, monkeypatch, folders, "m12_near_misses", sides=(0,))
+
+
+def test_a_sum_of_steps_adds_no_piece(spark):
+    """25 m of steps that sum to a little more are one piece of 25 m."""
+    x = next(k / 100 for k in range(1, 5000) if (k + 2500) / 100 - k / 100 > 25.0)
+    points = spark.createDataFrame([(1, 0, 1, x, 0.0), (1, 0, 2, round(x + 25.0, 2), 0.0)], "track long, part int, seq int, x double, y double")
+    assert [r["piece"] for r in tracks.track_pieces(points, 25.0).collect()] == [0]
