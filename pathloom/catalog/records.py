@@ -339,12 +339,14 @@ def a14_histogram(spark, d):
 
 @query("""WITH n AS (SELECT c_custkey, round(min(abs(s_acctbal - c_acctbal)), 4) AS dist FROM customer, supplier WHERE abs(s_acctbal - c_acctbal) <= 50 GROUP BY 1) SELECT customer.c_custkey AS item, dist FROM customer LEFT JOIN n USING (c_custkey)""")
 def j8_nearest_value(spark, d):
-    """Nearest supplier by balance within 50, through cells of 50."""
-    s = table(spark, d, "supplier").select("s_acctbal", F.explode(F.sequence(F.floor(F.col("s_acctbal") / 50) - 1, F.floor(F.col("s_acctbal") / 50) + 1)).alias("cell"))
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.floor(F.col("c_acctbal") / 50).alias("cell"))
-    gap = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    near = c.join(s, "cell").where(gap <= 50).groupBy("c_custkey").agg(F.round(F.min(gap), 4).alias("dist"))
-    return c.select("c_custkey").join(near, "c_custkey", "left").withColumnRenamed("c_custkey", "item")
+    """Nearest supplier by balance within 50: in cells of 50 with both neighbours' suppliers, the one before or after in order."""
+    v, cell = F.col("s_acctbal"), F.floor(F.col("s_acctbal") / 50)
+    s = table(spark, d, "supplier").select("s_acctbal").distinct().select(F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"), F.lit(None).cast("long").alias("item"), v.alias("at"), v.alias("s"), F.lit(False).alias("asks"))
+    c = table(spark, d, "customer").select(F.floor(F.col("c_acctbal") / 50).alias("cell"), F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("at"), F.lit(None).cast("double").alias("s"), F.lit(True).alias("asks"))
+    order = Window.partitionBy("cell")
+    both = s.unionByName(c).withColumn("below", F.last("s", True).over(order.orderBy("at"))).withColumn("above", F.last("s", True).over(order.orderBy(F.desc("at"))))
+    gap = F.least(F.abs(F.col("below") - F.col("at")), F.abs(F.col("above") - F.col("at")))
+    return both.where("asks").select("item", F.when(gap <= 50, F.round(gap, 4)).alias("dist"))
 
 
 @query("SELECT a.l_orderkey AS k, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE least(a.l_quantity, b.l_quantity) - greatest(a.l_discount * 100, b.l_discount * 100) > 30")

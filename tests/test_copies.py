@@ -112,3 +112,8 @@ def test_refresh_keeps_lines_that_keys_repeat(spark, tmp_path, name):
     con.execute(f"COPY (SELECT s.* REPLACE (s_suppkey + 3600 * i AS s_suppkey) FROM '/root/testdata/sf0.001/supplier.parquet' s, range(3) r(i)) TO '{tmp_path}/supplier.parquet'")
     con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
     compare(core.queries()[name](spark, str(tmp_path)), database(tmp_path), core.oracle_sql()[name])
+
+
+def test_nearest_value_pairs_nothing(spark, small):
+    """A cell's customers and suppliers are put in order, not joined."""
+    assert "Join" not in core.queries()["j8_nearest_value"](spark, small)._jdf.queryExecution().executedPlan().toString()
