@@ -32,16 +32,19 @@ class GapSplitter(StatefulProcessor):
         self.held = handle.getListState("held", "seq long, x double, y double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        x, y, parts, there, long = self.last.get() if self.last.exists() else (None, None, 0, False, False)
-        batch = pd.concat(list(rows)).sort_values("seq")
-        held, waits = [], self.held.exists()
+        x, y, parts, there, long = self.last.get() or (None, None, 0, False, False)
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
+        seqs, xs, ys = (batch[n].to_numpy() for n in ("seq", "x", "y"))
+        order = seqs.argsort(kind="stable")
+        held, waits = [], there and not long  # an open part without length is held; each call to the state is a trip to the store
         out = {"part": [], "seq": [], "x": [], "y": []}
 
         def give(seq, px, py):
             for name, value in zip(("part", "seq", "x", "y"), (parts - 1, seq, px, py)):
                 out[name].append(value)
 
-        for seq, px, py in zip(batch["seq"].tolist(), batch["x"].tolist(), batch["y"].tolist()):
+        for seq, px, py in zip(seqs[order].tolist(), xs[order].tolist(), ys[order].tolist()):
             step = ((px - x) ** 2 + (py - y) ** 2) ** 0.5 if there else None
             if step is not None and step > self.gap:
                 held, long = [], False  # what was held is a part without length
@@ -68,7 +71,7 @@ class GapSplitter(StatefulProcessor):
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out).assign(track=key[0])[["track", "part", "seq", "x", "y"]]
+        yield pd.DataFrame({"track": [key[0]] * len(out["seq"]), **out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The track's open part ends here: what comes later begins another. Only its number stays."""

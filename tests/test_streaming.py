@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pathloom.operators import tracks
@@ -129,3 +130,41 @@ def test_late_runs_replace_later_hits_and_write_one_bucket(spark, tmp_path):
     table.merge(spark.createDataFrame([(30, 0, 0, dt.datetime(2020, 1, 1), 1)], schema), 4)
     table.compact()
     assert hit(table.read()) == {**want, (30, 0): 1} and table.read().count() == 120
+
+
+def test_a_track_takes_two_trips_to_the_store():
+    """A batch of a track reads and writes its state once; what is held is asked for only where something is."""
+
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def appendList(self, rows):
+            self.calls, self.value = self.calls + 1, [*(self.value or ()), *rows]
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+    split = updates.GapSplitter(40.0, None)
+    split.last, split.held = State(), State()
+    batches = [[(1, 0.0), (2, 0.0)], [(3, 0.0)], [(4, 10.0)], [(6, 30.0), (5, 20.0)], [(7, 90.0)], [(8, 200.0), (9, 210.0)]]
+    got, calls = [], []
+    for rows in batches:
+        before = split.last.calls + split.held.calls
+        frame = pd.DataFrame({"seq": [r[0] for r in rows], "x": [r[1] for r in rows], "y": 0.0})
+        for out in split.handleInputRows((5,), iter([frame]), None):
+            got += list(out.itertuples(index=False, name=None))
+        calls.append(split.last.calls + split.held.calls - before)
+    assert [(r[0], r[1], r[2]) for r in got] == [(5, 0, k) for k in range(1, 7)] + [(5, 1, 8), (5, 1, 9)]
+    assert calls[3] == 2 and max(calls) <= 4, calls
