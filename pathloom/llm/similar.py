@@ -1,16 +1,23 @@
-"""Near-duplicates by word shingles: covering tables over minwise bits find candidates, the shingle sets decide.
+"""Near-duplicates by word shingles: covering tables over minwise bits find most links, prefixes of the sets all others.
 
 A SimHash of 64 bits differs in about ten bits where two texts share 0.8 of their shingles, which is beyond any radius
 that covering masks can afford. A sketch of one bit from each of ``64 * blocks`` minimum hashes differs in a tenth of
 its bits there. Each block of 64 bits gets the covering masks of :mod:`simhash`, so a pair with at most ``radius``
 differing bits in any block is found for certain: by the pigeonhole, every pair with fewer than
-``blocks * (radius + 1)`` differing bits in all; others are found with a chance that the docstrings state.
+``blocks * (radius + 1)`` differing bits in all; others are found by chance.
+
+That search comes first because it joins large groups by few links. What it leaves apart is searched by an exact filter:
+in one order of all shingles, that puts frequent ones last, sets of a similarity of 4 / 5 have one in common among the
+first fifth of each. No pair of different groups that has one is left out, so the groups are those of all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +25,7 @@ from pyspark.sql import types as T
 
 from pathloom.operators.components import connected_components, shared_folder
 
-from .common import append_columns
+from .common import append_columns, slices, small_batches
 from .simhash import RADIUS, covering_masks, tokens_of
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # a similarity of 4 / 5
@@ -31,6 +38,12 @@ TOGETHER = 4096
 BROADCAST_ROWS = 1_000_000
 #: Table rows that a task makes of the classes' sketches.
 ROWS_A_TASK = 1_000_000
+#: Most repeated shingles, which come last in the order of all; any such list gives the same links, with more or less work.
+FREQUENT = 100_000
+#: Shingles among which a task looks for repeated ones at a time, and texts of one batch of prefixes.
+COUNTED, PREFIXES = 1_000_000, 500
+#: Words of 64 bits in a set's print.
+PRINT = 8
 _FAR = np.uint64(1 << 63)
 
 
@@ -54,6 +67,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: 1 - words or None].tolist(), ends[words - 1 :].tolist())], np.uint64))
 
 
+def class_of(text: str | None) -> int:
+    """A signed hash of the text's sequence of words."""
+    return xxhash.xxh64_intdigest(b" ".join(tokens_of(text))) - (1 << 63)
+
+
 def sketch(hashes: np.ndarray, flips: np.ndarray, odd: np.ndarray) -> np.ndarray:
     """One bit of the minimum of each permutation of the hashes, as signed 64-bit words; zeros for none."""
     if not len(hashes):
@@ -79,7 +97,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, words: int, blocks: int)
             made: dict[str, list] = {n: [] for n in ["c", "n", *names]}
             for text in texts:
                 own = shingles(text, words)
-                made["c"].append(xxhash.xxh64_intdigest(b" ".join(tokens_of(text))) - (1 << 63))
+                made["c"].append(class_of(text))
                 made["n"].append(len(own))
                 for name, x in zip(names, sketch(own, flips, odd).tolist()):
                     made[name].append(x)
@@ -113,14 +131,38 @@ def nearest_links(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray, most:
     return links
 
 
+def in_groups(keys: DataFrame, sizes: DataFrame, classes: DataFrame, names: list[str], chunk: int) -> DataFrame:
+    """``(gt, gkey, x, y, bt, bkey, c, n, *names)``: the members ``keys (t, key, c)`` of the buckets ``sizes (t, key, held)``
+    with what ``classes`` has of them, once for each group ``(gt, gkey, x, y)`` that they are in.
+
+    Buckets up to ``chunk`` share groups of about ``TOGETHER`` rows; larger ones are split into chunks by hash, and each
+    pair of chunks is a group of its own. No task gets a whole bucket, whatever its size.
+    """
+    count = sizes.agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
+    small = F.broadcast if count[0] <= BROADCAST_ROWS else lambda x: x
+    members = keys.join(small(sizes), ["t", "key"])
+    chunks = F.ceil(F.col("held") / chunk).cast("int")
+    members = members.withColumn("mine", F.pmod(F.xxhash64("c"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    shared = F.pmod(F.xxhash64("t", "key"), F.lit(count[1] // TOGETHER + 1))
+    first = F.when(F.col("held") <= chunk, F.struct(F.lit(-1).cast("smallint").alias("t"), shared.alias("key"))).otherwise(F.struct("t", "key"))
+    members = members.select("t", "key", "c", first.alias("g"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    members = members.join(classes, "c").select("g.*", "x", "y", F.col("t").alias("bt"), F.col("key").alias("bkey"), "c", "n", *names)
+    return members.toDF("gt", "gkey", "x", "y", "bt", "bkey", "c", "n", *names)
+
+
+def buckets_of(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Where each bucket of more than one row begins and ends in a group's rows, which are in order of ``bt, bkey``."""
+    bt, bkey = pdf["bt"].to_numpy(), pdf["bkey"].to_numpy()
+    cuts = [0, *(np.flatnonzero((bt[1:] != bt[:-1]) | (bkey[1:] != bkey[:-1])) + 1).tolist(), len(bt)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+
+
 def candidate_links(classes: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, most: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Links ``(a, b)`` between classes ``(c, n, s0, ...)``: in each bucket of each table a least spanning forest over
     the pairs within ``most`` bits (a quarter more than the mean at the similarity, and four deviations, by default).
 
-    A link of the forest that fails the exact test later is the closest one between its two sides, so other links
-    between them would hardly pass. Buckets up to ``chunk`` share groups of about ``TOGETHER`` rows; larger ones are
-    split into chunks by hash, and each pair of chunks is a group of its own: the union of their forests holds that of
-    the whole bucket. No task gets a whole bucket, whatever its size.
+    A link of the forest that fails the exact test later may leave others out that pass, which :func:`links_between`
+    finds. The union of the forests of a large bucket's chunks (:func:`in_groups`) holds that of the whole bucket.
     """
     bits = 64 * blocks
     mean = bits * (DENOMINATOR - NUMERATOR) / DENOMINATOR / 2
@@ -131,28 +173,130 @@ def candidate_links(classes: DataFrame, blocks: int = BLOCKS, radius: int = RADI
     keys = classes.select("c", *names)
     keys = keys.repartition(max(1, -(-keys.count() * len(names) * len(masks) // ROWS_A_TASK))).select("c", F.inline(tables))
     sizes = keys.groupBy("t", "key").agg(F.count("*").alias("held")).where("held > 1").checkpoint()
-    count = sizes.agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
-    small = F.broadcast if count[0] <= BROADCAST_ROWS else lambda x: x
-    members = keys.join(small(sizes), ["t", "key"])
-    chunks = F.ceil(F.col("held") / chunk).cast("int")
-    members = members.withColumn("mine", F.pmod(F.xxhash64("c"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    shared = F.pmod(F.xxhash64("t", "key"), F.lit(count[1] // TOGETHER + 1))
-    first = F.when(F.col("held") <= chunk, F.struct(F.lit(-1).cast("smallint").alias("t"), shared.alias("key"))).otherwise(F.struct("t", "key"))
-    members = members.select("t", "key", "c", first.alias("g"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    members = members.join(classes, "c").select("g.*", "x", "y", F.col("t").alias("bt"), F.col("key").alias("bkey"), "c", "n", *names)
-    members = members.toDF("gt", "gkey", "x", "y", "bt", "bkey", "c", "n", *names)
+    members = in_groups(keys, sizes, classes, names, chunk)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bt", "bkey"])
         ids, n, prints = pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf[names].to_numpy(np.int64).view(np.uint64)  # a count of bits is one of the absolute value
-        bt, bkey = pdf["bt"].to_numpy(), pdf["bkey"].to_numpy()
-        cuts = [0, *(np.flatnonzero((bt[1:] != bt[:-1]) | (bkey[1:] != bkey[:-1])) + 1).tolist(), len(ids)]
-        found = [x for a, b in zip(cuts, cuts[1:]) if b - a > 1 for x in nearest_links(ids[a:b], prints[a:b], n[a:b], most)]
+        found = [x for a, b in buckets_of(pdf) for x in nearest_links(ids[a:b], prints[a:b], n[a:b], most)]
         return pd.DataFrame(sorted({(min(x), max(x)) for x in found}), columns=["a", "b"], dtype="int64")
 
     return members.groupBy("gt", "gkey", "x", "y").applyInPandas(search, "a long, b long").distinct()
 
 
+def new_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(c, set)`` of each text of the batches that has words, those of the same words once."""
+    seen = set()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for text in part.column(0).to_pylist():
+                c = class_of(text)
+                if c not in seen:
+                    seen.add(c)
+                    own = shingles(text, words)
+                    if len(own):
+                        yield c, own
+        batch = part = None
+        pa.default_memory_pool().release_unused()
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes, set if an odd number of them has it: two sets' prints differ in no more bits
+    than the sets in members."""
+    odd = np.bincount((hashes % np.uint64(64 * PRINT)).astype(np.int64), minlength=64 * PRINT) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first of a set's members, as many as a similar set cannot lack all of: in order of their hashes, those in
+    ``frequent``, which rises, behind all others, by their ``place``."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, place[at], 0), kind="stable")]
+    return hashes[: len(hashes) + 1 + (-NUMERATOR * len(hashes)) // DENOMINATOR]
+
+
+def repeated_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, places)`` of the ``FREQUENT`` shingles that repeat most: hashes rise, of places more frequent ones have
+    higher. Each task counts what repeats among ``COUNTED`` shingles; it only sets the order that :func:`prefix` takes."""
+
+    def run(batches):
+        held, size = [], 0
+        for _, own in new_sets(batches, words):
+            held.append(own)
+            size += len(own)
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+
+    most = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    hashes = np.array([r["key"] for r in most], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(most) - np.arange(len(most)))[order]
+
+
+def possible_pairs(ids: np.ndarray, groups: np.ndarray, prints: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """All pairs of different groups, one array a row, whose sizes and prints (:func:`parities`) do not rule the similarity out."""
+    found = []
+    for k in range(len(ids) - 1):
+        least, most = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
+        at = np.flatnonzero((groups[k + 1 :] != groups[k]) & (DENOMINATOR * least >= NUMERATOR * most)) + k + 1
+        apart = np.bitwise_count(prints[at] ^ prints[k]).sum(axis=1, dtype=np.int64)
+        at = at[(NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (sizes[at] + sizes[k])]
+        found.append(np.column_stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])]))
+    return found
+
+
+def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
+    """Every pair of classes ``(a, b)`` of different groups ``parts (c, component)`` that may have a similarity of 4 / 5, so
+    all that have it: they share a shingle among the first ones of both (:func:`prefix`).
+
+    Shingles that one group alone begins with are left out, so large groups cost nothing here. Where many texts share
+    frequent shingles and lie just under the similarity, pairs grow with their square, in groups of bounded size.
+    """
+    small_batches(df.sparkSession)
+    texts = df.select(F.col(text_col).alias("text"))
+    frequent, place = repeated_shingles(texts, words)
+    names = [f"b{k}" for k in range(PRINT)]
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType())), *[T.StructField(x, T.LongType()) for x in names]])
+
+    def run(batches):
+        made = []
+        for c, own in new_sets(batches, words):
+            made.append([c, len(own), prefix(own, frequent, place).view(np.int64), *parities(own).tolist()])
+            if len(made) == PREFIXES:
+                yield batch_of(made)
+                made = []
+        if made:
+            yield batch_of(made)
+
+    def batch_of(made):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k == 2 else pa.int64()) for k, x in enumerate(zip(*made))], schema.names)
+
+    parts = parts.checkpoint()
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    firsts = texts.mapInArrow(run, schema).groupBy("c").agg(*[F.first(x).alias(x) for x in schema.names[1:]])
+    firsts = firsts.join(parts, "c", "left").withColumn("component", F.coalesce("component", "c")).checkpoint()
+    keys = firsts.select("c", "component", F.explode("first").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    sizes = sizes.select(F.lit(0).cast("smallint").alias("t"), "key", "held").checkpoint()
+    members = in_groups(keys.select(F.lit(0).cast("smallint").alias("t"), "key", "c"), sizes, firsts.select("c", "n", "component", *names), ["component", *names], chunk)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bt", "bkey"])
+        ids, n, groups, prints = pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf[names].to_numpy(np.int64).view(np.uint64)
+        found = [x for a, b in buckets_of(pdf) for x in possible_pairs(ids[a:b], groups[a:b], prints[a:b], n[a:b])]
+        return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *found]), columns=["a", "b"]).drop_duplicates()
+
+    return members.groupBy("gt", "gkey", "x", "y").applyInPandas(search, "a long, b long").distinct()
+
+
 def verified(links: DataFrame, classes: DataFrame, df: DataFrame, text_col: str, words: int) -> DataFrame:
     """The links whose two classes have an exact similarity of 4 / 5 or more: shared shingles over all of both."""
     links = links.checkpoint()
@@ -173,7 +317,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     rows = sketched(df, id_col, text_col, words, blocks).checkpoint()
     classes = rows.groupBy("c").agg(F.min("h").alias("h"), *[F.first(x).alias(x) for x in ["n", *[f"s{k}" for k in range(blocks)]]]).where("n > 0").checkpoint()
     links = verified(candidate_links(classes, blocks, radius), classes, df, text_col, words)
-    return rows, connected_components(links, "a", "b").select(F.col("vertex").alias("c"), "component")
+    parts = connected_components(links, "a", "b").select(F.col("vertex").alias("c"), "component").checkpoint()
+    more = verified(links_between(df, parts, text_col, words), classes, df, text_col, words)
+    if more.isEmpty():
+        return rows, parts
+    return rows, connected_components(links.unionByName(more), "a", "b").select(F.col("vertex").alias("c"), "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, blocks: int = BLOCKS, radius: int = RADIUS) -> DataFrame:
@@ -182,8 +330,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     Words are runs of anything but white space, A-Z in lower case; texts of the same words are one class, so a group
     of copies of any size is one value in the search, and null, empty and wordless texts are one class without links.
-    Two texts of fewer than ``words`` words are similar only if their words are the same. Every link used is exact; a
-    pair at a similarity of 0.8 is found with a chance of 0.91 by the five blocks, at 0.85 with 0.993.
+    Two texts of fewer than ``words`` words are similar only if their words are the same. Every link used is exact, and
+    the groups are those of all pairs at 0.8 or more: what the blocks leave apart is searched by :func:`links_between`.
 
     A row with a null id stays only if no row of its group has an id. Rows are judged by id and text, so neither rows
     that share an id nor those without one stand for each other; of rows equal in both one stays. Only ids and hashes

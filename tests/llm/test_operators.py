@@ -760,6 +760,36 @@ def test_similar_groups(spark):
     assert small == joined
 
 
+def test_similar_at_the_threshold(spark):
+    """Pairs at 0.8 exactly are all joined, also behind frequent openings and beside copies; those just below stay."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    opening, rows = words(40), []
+    for k in range(90):
+        first = (opening if k % 3 == 0 else words(40)) + words(54)  # 90 shingles
+        cut = 10 if k % 10 else 11  # shared are 80 of 100, or 79 of 101
+        rows += [" ".join(first), " ".join(first[:-cut] + words(cut))]
+        rows += [rows[-1].upper()] * (k % 7 == 0)
+    got = [r["doc_id"] for r in similar.keep_one(docs_of(spark, [*enumerate(rows)])).collect()]
+    assert sorted(got) == sorted(set(alike_by_hand(rows))) and len(got) == 99
+
+
+def test_similar_links_between(spark):
+    """All pairs of different groups that are similar are among those found, whatever the chunk and the order."""
+    rng = random.Random(12)
+    base = [str(rng.random()) for _ in range(60)]
+    rows = [" ".join([str(rng.random()) if rng.random() < 0.03 else w for w in base] + [str(k)]) for k in range(60)]
+    sets, ids = [similar.shingles(t) for t in rows], [similar.class_of(t) for t in rows]
+    parts = spark.createDataFrame([(ids[k], ids[k - k % 4]) for k in range(40)], "c long, component long")
+    group = {i: i for i in ids} | {ids[k]: ids[k - k % 4] for k in range(40)}
+    for a, b in itertools.combinations(range(60), 2):
+        assert np.bitwise_count((similar.parities(sets[a]) ^ similar.parities(sets[b])).view(np.uint64)).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    want = {tuple(sorted((ids[a], ids[b]))) for a, b in itertools.combinations(range(60), 2) if group[ids[a]] != group[ids[b]] and 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    for chunk in (4, 1024):
+        got = {(r["a"], r["b"]) for r in similar.links_between(docs_of(spark, [*enumerate(rows)]), parts, "text", chunk=chunk).collect()}
+        assert want and want <= got and all(group[a] != group[b] for a, b in got)
+
+
 def test_similar_odd_rows(spark):
     kept = similar.keep_one(docs_of(spark).withColumn("H", F.lit(1)).withColumn("_gone", F.lit(1))).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "4", "5", "None", "7", "8", "9"])
