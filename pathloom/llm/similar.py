@@ -42,8 +42,8 @@ ROWS_A_TASK = 1_000_000
 FREQUENT = 100_000
 #: Shingles among which a task looks for repeated ones at a time, and texts of one batch of prefixes.
 COUNTED, PREFIXES = 1_000_000, 500
-#: Words of 64 bits in a set's print.
-PRINT = 8
+#: Words of 64 bits in a set's print within buckets, and in that which the pairs found there are looked at again by.
+PRINT, FINE = 8, 64
 _FAR = np.uint64(1 << 63)
 
 
@@ -200,10 +200,10 @@ def new_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[in
         pa.default_memory_pool().release_unused()
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
+def parities(hashes: np.ndarray, width: int = PRINT) -> np.ndarray:
     """A bit for each residue of the hashes, set if an odd number of them has it: two sets' prints differ in no more bits
     than the sets in members."""
-    odd = np.bincount((hashes % np.uint64(64 * PRINT)).astype(np.int64), minlength=64 * PRINT) & 1
+    odd = np.bincount((hashes % np.uint64(64 * width)).astype(np.int64), minlength=64 * width) & 1
     return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
@@ -264,12 +264,12 @@ def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = W
     texts = df.select(F.col(text_col).alias("text"))
     frequent, place = repeated_shingles(texts, words)
     names = [f"b{k}" for k in range(PRINT)]
-    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType())), *[T.StructField(x, T.LongType()) for x in names]])
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("fine", T.ArrayType(T.LongType())), *[T.StructField(x, T.LongType()) for x in names]])
 
     def run(batches):
         made = []
         for c, own in new_sets(batches, words):
-            made.append([c, len(own), prefix(own, frequent, place).view(np.int64), *parities(own).tolist()])
+            made.append([c, len(own), prefix(own, frequent, place).view(np.int64), parities(own, FINE), *parities(own).tolist()])
             if len(made) == PREFIXES:
                 yield batch_of(made)
                 made = []
@@ -277,7 +277,7 @@ def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = W
             yield batch_of(made)
 
     def batch_of(made):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k == 2 else pa.int64()) for k, x in enumerate(zip(*made))], schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k in (2, 3) else pa.int64()) for k, x in enumerate(zip(*made))], schema.names)
 
     parts = parts.checkpoint()
     parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
@@ -294,7 +294,11 @@ def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = W
         found = [x for a, b in buckets_of(pdf) for x in possible_pairs(ids[a:b], groups[a:b], prints[a:b], n[a:b])]
         return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *found]), columns=["a", "b"]).drop_duplicates()
 
-    return members.groupBy("gt", "gkey", "x", "y").applyInPandas(search, "a long, b long").distinct()
+    pairs = members.groupBy("gt", "gkey", "x", "y").applyInPandas(search, "a long, b long").distinct()
+    side = lambda c: firsts.select(F.col("c").alias(c), F.struct("n", "fine").alias(f"_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("_a.fine", "_b.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where((NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (F.col("_a.n") + F.col("_b.n"))).select("a", "b")
 
 
 def verified(links: DataFrame, classes: DataFrame, df: DataFrame, text_col: str, words: int) -> DataFrame:
