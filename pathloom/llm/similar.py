@@ -42,8 +42,12 @@ ROWS_A_TASK = 1_000_000
 FREQUENT = 100_000
 #: Shingles among which a task looks for repeated ones at a time, and texts of one batch of prefixes.
 COUNTED, PREFIXES = 1_000_000, 500
-#: Words of 64 bits in a set's print within buckets, and in that which the pairs found there are looked at again by.
-PRINT, FINE = 8, 64
+#: Words of 64 bits in a set's print, and in the shorter one, folded from it, that pairs are looked at by first.
+FINE, PRINT = 64, 8
+#: Pairs whose prints are looked at together.
+PAIRS = 4096
+#: The columns that name a group of buckets, or of a large bucket's two chunks.
+GROUP = ["gt", "gkey", "x", "y"]
 _FAR = np.uint64(1 << 63)
 
 
@@ -131,23 +135,23 @@ def nearest_links(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray, most:
     return links
 
 
-def in_groups(keys: DataFrame, sizes: DataFrame, classes: DataFrame, names: list[str], chunk: int) -> DataFrame:
-    """``(gt, gkey, x, y, bt, bkey, c, n, *names)``: the members ``keys (t, key, c)`` of the buckets ``sizes (t, key, held)``
-    with what ``classes`` has of them, once for each group ``(gt, gkey, x, y)`` that they are in.
+def in_groups(keys: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+    """``(gt, gkey, x, y, bt, bkey, c)``: the members ``keys (t, key, c)`` of the buckets ``sizes (t, key, held)``, once for
+    each group ``(gt, gkey, x, y)`` that they are in.
 
-    Buckets up to ``chunk`` share groups of about ``TOGETHER`` rows; larger ones are split into chunks by hash, and each
-    pair of chunks is a group of its own. No task gets a whole bucket, whatever its size.
+    Buckets up to ``chunk`` share groups of about ``TOGETHER`` rows, those of the same ``near``, if ``sizes`` has it, one
+    group; larger ones are split into chunks by hash, and each pair of chunks is a group of its own. No task gets a
+    whole bucket, whatever its size.
     """
     count = sizes.agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
     small = F.broadcast if count[0] <= BROADCAST_ROWS else lambda x: x
     members = keys.join(small(sizes), ["t", "key"])
     chunks = F.ceil(F.col("held") / chunk).cast("int")
     members = members.withColumn("mine", F.pmod(F.xxhash64("c"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    shared = F.pmod(F.xxhash64("t", "key"), F.lit(count[1] // TOGETHER + 1))
+    shared = F.pmod(F.xxhash64(*(["near"] if "near" in sizes.columns else ["t", "key"])), F.lit(count[1] // TOGETHER + 1))
     first = F.when(F.col("held") <= chunk, F.struct(F.lit(-1).cast("smallint").alias("t"), shared.alias("key"))).otherwise(F.struct("t", "key"))
-    members = members.select("t", "key", "c", first.alias("g"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    members = members.join(classes, "c").select("g.*", "x", "y", F.col("t").alias("bt"), F.col("key").alias("bkey"), "c", "n", *names)
-    return members.toDF("gt", "gkey", "x", "y", "bt", "bkey", "c", "n", *names)
+    members = members.select(first.alias("g"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "t", "key", "c")
+    return members.select("g.*", "x", "y", "t", "key", "c").toDF(*GROUP, "bt", "bkey", "c")
 
 
 def buckets_of(pdf: pd.DataFrame) -> list[tuple[int, int]]:
@@ -173,7 +177,7 @@ def candidate_links(classes: DataFrame, blocks: int = BLOCKS, radius: int = RADI
     keys = classes.select("c", *names)
     keys = keys.repartition(max(1, -(-keys.count() * len(names) * len(masks) // ROWS_A_TASK))).select("c", F.inline(tables))
     sizes = keys.groupBy("t", "key").agg(F.count("*").alias("held")).where("held > 1").checkpoint()
-    members = in_groups(keys, sizes, classes, names, chunk)
+    members = in_groups(keys, sizes, chunk).join(classes.select("c", "n", *names), "c").select(*GROUP, "bt", "bkey", "c", "n", *names)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bt", "bkey"])
@@ -181,7 +185,7 @@ def candidate_links(classes: DataFrame, blocks: int = BLOCKS, radius: int = RADI
         found = [x for a, b in buckets_of(pdf) for x in nearest_links(ids[a:b], prints[a:b], n[a:b], most)]
         return pd.DataFrame(sorted({(min(x), max(x)) for x in found}), columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("gt", "gkey", "x", "y").applyInPandas(search, "a long, b long").distinct()
+    return members.groupBy(*GROUP).applyInPandas(search, "a long, b long").distinct()
 
 
 def new_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -200,7 +204,7 @@ def new_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[in
         pa.default_memory_pool().release_unused()
 
 
-def parities(hashes: np.ndarray, width: int = PRINT) -> np.ndarray:
+def parities(hashes: np.ndarray, width: int = FINE) -> np.ndarray:
     """A bit for each residue of the hashes, set if an odd number of them has it: two sets' prints differ in no more bits
     than the sets in members."""
     odd = np.bincount((hashes % np.uint64(64 * width)).astype(np.int64), minlength=64 * width) & 1
@@ -253,23 +257,46 @@ def possible_pairs(ids: np.ndarray, groups: np.ndarray, prints: np.ndarray, size
     return found
 
 
+def pairs_of(members: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+    """``(a, b)``, each once: the pairs that share a bucket of one group's ``members (bt, bkey, c)`` and that sizes, folded
+    prints and whole ones do not rule out. ``about`` has each class of the group once, ``(c, n, component, print)``.
+
+    Buckets of the same members are searched once, as those of edited copies of one text mostly are.
+    """
+    about, members = about.sort_values("c"), members.sort_values(["bt", "bkey", "c"])
+    c, n, groups = (about[x].to_numpy() for x in ("c", "n", "component"))
+    prints = np.frombuffer(b"".join(about["print"]), np.uint64).reshape(-1, FINE)
+    folded = np.bitwise_xor.reduce(prints.reshape(-1, FINE // PRINT, PRINT), axis=1)
+    at, searched, found = np.searchsorted(c, members["c"].to_numpy()), set(), [np.zeros((0, 2), np.int64)]
+    for first, last in buckets_of(members):
+        own = at[first:last]
+        if (seen := own.tobytes()) not in searched:
+            searched.add(seen)
+            found += possible_pairs(own, groups[own], folded[own], n[own])
+    a, b = np.unique(np.concatenate(found), axis=0).T
+    apart = [np.bitwise_count(prints[a[k : k + PAIRS]] ^ prints[b[k : k + PAIRS]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), PAIRS)]
+    fits = (NUMERATOR + DENOMINATOR) * np.concatenate([np.zeros(0, np.int64), *apart]) <= (DENOMINATOR - NUMERATOR) * (n[a] + n[b])
+    return pd.DataFrame({"a": c[a[fits]], "b": c[b[fits]]})
+
+
 def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
     """Every pair of classes ``(a, b)`` of different groups ``parts (c, component)`` that may have a similarity of 4 / 5, so
     all that have it: they share a shingle among the first ones of both (:func:`prefix`).
 
-    Shingles that one group alone begins with are left out, so large groups cost nothing here. Where many texts share
-    frequent shingles and lie just under the similarity, pairs grow with their square, in groups of bounded size.
+    Shingles that one group alone begins with are left out, so large groups cost nothing here. Edited copies of one text
+    share many buckets: buckets go together by the least of their groups, so such a pair is looked at in few tasks, and
+    by the whole prints before it is a row. What is compared grows with the square of the texts that share a shingle, in
+    groups of bounded size; the rows are those that prints do not tell from similar ones.
     """
     small_batches(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text"))
     frequent, place = repeated_shingles(texts, words)
-    names = [f"b{k}" for k in range(PRINT)]
-    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("fine", T.ArrayType(T.LongType())), *[T.StructField(x, T.LongType()) for x in names]])
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("print", T.BinaryType())])
 
     def run(batches):
         made = []
         for c, own in new_sets(batches, words):
-            made.append([c, len(own), prefix(own, frequent, place).view(np.int64), parities(own, FINE), *parities(own).tolist()])
+            made.append([c, len(own), prefix(own, frequent, place).view(np.int64), parities(own).tobytes()])
             if len(made) == PREFIXES:
                 yield batch_of(made)
                 made = []
@@ -277,7 +304,8 @@ def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = W
             yield batch_of(made)
 
     def batch_of(made):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k in (2, 3) else pa.int64()) for k, x in enumerate(zip(*made))], schema.names)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made), kinds)], schema.names)
 
     parts = parts.checkpoint()
     parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
@@ -285,20 +313,15 @@ def links_between(df: DataFrame, parts: DataFrame, text_col: str, words: int = W
     firsts = firsts.join(parts, "c", "left").withColumn("component", F.coalesce("component", "c")).checkpoint()
     keys = firsts.select("c", "component", F.explode("first").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    sizes = sizes.select(F.lit(0).cast("smallint").alias("t"), "key", "held").checkpoint()
-    members = in_groups(keys.select(F.lit(0).cast("smallint").alias("t"), "key", "c"), sizes, firsts.select("c", "n", "component", *names), ["component", *names], chunk)
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bt", "bkey"])
-        ids, n, groups, prints = pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf[names].to_numpy(np.int64).view(np.uint64)
-        found = [x for a, b in buckets_of(pdf) for x in possible_pairs(ids[a:b], groups[a:b], prints[a:b], n[a:b])]
-        return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *found]), columns=["a", "b"]).drop_duplicates()
-
-    pairs = members.groupBy("gt", "gkey", "x", "y").applyInPandas(search, "a long, b long").distinct()
-    side = lambda c: firsts.select(F.col("c").alias(c), F.struct("n", "fine").alias(f"_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("_a.fine", "_b.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return both.where((NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (F.col("_a.n") + F.col("_b.n"))).select("a", "b")
+    sizes = sizes.select(F.lit(0).cast("smallint").alias("t"), "key", "held", "least").checkpoint()
+    shares = sizes.groupBy("least").agg(F.ceil(F.sum("held") / TOGETHER).alias("shares")).checkpoint()
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
+    near = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("shares"))).alias("near")
+    sizes = sizes.join(shares, "least").select("t", "key", "held", near).checkpoint()
+    members = in_groups(keys.select(F.lit(0).cast("smallint").alias("t"), "key", "c"), sizes, chunk).checkpoint()
+    same = [f"_{x}" for x in GROUP]  # a cogroup takes no two columns for one
+    about = members.select(*GROUP, "c").distinct().toDF(*same, "c").join(firsts.select("c", "n", "component", "print"), "c")
+    return members.groupBy(*GROUP).cogroup(about.groupBy(*same)).applyInPandas(pairs_of, "a long, b long").distinct()
 
 
 def verified(links: DataFrame, classes: DataFrame, df: DataFrame, text_col: str, words: int) -> DataFrame:

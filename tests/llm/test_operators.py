@@ -790,6 +790,23 @@ def test_similar_links_between(spark):
         assert want and want <= got and all(group[a] != group[b] for a, b in got)
 
 
+def test_similar_families_make_few_rows(spark, monkeypatch):
+    """Edited copies of a long text that are not similar enough are ruled out before they are rows, whatever they share;
+    pairs that are similar are found among them."""
+    rng = random.Random(13)
+    base = [str(rng.random()) for _ in range(1500)]
+    rows = [" ".join(str(rng.random()) if rng.random() < 0.06 else w for w in base) for _ in range(40)]
+    rows += [rows[7] + " a b c d e f", rows[7] + " " + " ".join(map(str, range(120)))]
+    ids = [similar.class_of(t) for t in rows]
+    monkeypatch.setattr(similar, "FREQUENT", 0)  # as in a large corpus, whose list has no room for what a family shares
+    made, kind = [], type(spark.range(1))
+    plain = kind.distinct
+    monkeypatch.setattr(kind, "distinct", lambda self: (self.columns == ["a", "b"] and made.append(self.count()), plain(self))[1])
+    parts = spark.createDataFrame([], "c long, component long")
+    got = {(r["a"], r["b"]) for r in similar.links_between(docs_of(spark, [*enumerate(rows)]), parts, "text").collect()}
+    assert got == {tuple(sorted((ids[i], ids[j]))) for i, j in ((7, 40), (7, 41), (40, 41))} and made.pop() <= 30
+
+
 def test_similar_odd_rows(spark):
     kept = similar.keep_one(docs_of(spark).withColumn("H", F.lit(1)).withColumn("_gone", F.lit(1))).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "4", "5", "None", "7", "8", "9"])
