@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom import queries as core
 from pathloom.catalog.network import grid
@@ -145,3 +146,14 @@ def test_end_cuts_make_few_rows_of_a_long_line(spark, small, monkeypatch):
     parts = graph.graph_parts(grid(spark, small))
     assert graph.t_cuts(parts, 3.0).count() > 0
     assert made[0][0] < 40 * made[0][1], made
+
+
+@pytest.mark.parametrize("name", ["j12_crossings", "g9_line_distance"])
+def test_pairs_of_copies_are_made_last_and_in_many_tasks(spark, folders, name):
+    """What was found for one of each line is joined with all that are the same by broadcast, so the rows made are not
+    shuffled, however many lines there are, and tasks share them."""
+    df = core.queries()[name](spark, folders[1])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") >= 2 - (name == "g8_locate"), plan
+    if name == "j12_crossings":
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
