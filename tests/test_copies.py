@@ -148,7 +148,7 @@ def test_end_cuts_make_few_rows_of_a_long_line(spark, small, monkeypatch):
     assert made[0][0] < 40 * made[0][1], made
 
 
-@pytest.mark.parametrize("name", ["j12_crossings", "g9_line_distance"])
+@pytest.mark.parametrize("name", ["g8_locate", "j12_crossings", "g9_line_distance"])
 def test_pairs_of_copies_are_made_last_and_in_many_tasks(spark, folders, name):
     """What was found for one of each line is joined with all that are the same by broadcast, so the rows made are not
     shuffled, however many lines there are, and tasks share them."""
